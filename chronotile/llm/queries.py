@@ -7,15 +7,54 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .lines import clean_lines
+from .packing import pack
 from .quality import quality
+from .tiling import contaminations
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir))
 
 
+def op2_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminations(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), tokenizer_path(), with_ids=False)
+
+
+def op8_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_lines(documents(spark, sf_dir)).select("doc_id", "lines_found", "lines_removed", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_outliers": op1_quality_outliers,
+    "op2_string_tiling": op2_string_tiling,
+    "op5_vector_packing": op5_vector_packing,
+    "op8_site_spread": op8_site_spread,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op8_site_spread": r"""
+with b as (
+  select list(k) as ks from (
+    select trim(l, e' \t\r\x0b\f') as k, count(distinct coalesce(source, '')) as n
+    from (select unnest(string_split(text, chr(10))) as l, source from documents) group by 1)
+  where n >= 10 and k <> ''),
+c as (
+  select doc_id, text, string_split(text, chr(10)) as a,
+    list_filter(string_split(text, chr(10)), x -> not coalesce(list_contains(ks, trim(x, e' \t\r\x0b\f')), false)) as f
+  from documents, b)
+select doc_id, coalesce(len(a), 0) as lines_found,
+  case when length(text) - length(array_to_string(f, chr(10))) <= 0.5 * length(text) then len(a) - len(f) else 0 end as lines_removed,
+  case when length(text) - length(array_to_string(f, chr(10))) <= 0.5 * length(text) then array_to_string(f, chr(10)) else text end as text
+from c""",
+}
