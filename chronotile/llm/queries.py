@@ -10,6 +10,7 @@ from .common import documents
 from .lines import clean_lines
 from .packing import pack
 from .quality import quality
+from .setjoin import jaccard_components
 from .tiling import contaminations
 
 
@@ -35,11 +36,16 @@ def op8_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_lines(documents(spark, sf_dir)).select("doc_id", "lines_found", "lines_removed", "text")
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_outliers": op1_quality_outliers,
     "op2_string_tiling": op2_string_tiling,
     "op5_vector_packing": op5_vector_packing,
     "op8_site_spread": op8_site_spread,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 ORACLE: dict[str, str] = {
