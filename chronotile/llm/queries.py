@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import toxicity
 from .common import documents
+from .language import identify
 from .lines import clean_lines
 from .packing import pack
 from .quality import quality
 from .setjoin import jaccard_components
+from .sharding import shard
 from .tiling import contaminations
 
 
@@ -20,6 +24,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def id_remainder(n: int) -> Column:
+    """crc32 of the id as text, modulo n; of a null id 0."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n)), F.lit(0))
+
+
 def op1_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir))
 
@@ -32,10 +41,22 @@ def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_path(), with_ids=False)
 
 
+def op6_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), id_remainder(5) == 0)
+
+
+def op7_kd_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(documents(spark, sf_dir), 24)
+
+
 def op8_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_lines(documents(spark, sf_dir)).select("doc_id", "lines_found", "lines_removed", "text")
 
 
+def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir), id_remainder(4) == 2).drop("shares")
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
@@ -44,7 +65,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_outliers": op1_quality_outliers,
     "op2_string_tiling": op2_string_tiling,
     "op5_vector_packing": op5_vector_packing,
+    "op6_factorization_machine": op6_factorization_machine,
+    "op7_kd_tree": op7_kd_tree,
     "op8_site_spread": op8_site_spread,
+    "op9_language_mixture": op9_language_mixture,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
