@@ -3,8 +3,8 @@
 A text is a bag of hashed lower-cased terms. Beside a bias and a weight for each term the machine learns a short vector
 for each, whose inner products weigh pairs of terms that meet in a text: an insult with the mention of a group counts
 for more than both alone. It is fitted by AdaGrad on a bounded sample of labelled rows: the `sample_rows` rows of
-the least hash of their doc_id. Terms in fewer than `min_docs` of them have no weight. Every whole text is
-scored.
+the least hash of their doc_id. Terms in fewer than `min_docs` of them, and terms that meet the label less than `min_association` standard deviations
+more or less often than chance has it, have no weight. Every whole text is scored.
 
 Null and empty texts have the score of the bias alone, or 0 where nothing could be learnt. Repeated rows are scored alike.
 """
@@ -114,7 +114,7 @@ class Machine:
                 self.v[own] -= 0.3 * rate * dv / np.sqrt(gv[own])
 
 
-def train(chosen: DataFrame, min_docs: int, rank: int, epochs: int, rate: float, decay: float, seed: int) -> Machine | None:
+def train(chosen: DataFrame, min_docs: int, min_association: float, rank: int, epochs: int, rate: float, decay: float, seed: int) -> Machine | None:
     """chosen(text, toxic): the bounded sample to learn from."""
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,22 +127,26 @@ def train(chosen: DataFrame, min_docs: int, rank: int, epochs: int, rate: float,
         return None
     at = [np.frombuffer(bytes(r["at"]), np.int32) for r in rows]
     n = [np.frombuffer(bytes(r["n"]), np.int32) for r in rows]
-    often = np.bincount(np.concatenate(at), minlength=1 << HASH_BITS) >= min_docs
+    toxic = np.array([r["toxic"] for r in rows], np.float32)
+    held = np.bincount(np.concatenate(at), minlength=1 << HASH_BITS)
+    with_it = np.bincount(np.concatenate(at), np.repeat(toxic, [len(a) for a in at]), 1 << HASH_BITS)
+    share = toxic.mean()
+    often = (held >= min_docs) & (np.abs(with_it - held * share) >= min_association * np.sqrt(held * share * (1 - share)))
     columns = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
     m = Machine(columns, rank, seed)
     made = [(columns[a][often[a]], _value(c[often[a]])) for a, c in zip(at, n, strict=True)]
-    m.fit(made, np.array([r["toxic"] for r in rows], np.float32), epochs, rate, decay, seed)
+    m.fit(made, toxic, epochs, rate, decay, seed)
     return m
 
 
-def score(docs: DataFrame, labels: DataFrame, held_out: Column, sample_rows: int = 20_000, min_docs: int = 8, rank: int = 8, epochs: int = 6, rate: float = 0.05, decay: float = 2e-5, seed: int = 7) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, held_out: Column, sample_rows: int = 20_000, min_docs: int = 8, min_association: float = 5.0, rank: int = 8, epochs: int = 8, rate: float = 0.1, decay: float = 2e-5, seed: int = 7) -> DataFrame:
     """doc_id, held_out, score, predicted; learnt from labelled rows that aren't held out."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"))
     marks = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).distinct()
     learn = d.where("not held_out").select("doc_id", "text")
     ids = written(marks.join(learn.select("doc_id").distinct(), F.col("_id") == F.col("doc_id"), "left_semi").orderBy(F.xxhash64("_id"), "toxic").limit(sample_rows), "toxicity-sample")
     texts = learn.join(sized(ids), F.col("doc_id") == F.col("_id")).groupBy("_id", "toxic").agg(F.min("text").alias("text"))  # of repeated ids one row
-    machine = train(texts.select("text", "toxic"), min_docs, rank, epochs, rate, decay, seed)
+    machine = train(texts.select("text", "toxic"), min_docs, min_association, rank, epochs, rate, decay, seed)
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # 2^20 numbers and the weights of at most as many terms
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
