@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
+from . import scoring, toxicity
 from .common import documents
 from .language import identify
 from .lines import clean_lines
@@ -37,6 +37,10 @@ def op2_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminations(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op3_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(documents(spark, sf_dir), id_remainder(5) == 1)
+
+
 def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_path(), with_ids=False)
 
@@ -64,6 +68,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_outliers": op1_quality_outliers,
     "op2_string_tiling": op2_string_tiling,
+    "op3_partial_matching": op3_partial_matching,
     "op5_vector_packing": op5_vector_packing,
     "op6_factorization_machine": op6_factorization_machine,
     "op7_kd_tree": op7_kd_tree,
