@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import scoring, toxicity
 from .common import documents
 from .language import identify
+from .licenses import scan
 from .lines import clean_lines
 from .packing import pack
 from .quality import quality
@@ -41,6 +42,10 @@ def op3_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(documents(spark, sf_dir), id_remainder(5) == 1)
 
 
+def op4_signature_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(documents(spark, sf_dir)).drop("detections")
+
+
 def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_path(), with_ids=False)
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_outliers": op1_quality_outliers,
     "op2_string_tiling": op2_string_tiling,
     "op3_partial_matching": op3_partial_matching,
+    "op4_signature_rules": op4_signature_rules,
     "op5_vector_packing": op5_vector_packing,
     "op6_factorization_machine": op6_factorization_machine,
     "op7_kd_tree": op7_kd_tree,

@@ -194,7 +194,7 @@ class ByteModel:
         return np.add.reduceat(self.log_p[state * self.width + a[at]].astype(np.float64), starts) / np.log(10)
 
 
-def score(docs: DataFrame, held_out: Column, order: int = 4, max_contexts: int = 300_000, common: float = 1e-6) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, order: int = 5, max_contexts: int = 200_000, common: float = 1e-6) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learnt from the rows that aren't held out."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"))
