@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,3 +105,28 @@ def words_of(text: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def tidy(*caches: dict) -> Callable:
+    """A decorator for functions of batches: at a task's end its caches are emptied and freed memory goes back.
+
+    Python workers outlive their tasks; without this each of them keeps what its largest task took.
+    """
+
+    def wrap(fn: Callable) -> Callable:
+        @functools.wraps(fn)
+        def run(batches: Iterator) -> Iterator:
+            try:
+                yield from fn(batches)
+            finally:
+                for c in caches:
+                    c.clear()
+                gc.collect()
+                pa.default_memory_pool().release_unused()
+                trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+                if trim is not None:
+                    trim(0)
+
+        return run
+
+    return wrap

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 
 BUCKET_BITS = 15
 LETTER = re.compile(r"[^\W\d_]")
@@ -37,6 +37,7 @@ def trigrams(text: str) -> np.ndarray:
 _COUNTS = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
 
 
+@tidy()
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, np.ndarray] = {}
     for batch in batches:
@@ -118,6 +119,7 @@ def identify(docs: DataFrame, held_out: Column, penalty: float = 3.0, rounds: in
     model = train(d.where("not held_out"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x 2^15 numbers
 
+    @tidy()
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("shares", pa.map_(pa.string(), pa.float64()))])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 
 END = 0
 SPECIAL = "<|endoftext|>"
@@ -38,10 +38,7 @@ class Encoder:
     """
 
     def __init__(self, tokenizer: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.fast = Tokenizer.from_file(tokenizer), None
+        self.path, self.tokenizer, self.fast = tokenizer, None, None
         ranks = tokenizer.removesuffix(".json") + ".tiktoken"
         if os.path.exists(ranks):
             import public_tokenizers
@@ -59,6 +56,11 @@ class Encoder:
                 pass
             else:
                 return self.fast.encode_ordinary(text)
+        if self.tokenizer is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
 
@@ -75,6 +77,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, with_ids: bool) -> Da
     """doc_id, piece, start, length, ids_crc32, and the ids themselves if asked for."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids)
 
+    @tidy()
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for batch in batches:

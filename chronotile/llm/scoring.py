@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, written
+from .common import sized, tidy, written
 
 SYMBOLS = 257  # 0: a boundary; else a byte plus 1
 END = b"\n"  # no word holds it
@@ -81,6 +81,7 @@ _COUNTS = pa.schema([("key", pa.binary()), ("n", pa.int64())])
 
 
 def _train_pass(order: int):
+    @tidy()
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
         grams, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -222,6 +223,7 @@ def score(docs: DataFrame, held_out: Column, order: int = 5, max_contexts: int =
     shared = spark.sparkContext.broadcast((model, frequent))
     base = total + 0.5 * (distinct + 1)
 
+    @tidy()
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, frequent = shared.value
         for batch in batches:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, partitions, sized, written
+from .common import discard, partitions, sized, tidy, written
 
 WORDS = 5
 #: Least similarity as a whole percentage.
@@ -78,6 +78,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 _FIRST = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("low", pa.list_(pa.int64())), ("chunk", pa.int32()), ("counts", pa.binary())])
 
 
+@tidy(_memo)
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sketch, seen = np.zeros(1 << SKETCH_BITS, np.uint32), False
     for batch in batches:
@@ -105,6 +106,7 @@ def _sum_counts(parts: pd.DataFrame) -> pd.DataFrame:
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, set) of the documents in ids(id)."""
 
+    @tidy(_memo)
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("id", pa.int64()), ("set", pa.binary())])
         for batch in batches:
@@ -123,6 +125,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 _OVERLAP = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64()), ("na", pa.int64()), ("nb", pa.int64())])
 
 
+@tidy()
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -176,6 +179,7 @@ def components(edges: DataFrame) -> DataFrame:
 def _postings(sketch, n_parts: int):
     schema = pa.schema([("part", pa.int32()), ("postings", pa.binary())])
 
+    @tidy(_memo)
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(sketch.value, np.uint32)
         for batch in batches:
@@ -219,6 +223,7 @@ def _postings(sketch, n_parts: int):
 _MET = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("sub", pa.int32()), ("comp", pa.int64()), ("n", pa.int64()), ("pos", pa.int64())])
 
 
+@tidy()
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     blobs = [x.as_py() for batch in batches for x in batch.column(1)]
     if not blobs:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, written
+from .common import sized, tidy, written
 
 WORD = re.compile(r"[^\W_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -142,6 +142,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, co
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()  # block_items rows on average
         held = spark.sparkContext.broadcast(Index([tuple(r) for r in rows], min_match))
 
+        @tidy()
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = held.value
             for batch in batches:

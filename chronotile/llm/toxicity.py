@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, written
+from .common import sized, tidy, written
 
 TERM = re.compile(r"[^\W\d_]+")
 HASH_BITS = 20
@@ -117,6 +117,7 @@ class Machine:
 def train(chosen: DataFrame, min_docs: int, min_association: float, rank: int, epochs: int, rate: float, decay: float, seed: int) -> Machine | None:
     """chosen(text, toxic): the bounded sample to learn from."""
 
+    @tidy(_memo)
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.unique(terms(t.as_py()), return_counts=True) for t in batch.column(0)]
@@ -149,6 +150,7 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, sample_rows: int
     machine = train(texts.select("text", "toxic"), min_docs, min_association, rank, epochs, rate, decay, seed)
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # 2^20 numbers and the weights of at most as many terms
 
+    @tidy(_memo)
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
