@@ -1,0 +1 @@
+"""Column expressions: reductions over time, uncertainty, densities, quantiles, dates and periods."""

@@ -1,0 +1 @@
+"""Readers and writers: catalogs, sample files, results."""

@@ -1,0 +1,36 @@
+"""Observations as they arrive: regular composites by event time, and change detection with state."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+
+def regularize_stream(obs: DataFrame, period: str, lateness: str, keys: list[str], value: str = "value", order: str = "cloud_cover", time: str = "ts") -> DataFrame:
+    """The least cloudy value of each key and tumbling period; periods close when the watermark passes them."""
+    d = obs.where(F.col(value).isNotNull()).withWatermark(time, lateness)
+    best = F.min(F.struct(F.col(order).alias("_o"), F.col(time).alias("_t"), F.col(value).alias("_v")))
+    return d.groupBy(*keys, F.window(time, period).alias("w")).agg(best.alias("_m")).select(*keys, F.col("w.start").alias("period"), F.col("_m._v").alias(value))
+
+
+def detect_changes_stream(obs: DataFrame, key: str = "sample_id", time: str = "ts", probability: str = "p", threshold: float = 0.5, chi: float = 0.9) -> DataFrame:
+    """A row for each key when its change is confirmed; the state of a key is three numbers."""
+    from ..operators.change import ChangeState
+
+    kind = obs.schema[key].dataType.simpleString()
+
+    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        previous, change, raised, done = state.get if state.exists else (0.5, -1.0, 0, False)
+        s = ChangeState(threshold, chi, previous, None if change < 0 else change, raised)
+        rows = pd.concat(list(parts)).sort_values(time)
+        for t, p in zip(rows[time], rows[probability], strict=True):
+            if not done and pd.notna(p) and s.update(p):
+                done = True
+                yield pd.DataFrame({key: [k[0]], "change": [t]})
+        state.update((s.previous, -1.0 if s.change is None else s.change, s.raised, done))
+
+    return obs.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, change timestamp", "previous double, change double, raised int, done boolean", "append", GroupStateTimeout.NoTimeout)
