@@ -45,7 +45,7 @@ POSTING = np.dtype([("key", "<u8"), ("sub", "<i4"), ("n", "<u4"), ("pos", "<u4")
 
 class _Memo(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -182,10 +182,9 @@ def _postings(sketch, n_parts: int):
     @tidy(_memo)
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(sketch.value, np.uint32)
+        held, rows = [], 0
         for batch in batches:
-            held, rows = [], 0
-            columns = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)
-            for k, (i, comp, text) in enumerate(columns):
+            for i, comp, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 s = shingle_set(text.as_py())
                 if n := len(s):
                     often = counts[s >> np.uint64(64 - SKETCH_BITS)]
@@ -203,17 +202,19 @@ def _postings(sketch, n_parts: int):
                     p["sub"] = np.where(spread > 1, (xxhash.xxh3_64_intdigest(i.to_bytes(8, "little", signed=True)) >> 2) % spread, -1)
                     held.append(p)
                     rows += len(p)
-                if rows >= 1_000_000 or rows and k == batch.num_rows - 1:
-                    p = np.concatenate(held)
-                    part = (((p["key"] + (p["sub"] + 1).astype(np.uint64) * _MULTIPLIERS[2]) * _MULTIPLIERS[0]) >> np.uint64(33)) % np.uint64(n_parts)
-                    order = np.argsort(part.astype(np.int32), kind="stable")
-                    p, part = p[order], part[order]
-                    cuts = np.flatnonzero(np.diff(part)) + 1
-                    starts = [0, *cuts.tolist()]
-                    yield _batch([(int(part[a]), p[a:b].tobytes()) for a, b in zip(starts, [*starts[1:], len(p)], strict=True)], schema)
+                if rows >= 500_000:
+                    yield dealt(held)
                     held, rows = [], 0
-            if rows:
-                raise AssertionError("postings were left")
+        if rows:
+            yield dealt(held)
+
+    def dealt(held: list[np.ndarray]) -> pa.RecordBatch:
+        p = np.concatenate(held)
+        part = (((p["key"] + (p["sub"] + 1).astype(np.uint64) * _MULTIPLIERS[2]) * _MULTIPLIERS[0]) >> np.uint64(33)) % np.uint64(n_parts)
+        order = np.argsort(part.astype(np.int32), kind="stable")
+        p, part = p[order], part[order]
+        starts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist()]
+        return _batch([(int(part[a]), p[a:b].tobytes()) for a, b in zip(starts, [*starts[1:], len(p)], strict=True)], schema)
 
     return emit
 
@@ -331,12 +332,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents, with their columns, of which each component's least doc_id stays, once."""
-    gone = jaccard_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = written(gone, "join-gone")
-    kept = docs.join(sized(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = written(jaccard_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "join-gone")
+    kept = docs.join(sized(gone), docs["doc_id"] == gone["_gone"], "left_anti")
     again = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("_twice"))
     again = written(again, "join-twice")
     if again.isEmpty():
         return kept
-    twice = kept.join(sized(again), F.col("doc_id") == F.col("_twice"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(sized(again), F.col("doc_id") == F.col("_twice"), "left_anti").unionByName(twice)
+    twice = kept.join(sized(again), kept["doc_id"] == again["_twice"], "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(sized(again), kept["doc_id"] == again["_twice"], "left_anti").unionByName(twice)
