@@ -6,7 +6,8 @@ or more go from all documents, except from those of which more than `max_share`
 copies of whole documents, which are not this operator's to remove.
 
 Null text stays null; null sites count as one site; blank lines are never counted nor removed. Repeated rows are
-cleaned alike. An empty table gives an empty result. Extra columns pass through `clean_lines` untouched.
+cleaned alike. An empty table gives an empty result. Extra columns pass through `clean_lines` untouched,
+but for those named as its own two, which these replace.
 """
 
 from __future__ import annotations
@@ -55,13 +56,13 @@ def clean_lines(docs: DataFrame, site: str = "source", min_sites: int = 10, max_
     lines = docs.select(key.alias("_r"), F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _hash))).alias("_h"))
     hits = lines.join(sized(found), F.col("_h") == F.col("_b")).groupBy("_r").agg(F.collect_set("_h").alias("_drop"))
     hits = written(hits, "lines-hits")
-    columns = docs.columns
-    d = docs.withColumn("__key", key).join(sized(hits), F.col("__key") == F.col("_r"), "left")
-    d = d.withColumn("__all", _lines(F.col("text"))).withColumn("__left", F.expr("if(_drop is null, __all, filter(__all, x -> not array_contains(_drop, xxhash64(btrim(x, ' \t\r\x0b\f')))))"))
+    d = docs.select(F.struct("*").alias("__d"), key.alias("__key"), F.col("text").alias("__t"))
+    d = d.join(sized(hits), F.col("__key") == F.col("_r"), "left").withColumn("__all", _lines(F.col("__t")))
+    d = d.withColumn("__left", F.expr("if(_drop is null, __all, filter(__all, x -> not array_contains(_drop, xxhash64(btrim(x, ' \t\r\x0b\f')))))"))
     d = d.withColumn("__text", F.array_join("__left", "\n"))
-    d = d.withColumn("__go", F.col("_drop").isNotNull() & (F.length("text") - F.length("__text") <= F.lit(max_share) * F.length("text")))
+    d = d.withColumn("__go", F.col("_drop").isNotNull() & (F.length("__t") - F.length("__text") <= F.lit(max_share) * F.length("__t")))
     return d.select(
-        *(F.when(F.col("__go"), F.col("__text")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in columns),
-        F.coalesce(F.size("__all"), F.lit(0)).cast("long").alias("lines_found"),
+        *(F.when(F.col("__go"), F.col("__text")).otherwise(F.col("__t")).alias("text") if c == "text" else F.col(f"__d.`{c}`") for c in docs.columns if c not in ("lines_found", "lines_removed")),
+        F.greatest(F.coalesce(F.size("__all"), F.lit(0)), F.lit(0)).cast("long").alias("lines_found"),
         F.when(F.col("__go"), F.size("__all") - F.size("__left")).otherwise(0).cast("long").alias("lines_removed"),
     )

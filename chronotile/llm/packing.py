@@ -1,6 +1,6 @@
 """Best-fit packing of token sequences under several capacities at once.
 
-Texts are cut into pieces of at most `capacity` tokens. A bin (a sequence) has capacities of tokens, documents and
+Texts are cut into pieces of at most `capacity` tokens, or of as many as the attention cost of a bin allows. A bin (a sequence) has capacities of tokens, documents and
 attention cost (the sum of squared piece lengths). Pieces come in decreasing order of size; each goes to the open bin
 that keeps every constraint and scores best, by the weighted dot product of its size with the bin's residuals or by the
 weighted norm of the residuals that it would leave; if none can take it, a bin is opened. Pieces that fill a bin are a
@@ -14,6 +14,7 @@ gives an empty result.
 from __future__ import annotations
 
 import base64
+import math
 import os
 import zlib
 from collections.abc import Iterator
@@ -99,6 +100,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, with_ids: bool) -> Da
 def fit(lengths: np.ndarray, capacities: np.ndarray, weights: np.ndarray, score: str = "norm") -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each piece."""
     sizes = np.stack([lengths, np.ones_like(lengths), lengths.astype(float) ** 2], 1) / capacities
+    if (sizes > 1).any():
+        raise ValueError("a piece is larger than a bin")
     order = np.argsort(-(sizes @ weights), kind="stable")
     bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     left, used, ids, opened = np.zeros((0, 3)), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
@@ -125,7 +128,8 @@ def fit(lengths: np.ndarray, capacities: np.ndarray, weights: np.ndarray, score:
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, max_docs: int = 1024, max_attention: float | None = None, weights: tuple[float, float, float] = (1.0, 0.01, 0.01), score: str = "norm", group_rows: int = 4096, with_ids: bool = True) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset."""
     caps, w = np.array([capacity, max_docs, max_attention or float(capacity) ** 2], float), np.array(weights, float)
-    cut = written(pieces(docs, tokenizer, capacity, with_ids), "packing-pieces").withColumn("_row", F.monotonically_increasing_id())
+    longest = min(capacity, math.isqrt(int(caps[2])))
+    cut = written(pieces(docs, tokenizer, longest, with_ids), "packing-pieces").withColumn("_row", F.monotonically_increasing_id())
     small = F.col("length") < capacity
     groups = -(-max(cut.where(small).count(), 1) // group_rows)
     plan = cut.where(small).select("_row", "length", F.pmod(F.xxhash64("_row"), F.lit(groups)).alias("_group"))

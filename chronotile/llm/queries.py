@@ -92,7 +92,7 @@ with b as (
   where n >= 10 and k <> ''),
 c as (
   select doc_id, text, string_split(text, chr(10)) as a,
-    list_filter(string_split(text, chr(10)), x -> not coalesce(list_contains(ks, trim(x, e' \t\r\x0b\f')), false)) as f
+    list_filter(string_split(text, chr(10)), lambda x: not coalesce(list_contains(ks, trim(x, e' \t\r\x0b\f')), false)) as f
   from documents, b)
 select doc_id, coalesce(len(a), 0) as lines_found,
   case when length(text) - length(array_to_string(f, chr(10))) <= 0.5 * length(text) then len(a) - len(f) else 0 end as lines_removed,
