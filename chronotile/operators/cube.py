@@ -260,3 +260,57 @@ def get_values(points: DataFrame, tiles: DataFrame, pixels: DataFrame, strict: b
 def average_polygon(df: DataFrame, bands: list[str]) -> DataFrame:
     """Mean series of the points of a polygon."""
     return df.groupBy("polygon_id", "label", "date").agg(*(F.avg(c).alias(c) for c in ("longitude", "latitude", *bands)))
+
+
+def resample(pixels: DataFrame, factor: int, how: str = "mean") -> DataFrame:
+    """Pixels of a coarser grid: the mean, the mode (of several the least) or the first cell of each block."""
+    keys = ["tile", "band", "date", F.floor(F.col("row") / factor).cast("int").alias("row"), F.floor(F.col("col") / factor).cast("int").alias("col")]
+    if how == "mean":
+        return pixels.groupBy(*keys).agg(F.avg("value").alias("value"))
+    if how == "first":
+        return pixels.groupBy(*keys).agg(F.min(F.struct(F.col("row").alias("r"), F.col("col").alias("c"), F.col("value").alias("v"))).alias("_m")).select("tile", "band", "date", "row", "col", F.col("_m.v").alias("value"))
+    n = pixels.groupBy(*keys, "value").agg(F.count("*").alias("_n"))
+    return n.groupBy("tile", "band", "date", "row", "col").agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col("value").alias("v"))).alias("_m")).select("tile", "band", "date", "row", "col", F.col("_m.v").alias("value"))
+
+
+def copy(pixels: DataFrame, tiles: DataFrame, path: str, roi: tuple[float, float, float, float] | None = None, factor: int = 1, mode: str = "errorifexists") -> DataFrame:
+    """A local copy, cropped and resampled; the written cube."""
+    from ..sources.sinks import write_cube
+
+    d = crop(pixels, tiles, roi) if roi is not None else pixels
+    write_cube(resample(d, factor) if factor > 1 else d, path, mode=mode)
+    return pixels.sparkSession.read.parquet(path)
+
+
+def is_regular(assets: DataFrame) -> bool:
+    """Whether all tiles have the same bands, and all bands the same dates."""
+    per = assets.groupBy("tile", "band").agg(F.array_sort(F.collect_set("date")).alias("dates"))
+    t = per.groupBy("tile").agg(F.array_sort(F.collect_list("band")).alias("bands"), F.count_distinct("dates").alias("n"), F.min("dates").alias("dates"))
+    r = t.agg(F.count_distinct("bands"), F.max("n"), F.count_distinct("dates")).first()
+    return tuple(r) == (1, 1, 1)
+
+
+def merge(a: DataFrame, b: DataFrame, days: tuple[int, int] = (16, 16)) -> DataFrame:
+    """Two cubes as one, by what they are: regular ones must share tiles and add bands, on the dates of the first."""
+    if is_regular(a) and is_regular(b):
+        if not a.select("tile").exceptAll(b.select("tile")).isEmpty() and a.select("tile").intersect(b.select("tile")).isEmpty():
+            raise ValueError("regular cubes must have tiles in common")
+        new = b.join(a.select("band").distinct(), "band", "left_anti").join(a.select("tile").distinct(), "tile", "left_semi")
+        if a.select("date").distinct().exceptAll(b.select("date").distinct()).isEmpty():
+            return a.unionByName(new, allowMissingColumns=True)
+        pairs = merge_overlap(a, new, *days).withColumnsRenamed({"date2": "date"})
+        return a.unionByName(new.join(pairs, ["tile", "date"]).drop("date").withColumnRenamed("date1", "date"), allowMissingColumns=True)
+    same = a.select("band").distinct().exceptAll(b.select("band").distinct()).isEmpty() and b.select("band").distinct().exceptAll(a.select("band").distinct()).isEmpty()
+    return merge_densify(a, b) if same else merge_compactify(a, b)
+
+
+def deseasoned(df: DataFrame, band: str, quantile: float = 0.95, date: str = "date", tile: str = "tile") -> DataFrame:
+    """A band less its quantile over all of a tile's pixels at the date."""
+    q = df.groupBy(tile, date).agg(F.percentile(band, quantile).alias("_q"))
+    return df.join(q, [tile, date]).withColumn(band, F.col(band) - F.col("_q")).drop("_q")
+
+
+def validate(points: DataFrame, tiles: DataFrame, classes: DataFrame, label: str = "label") -> DataFrame:
+    """predicted and reference labels of a map at validation points; a point on a tile's edge counts."""
+    at = locate(points.select(F.col(label).alias("reference"), "longitude", "latitude"), tiles, strict=False)
+    return at.join(classes.select("tile", "row", "col", F.col("label").alias("predicted")), ["tile", "row", "col"]).select("predicted", "reference")

@@ -197,3 +197,57 @@ def parse_names(spark, d):
     k, r = F.col("n_nationkey").cast("string"), F.col("n_regionkey")
     path = F.concat(F.lit("s3://x/SAT_N"), k, F.lit("_b0"), r.cast("string"), F.lit("_2020-0"), (r + 1).cast("string"), F.lit("-15.tif"))
     return catalog.parse_names(T.read(spark, d, "nation").select(F.regexp_replace(path, "SAT_N", "SAT_X_N").alias("path")), ["X1", "X2", "tile", "band", "date"]).drop("path")
+
+
+@query("resample", sql("grid") + " select tile, row // 4 as row, col // 4 as col, round(avg(value), 6) as value from grid group by 1, 2, 3")
+def resample(spark, d):
+    return r6(C.resample(pixels(spark, d), 4).select("tile", "row", "col", "value"), "value")
+
+
+@query("resample_mode", sql("grid") + ", n as (select tile, row // 4 as row, col // 4 as col, class, count(*) as n from grid group by all), r as (select *, row_number() over (partition by tile, row, col order by n desc, class) as k from n) select tile, row, col, cast(class as double) as value from r where k = 1")
+def resample_mode(spark, d):
+    g = T.grid(spark, d).select("tile", F.lit("B").alias("band"), F.lit(None).cast("date").alias("date"), "row", "col", F.col("class").cast("double").alias("value"))
+    return C.resample(g, 4, "mode").select("tile", "row", "col", "value")
+
+
+@query("deseasoned", sql("grid") + ", q as (select tile, quantile_cont(value, 0.95) as q from grid group by 1) select tile, row, col, round(value - q, 6) as value from grid join q using (tile)")
+def deseasoned(spark, d):
+    return r6(C.deseasoned(pixels(spark, d), "value").select("tile", "row", "col", "value"), "value")
+
+
+@query("validate_map", sql("grid", "grid_tiles", "points") + ", l as (select 'c' || cast(p.sample_id % 5 + 1 as varchar) as reference, t.tile, cast(floor(t.ymax - latitude) as int) as row, cast(floor(longitude - t.xmin) as int) as col from points p join grid_tiles t on longitude between xmin and xmax and latitude between ymin and ymax) select 'c' || cast(g.class as varchar) as predicted, l.reference, count(*) as n from l join grid g using (tile, row, col) group by 1, 2")
+def validate_map(spark, d):
+    p = T.points(spark, d).withColumn("label", F.concat(F.lit("c"), (F.col("sample_id") % 5 + 1).cast("string")))
+    c = T.grid(spark, d).withColumn("label", F.concat(F.lit("c"), F.col("class").cast("string")))
+    return C.validate(p, T.grid_tiles(spark, d), c).groupBy("predicted", "reference").agg(F.count("*").alias("n"))
+
+
+@query("mercator", sql("points") + " select sample_id, round(radians(longitude) * 6378137, 3) as x, round(ln(tan(pi() / 4 + radians(latitude) / 2)) * 6378137, 3) as y from points")
+def mercator(spark, d):
+    from ..functions import geo
+
+    x, y = geo.to_mercator(F.col("longitude"), F.col("latitude"))
+    return r6(T.points(spark, d).select("sample_id", x.alias("x"), y.alias("y")), "x", "y", digits=3)
+
+
+@query("polygon_boxes", sql("tiles") + " select tile, xmin, ymin, xmax, ymax from tiles")
+def polygon_boxes(spark, d):
+    from ..sources import sinks, vector
+
+    return vector.boxes(sinks.as_boxes(T.tiles(spark, d)).select("tile", "geometry")).drop("geometry")
+
+
+@query("polygon_points")
+def polygon_points(spark, d):
+    from ..sources import sinks, vector
+
+    t = sinks.as_boxes(T.tiles(spark, d)).select(F.monotonically_increasing_id().alias("polygon_id"), "tile", "geometry")
+    return vector.sample_points(t, 10)
+
+
+@query("points_within", sql("tiles", "points") + " select p.sample_id, t.tile from points p join tiles t on longitude > xmin and longitude < xmax and latitude > ymin and latitude < ymax and longitude <> floor(longitude) and latitude <> floor(latitude)")
+def points_within(spark, d):
+    from ..sources import sinks, vector
+
+    p = T.points(spark, d).select("sample_id", "longitude", "latitude").where("longitude <> floor(longitude) and latitude <> floor(latitude)")
+    return vector.points_within(p, sinks.as_boxes(T.tiles(spark, d)).select("tile", "geometry")).select("sample_id", "tile")

@@ -98,3 +98,15 @@ GEO = sql("points") + ", p as (select sample_id, longitude % 30 as x, latitude a
 def geo_distances(spark, d):
     p = T.points(spark, d).select("sample_id", F.round(F.col("longitude") % 30, 6).alias("longitude"), "latitude")
     return r6(learn.geo_distances(p, p, 2.0), "distance", digits=4)
+
+
+@query("som_undersample")
+def som_undersample(spark, d):
+    x, som = _som(spark, d)
+    return learn.som_undersample(som.map(x, FEATURES)).select("sample_id", "label", "neuron")
+
+
+@query("sample_distances")
+def sample_distances(spark, d):
+    p = T.points(spark, d).select("sample_id", F.round(F.col("longitude") % 30, 6).alias("longitude"), "latitude")
+    return r6(learn.sample_distances(p.where("sample_id % 2 = 0"), p.where("sample_id % 2 = 1"), 200), "distance", digits=4)

@@ -406,3 +406,19 @@ def average_polygon(spark, d):
 
 
 assert set(ALL) - {"t_fslope"} == set(temporal.REDUCTIONS)
+
+
+@query("predictions_nested", sql("series") + ", n as (select *, (row_number() over (partition by sample_id order by idx) - 1) // 12 as chunk from series), c as (select sample_id, chunk, min(idx) as a, max(idx) as b, avg(qty) as m from n group by 1, 2 having count(*) = 12) select sample_id, a as \"from\", b as \"to\", case when m > 150 then 'high' else 'low' end as class from c")
+def predictions_nested(spark, d):
+    from ..operators import learn
+
+    c = S.split(T.series(spark, d), 12).groupBy("sample_id", "chunk").agg(F.min("index").alias("start_date"), F.max("index").alias("end_date"), F.avg("QTY").alias("m"))
+    c = c.withColumns({"predicted": F.when(F.col("m") > 150, "high").otherwise("low"), "probs": F.array(F.lit(0.6), F.lit(0.4))})
+    return learn.show_predictions(learn.predictions(c, ["high", "low"], ["sample_id"]), ["sample_id"])
+
+
+@query("smooth_patterns")
+def smooth_patterns(spark, d):
+    from ..operators import learn
+
+    return r6(learn.smooth_patterns(T.series(spark, d), ["QTY"], 30), "QTY", digits=4)
