@@ -7,8 +7,8 @@ probability goes to the next shorter context, in which the symbols already refus
 Below the empty context all remaining symbols are alike. The model doesn't change while it scores, so the probability of
 a symbol depends on its longest known context alone, and is tabled for each of them; a text's code length is the sum.
 
-The tables are broadcast. They are bounded by `max_contexts`: if there are more contexts of full length, the rarest of
-them fall back to their suffixes. Words are looked up in two ways: those with at least a millionth of all tokens, at
+The tables are broadcast. They are bounded by `max_contexts`: of a length that has more contexts, the rarest fall back to
+their suffixes. Words are looked up in two ways: those with at least a millionth of all tokens, at
 most a million words, are broadcast; the others meet their counts in a join.
 
 Null texts count as empty: they have one token, the end. Repeated rows are rows of their own. Texts are read whole.
@@ -126,64 +126,78 @@ def _gram_rows(grams: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
 class ByteModel:
     """Natural logarithms of probabilities by state (a known context) and symbol, and steps between states."""
 
+    ROWS = 4096  # contexts that are tabled at once
+
     def __init__(self, grams: np.ndarray, counts: np.ndarray, order: int, max_contexts: int):
         self.order = order
-        levels = []
+        levels, contexts = [], []
         for k in range(order + 1):  # context length
             code, back = np.unique(grams % SYMBOLS ** (k + 1), return_inverse=True)
             n = np.bincount(back, counts, len(code)) if len(code) else np.zeros(0)
-            levels.append((code // SYMBOLS, code % SYMBOLS, n))
+            del back
+            c, s = code // SYMBOLS, code % SYMBOLS
+            own, start = np.unique(c, return_index=True)
+            if k:  # only contexts whose suffix is one, and of these the most frequent
+                keep = np.isin(own % SYMBOLS ** (k - 1), contexts[k - 1])
+                if keep.sum() > max_contexts:
+                    total = np.where(keep, np.add.reduceat(n, start), -1)
+                    keep = np.zeros(len(own), bool)
+                    keep[np.argsort(-total, kind="stable")[:max_contexts]] = True
+                inside = keep[np.searchsorted(own, c)]
+                c, s, n, own = c[inside], s[inside], n[inside], own[keep]
+            levels.append((c, s, n))
+            contexts.append(own if len(own) or k else np.zeros(1, np.int64))
         alphabet = np.unique(levels[0][1])
         self.column = np.full(SYMBOLS, len(alphabet), np.int64)  # the last column: a symbol never seen
         self.column[alphabet] = np.arange(len(alphabet))
-        width = len(alphabet) + 1
-        contexts = [np.unique(c) for c, _, _ in levels]
-        if order and len(contexts[order]) > max_contexts:
-            c, s, n = levels[order]
-            total = np.bincount(np.searchsorted(contexts[order], c), n)
-            keep = np.zeros(len(total), bool)
-            keep[np.argsort(-total, kind="stable")[:max_contexts]] = True
-            inside = keep[np.searchsorted(contexts[order], c)]
-            levels[order], contexts[order] = (c[inside], s[inside], n[inside]), contexts[order][keep]
-        if not len(alphabet):
-            contexts[0] = np.zeros(1, np.int64)
+        self.width = width = len(alphabet) + 1
         first = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])
-        tables, steps = [], []
-        parent_counts = parent_below = parent_step = None
+        log_p = np.empty((first[-1], width), np.float32)
+        steps = np.zeros((first[order] if order else 1, width), np.int32)
+        upper = None  # counts, and what lies below, of the level before
         for k in range(order + 1):
             ctx, (c, s, n) = contexts[k], levels[k]
-            held = np.zeros((len(ctx), width), np.float32)
-            held[np.searchsorted(ctx, c), self.column[s]] = n
-            seen = held > 0
-            total, distinct = held.sum(1, dtype=np.float64), seen.sum(1).astype(np.float64)
-            escape = np.log(np.maximum(distinct, 1e-9) / np.maximum(total + distinct, 1e-9))
-            if k == 0:
-                below = np.full((1, width), -np.log(SYMBOLS - len(alphabet)), np.float32)
-                if not len(alphabet):
-                    escape = np.zeros(1)
-            else:
-                up = np.searchsorted(contexts[k - 1], ctx % SYMBOLS ** (k - 1))
-                theirs = parent_counts[up]
-                rest = np.where(seen, 0, theirs).sum(1, dtype=np.float64)
-                more = ((theirs > 0) & ~seen).sum(1).astype(np.float64)
-                whole = np.maximum(rest + more, 1e-9)
-                with np.errstate(divide="ignore"):
-                    out = np.where(more > 0, np.log(np.maximum(more, 1e-9) / whole), 0.0)
-                    below = np.where((theirs > 0) & ~seen, np.log(np.maximum(theirs, 1e-9)) - np.log(whole)[:, None], out[:, None] + parent_below[up]).astype(np.float32)
-            with np.errstate(divide="ignore"):
-                tables.append(np.where(seen, np.log(np.maximum(held, 1e-9)) - np.log(np.maximum(total + distinct, 1e-9))[:, None], escape[:, None] + below).astype(np.float32))
+            up = np.searchsorted(contexts[k - 1], ctx % SYMBOLS ** (k - 1)) if k else np.zeros(1, np.int64)
+            mine = (np.zeros((len(ctx), width), np.float32), np.zeros((len(ctx), width), np.float32)) if k < order else None
+            row = np.searchsorted(ctx, c)
+            for a in range(0, len(ctx), self.ROWS):
+                b = min(a + self.ROWS, len(ctx))
+                i, j = np.searchsorted(row, [a, b])
+                held = np.zeros((b - a, width))
+                held[row[i:j] - a, self.column[s[i:j]]] = n[i:j]
+                below = self._below(held, k, len(alphabet), None if k == 0 else (upper[0][up[a:b]], upper[1][up[a:b]]))
+                log_p[first[k] + a : first[k] + b] = self._row(held, below)
+                if mine is not None:
+                    mine[0][a:b], mine[1][a:b] = held, below
             if k < order:
-                step = np.zeros((len(ctx), width), np.int32) if k == 0 else parent_step[up]
+                own = slice(first[k], first[k + 1])
+                if k:
+                    steps[own] = steps[first[k - 1] : first[k]][up]
                 nxt = contexts[k + 1]
-                known = np.searchsorted(ctx, nxt // SYMBOLS)  # a context's own beginning is a context
-                there = (known < len(ctx)) & (ctx[np.minimum(known, len(ctx) - 1)] == nxt // SYMBOLS)
-                step = step.copy()
-                step[known[there], self.column[nxt % SYMBOLS][there]] = first[k + 1] + np.flatnonzero(there)
-                steps.append(step)
-                parent_step = step
-            parent_counts, parent_below = held, below
-        self.width, self.log_p = width, np.concatenate(tables).ravel()
-        self.steps = np.concatenate(steps).ravel() if steps else np.zeros(width, np.int32)
+                at = np.searchsorted(ctx, nxt // SYMBOLS)
+                there = (at < len(ctx)) & (ctx[np.minimum(at, len(ctx) - 1)] == nxt // SYMBOLS)
+                steps[first[k] + at[there], self.column[nxt % SYMBOLS][there]] = first[k + 1] + np.flatnonzero(there)
+            upper = mine
+        self.log_p, self.steps = log_p.ravel(), steps.ravel()
+
+    @staticmethod
+    def _below(held: np.ndarray, k: int, alphabet: int, upper: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+        """Logarithms after an escape from these contexts: the next shorter ones without the symbols seen here."""
+        if upper is None:
+            return np.full(held.shape, -np.log(SYMBOLS - alphabet))
+        theirs, beneath = upper[0].astype(float), upper[1]
+        left = np.where(held > 0, 0, theirs)
+        more = (left > 0).sum(1).astype(float)
+        whole = np.maximum(left.sum(1) + more, 1e-9)
+        out = np.where(more > 0, np.log(np.maximum(more, 1e-9) / whole), 0.0)
+        return np.where(left > 0, np.log(np.maximum(left, 1e-9)) - np.log(whole)[:, None], out[:, None] + beneath)
+
+    @staticmethod
+    def _row(held: np.ndarray, below: np.ndarray) -> np.ndarray:
+        total, distinct = held.sum(1), (held > 0).sum(1)
+        whole = np.maximum(total + distinct, 1e-9)
+        escape = np.where(distinct > 0, np.log(np.maximum(distinct, 1e-9) / whole), 0.0)
+        return np.where(held > 0, np.log(np.maximum(held, 1e-9)) - np.log(whole)[:, None], escape[:, None] + below)
 
     def score(self, block: list[bytes]) -> np.ndarray:
         """log10 probability of each text, its end included."""
@@ -195,7 +209,7 @@ class ByteModel:
         return np.add.reduceat(self.log_p[state * self.width + a[at]].astype(np.float64), starts) / np.log(10)
 
 
-def score(docs: DataFrame, held_out: Column, order: int = 5, max_contexts: int = 200_000, common: float = 1e-6) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, order: int = 5, max_contexts: int = 60_000, common: float = 1e-6) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learnt from the rows that aren't held out."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"))
