@@ -56,8 +56,9 @@ def clean_lines(docs: DataFrame, site: str = "source", min_sites: int = 10, max_
     lines = docs.select(key.alias("_r"), F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _hash))).alias("_h"))
     hits = lines.join(sized(found), F.col("_h") == F.col("_b")).groupBy("_r").agg(F.collect_set("_h").alias("_drop"))
     hits = written(hits, "lines-hits")
+    hashes = hits.agg(F.sum(F.size("_drop"))).first()[0] or 0
     d = docs.select(F.struct("*").alias("__d"), key.alias("__key"), F.col("text").alias("__t"))
-    d = d.join(sized(hits), F.col("__key") == F.col("_r"), "left").withColumn("__all", _lines(F.col("__t")))
+    d = d.join(sized(hits, hashes), F.col("__key") == F.col("_r"), "left").withColumn("__all", _lines(F.col("__t")))
     d = d.withColumn("__left", F.expr("if(_drop is null, __all, filter(__all, x -> not array_contains(_drop, xxhash64(btrim(x, ' \t\r\x0b\f')))))"))
     d = d.withColumn("__text", F.array_join("__left", "\n"))
     d = d.withColumn("__go", F.col("_drop").isNotNull() & (F.length("__t") - F.length("__text") <= F.lit(max_share) * F.length("__t")))

@@ -98,4 +98,15 @@ select doc_id, coalesce(len(a), 0) as lines_found,
   case when length(text) - length(array_to_string(f, chr(10))) <= 0.5 * length(text) then len(a) - len(f) else 0 end as lines_removed,
   case when length(text) - length(array_to_string(f, chr(10))) <= 0.5 * length(text) then array_to_string(f, chr(10)) else text end as text
 from c""",
+    "op10_ngram_jaccard": r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from w),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+reach(a, b) as (select a, b from e union select r.a, e.b from reach r join e on r.b = e.a)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, least(w.doc_id, (select min(b) from reach where reach.a = w.doc_id)) as component_id
+from w left join n on n.doc_id = w.doc_id""",
 }

@@ -25,7 +25,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -96,11 +95,17 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch([(None, None, None, None, k, zlib.compress(part.tobytes(), 1))], _FIRST)
 
 
-def _sum_counts(parts: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(1 << CHUNK_BITS, np.uint64)
-    for x in parts["counts"]:
-        total += np.frombuffer(zlib.decompress(x), np.uint32)
-    return pd.DataFrame({"chunk": parts["chunk"][:1], "counts": [zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)]})
+@tidy()
+def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums by chunk as they stream by, held to 32 bits."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if k not in total:
+                total[k] = np.zeros(1 << CHUNK_BITS, np.uint64)
+            total[k] += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(np.minimum(v, 2**32 - 1).astype(np.uint32).tobytes(), 1) for v in total.values()], pa.binary())], names=["chunk", "counts"])
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -293,7 +298,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     lead = written(linked.groupBy("a").agg(F.min(F.struct(distance.alias("d"), F.col("b").alias("l"))).alias("x")).select(F.col("a").alias("id"), F.col("x.l").alias("leader"), F.col("x.d").alias("d")), "join-lead")
 
     # Prefixes of all classes meet.
-    summed = first.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInPandas(_sum_counts, "chunk int, counts binary").collect()  # 2^22 counters at every size
+    sums = "chunk int, counts binary"
+    summed = first.where("chunk is not null").select("chunk", "counts").mapInArrow(_sum_counts, sums)  # by task first, then by chunk
+    summed = summed.repartition(1 << (SKETCH_BITS - CHUNK_BITS), "chunk").mapInArrow(_sum_counts, sums).collect()  # 2^22 counters at every size
     sketch = np.zeros((1 << (SKETCH_BITS - CHUNK_BITS), 1 << CHUNK_BITS), np.uint32)
     for r in summed:
         sketch[r["chunk"]] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint32)

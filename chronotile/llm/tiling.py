@@ -132,7 +132,7 @@ def greedy_tiles(doc: np.ndarray, item: np.ndarray, pairs: list[tuple[int, int]]
     return sorted(tiles)
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, coverage: float = 0.6, block_items: int = 20_000) -> DataFrame:
+def contaminations(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, coverage: float = 0.5, block_items: int = 20_000) -> DataFrame:
     """A row for each document and item that it contains, with the tiles (starts and lengths in words)."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
