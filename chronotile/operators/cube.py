@@ -239,10 +239,17 @@ def chunks(tiles: DataFrame, size: int, overlap: int = 0) -> DataFrame:
 
 
 def locate(points: DataFrame, tiles: DataFrame, strict: bool = True) -> DataFrame:
-    """Adds tile, row and col of the cells that hold points (longitude, latitude); strict: not on a tile's edge."""
+    """Adds tile, row and col of the cells that hold points (longitude, latitude); strict: not on a tile's edge.
+
+    Points and tiles meet on a plan of cells as large as the largest tile, so a tile is in four of them at most.
+    """
     x, y = F.col("longitude"), F.col("latitude")
     inside = (x > F.col("xmin")) & (x < F.col("xmax")) & (y > F.col("ymin")) & (y < F.col("ymax")) if strict else x.between(F.col("xmin"), F.col("xmax")) & y.between(F.col("ymin"), F.col("ymax"))
-    d = points.join(F.broadcast(tiles.select("tile", *BOX, "xres", "yres")), inside)  # a catalog's boxes
+    w, h = tiles.agg(F.max(F.col("xmax") - F.col("xmin")), F.max(F.col("ymax") - F.col("ymin"))).first()
+    w, h = float(w or 1), float(h or 1)
+    cells = tiles.select("tile", *BOX, "xres", "yres", F.explode(F.sequence(F.floor(F.col("xmin") / w), F.floor(F.col("xmax") / w))).alias("_cx"), F.sequence(F.floor(F.col("ymin") / h), F.floor(F.col("ymax") / h)).alias("_s"))
+    cells = cells.withColumn("_cy", F.explode("_s")).drop("_s")
+    d = points.withColumns({"_cx": F.floor(x / w), "_cy": F.floor(y / h)}).join(cells, ["_cx", "_cy"]).where(inside)
     return d.select(*points.columns, "tile", F.floor((F.col("ymax") - y) / F.col("yres")).cast("int").alias("row"), F.floor((x - F.col("xmin")) / F.col("xres")).cast("int").alias("col"))
 
 

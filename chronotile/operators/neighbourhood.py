@@ -84,9 +84,9 @@ def windows(df: DataFrame, values: list[str], out: list[str], window: int, fn: C
     if chunk < r:
         raise ValueError("a chunk must hold half a window")
     extent = df.groupBy(*keys).agg((F.max("row") + 1).alias("_nr"), (F.max("col") + 1).alias("_nc"))
-    part = lambda c, s: F.array_distinct(F.transform(F.sequence(F.floor((F.col(c) - r) / chunk), F.floor((F.col(c) + r) / chunk)), lambda x: x))
+    part = lambda c: F.sequence(F.floor((F.col(c) - r) / chunk), F.floor((F.col(c) + r) / chunk))
     d = df.select(*keys, "row", "col", *values).join(extent, list(keys))
-    d = d.withColumn("_br", F.explode(part("row", 0))).withColumn("_bc", F.explode(part("col", 0)))
+    d = d.withColumn("_br", F.explode(part("row"))).withColumn("_bc", F.explode(part("col")))
     d = d.where((F.col("_br") >= 0) & (F.col("_bc") >= 0) & (F.col("_br") * chunk < F.col("_nr")) & (F.col("_bc") * chunk < F.col("_nc")))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys, "row", "col").schema)
 

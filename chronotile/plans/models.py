@@ -110,3 +110,20 @@ def som_undersample(spark, d):
 def sample_distances(spark, d):
     p = T.points(spark, d).select("sample_id", F.round(F.col("longitude") % 30, 6).alias("longitude"), "latitude")
     return r6(learn.sample_distances(p.where("sample_id % 2 = 0"), p.where("sample_id % 2 = 1"), 200), "distance", digits=4)
+
+
+def _neural(name, make):
+    @query(f"classify_{name}")
+    def run(spark, d):
+        from ..operators import neural
+
+        x = sampling.split(features(spark, d), 0.2).select("sample_id", "label", "train", F.array(*(F.array(F.col(f) * 5) for f in FEATURES)).alias("x"))
+        net = neural.train(x.where("train"), make(neural), epochs=40, rate=5e-3)
+        p = neural.classify(net, x.where("not train").drop("train"))
+        return p.select("sample_id", "label", "predicted", F.round(F.array_max("probs"), 3).alias("confidence"))
+
+
+_neural("temporal_convolution", lambda n: lambda labels: n.TempCNN(labels, filters=16, kernel=3, dense=32))
+_neural("residual_network", lambda n: lambda labels: n.ResNet(labels, blocks=(16, 16)))
+_neural("temporal_attention", lambda n: lambda labels: n.Attention(labels, range(0, 128, 16), width=32, heads=4, keys=8))
+_neural("light_attention", lambda n: lambda labels: n.Attention(labels, range(0, 128, 16), width=32, heads=4, keys=8, light=True))
