@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import scalars
 
@@ -99,9 +100,10 @@ class ChangeState:
         return self.change is not None and self.change >= self.chi and p >= 0.5
 
 
-def detect_changes(df: DataFrame, probability: str, key: str = "sample_id", index: str = "index", threshold: float = 0.5, chi: float = 0.9) -> DataFrame:
-    """key and the date at which a change is confirmed, null if none; a series is an array of its dates' probabilities."""
-    nested = df.where(F.col(probability).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(probability).alias("p")))).alias("s"))
+def detect_changes(df: DataFrame, probability: str, key: str | list[str] = "sample_id", index: str = "index", threshold: float = 0.5, chi: float = 0.9) -> DataFrame:
+    """The keys (a sample's, or a pixel's tile, row and col) and the date at which a change is confirmed, null if none."""
+    keys = [key] if isinstance(key, str) else list(key)
+    nested = df.where(F.col(probability).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(probability).alias("p")))).alias("s"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -113,6 +115,15 @@ def detect_changes(df: DataFrame, probability: str, key: str = "sample_id", inde
                         at = r["i"]
                         break
                 out.append(at)
-            yield pd.DataFrame({key: part[key], "change": pd.Series(out, index=part.index, dtype=object)})
+            yield part[keys].assign(change=pd.Series(out, index=part.index, dtype=object))
 
-    return nested.mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, change {df.schema[index].dataType.simpleString()}")
+    fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    return nested.mapInPandas(run, f"{fields}, change {df.schema[index].dataType.simpleString()}")
+
+
+def change_polygons(changes: DataFrame, gap: int = 1) -> DataFrame:
+    """Changed pixels of a tile by date and block of neighbours: box and number of cells of each run of columns in a row."""
+    w = Window.partitionBy("tile", "change", "row").orderBy("col")
+    d = changes.where("change is not null").withColumn("_s", F.coalesce((F.col("col") - F.lag("col").over(w) > gap).cast("int"), F.lit(1)))
+    d = d.withColumn("_run", F.sum("_s").over(w))
+    return d.groupBy("tile", "change", "row", "_run").agg(F.min("col").alias("col_from"), F.max("col").alias("col_to"), F.count("*").alias("cells")).drop("_run")

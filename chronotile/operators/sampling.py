@@ -16,12 +16,24 @@ def draw(key: Column | str, seed: int = 0) -> Column:
     return F.pmod((k.cast("long") + seed) * F.lit(MIX), F.lit(PRIME))
 
 
+def ranked(df: DataFrame, key: str, label: str, seed: int = 0, bits: int = 12) -> DataFrame:
+    """Adds _rank, each row's place (from 1) in its label's order of draws, and _n, the label's rows.
+
+    A label isn't sorted in one task: its rows are dealt by the first bits of the draw, ranked within those, and moved
+    by the counts before, which are 2^bits numbers for each label.
+    """
+    d = df.withColumn("_d", draw(key, seed)).withColumn("_b", F.shiftright("_d", 31 - bits))
+    counts = d.groupBy(label, "_b").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy("_l").orderBy("_o")
+    before = counts.select(F.col(label).alias("_l"), F.col("_b").alias("_o"), "_c").withColumns({"_before": F.sum("_c").over(w) - F.col("_c"), "_n": F.sum("_c").over(Window.partitionBy("_l"))})
+    d = d.join(before.drop("_c"), F.col(label).eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_o")))
+    within = Window.partitionBy(label, "_b").orderBy("_d", key)
+    return d.withColumn("_rank", F.col("_before") + F.row_number().over(within)).drop("_d", "_b", "_l", "_o", "_before")
+
+
 def stratified(df: DataFrame, fraction: float, key: str = "sample_id", label: str = "label", seed: int = 0) -> DataFrame:
     """round(fraction n) rows of each label."""
-    n = df.groupBy(label).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(label).orderBy(draw(key, seed), key)
-    d = df.withColumn("_r", F.row_number().over(w)).join(F.broadcast(n), label)  # a legend
-    return d.where(F.col("_r") <= F.round(F.col("_n") * fraction)).drop("_r", "_n")
+    return ranked(df, key, label, seed).where(F.col("_rank") <= F.round(F.col("_n") * fraction)).drop("_rank", "_n")
 
 
 def sample(df: DataFrame, fraction: float, key: str = "sample_id", label: str = "label", oversample: bool = False, seed: int = 0) -> DataFrame:
@@ -35,25 +47,18 @@ def sample(df: DataFrame, fraction: float, key: str = "sample_id", label: str =
 
 def split(df: DataFrame, validation: float, key: str = "sample_id", label: str = "label", seed: int = 0) -> DataFrame:
     """Adds train: true for round(n (1 - validation)) rows of each label."""
-    n = df.groupBy(label).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(label).orderBy(draw(key, seed), key)
-    d = df.withColumn("_r", F.row_number().over(w)).join(F.broadcast(n), label)
-    return d.withColumn("train", F.col("_r") <= F.round(F.col("_n") * (1 - validation))).drop("_r", "_n")
+    return ranked(df, key, label, seed).withColumn("train", F.col("_rank") <= F.round(F.col("_n") * (1 - validation))).drop("_rank", "_n")
 
 
 def folds(df: DataFrame, k: int = 5, key: str = "sample_id", label: str = "label", seed: int = 0) -> DataFrame:
     """Adds fold, 1 to k, balanced within each label."""
-    w = Window.partitionBy(label).orderBy(draw(key, seed), key)
-    return df.withColumn("fold", (F.pmod(F.row_number().over(w) - 1, F.lit(k)) + 1).cast("int"))
+    return ranked(df, key, label, seed).withColumn("fold", (F.pmod(F.col("_rank") - 1, F.lit(k)) + 1).cast("int")).drop("_rank", "_n")
 
 
 def stratified_points(df: DataFrame, sizes: dict[str, int], key: str, label: str = "label", overhead: float = 1.2, seed: int = 0) -> DataFrame:
-    """ceil(overhead size) rows of each class. Each task first keeps as many of its own, then the classes are ranked."""
-    want = F.create_map(*(F.lit(x) for kv in sizes.items() for x in kv))[F.col(label)]
-    limit = F.ceil(want * overhead)
-    salt = Window.partitionBy(label, F.pmod(F.xxhash64(key), F.lit(64))).orderBy(draw(key, seed), key)
-    d = df.where(want.isNotNull()).withColumn("_r", F.row_number().over(salt)).where(F.col("_r") <= limit)
-    return d.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(draw(key, seed), key))).where(F.col("_r") <= limit).drop("_r")
+    """ceil(overhead size) rows of each class."""
+    limit = F.ceil(F.create_map(*(F.lit(x) for kv in sizes.items() for x in kv))[F.col(label)] * overhead)
+    return ranked(df.where(F.col(label).isin(*sizes)), key, label, seed).where(F.col("_rank") <= limit).drop("_rank", "_n")
 
 
 def weighted_points(df: DataFrame, size: int, weight: str, key: str, label: str = "label", seed: int = 0) -> DataFrame:
@@ -113,3 +118,12 @@ def smote(df: DataFrame, features: list[str], target: int, key: str = "sample_id
     w = Window.partitionBy(label).orderBy("_i", key)
     made = made.withColumn("_w", F.row_number().over(w)).where(F.col("_w") <= target - F.col("_n"))
     return made.select(label, *(F.col("z")[i].alias(f) for i, f in enumerate(features)))
+
+
+def top_values(df: DataFrame, value: str, n: int, window: int = 3, block: int = 5, smoothing: bool = True) -> DataFrame:
+    """The n greatest cells of a tile: a median filter, then the greatest cell of each block, then the n first."""
+    from .neighbourhood import block_max, kernel
+
+    d = kernel(df, value, "w_median", window).withColumnRenamed("w_median", value) if smoothing else df
+    w = Window.partitionBy("tile").orderBy(F.desc(value), "row", "col")
+    return block_max(d, value, block).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

@@ -207,3 +207,24 @@ def summary(df: DataFrame, keys: list[str] = KEYS, label: str = "label") -> Data
 
 def relabel(df: DataFrame, names: dict[str, str], label: str = "label") -> DataFrame:
     return df.withColumn(label, F.coalesce(F.create_map(*(F.lit(x) for kv in names.items() for x in kv))[F.col(label)], F.col(label)))
+
+
+#: Layouts of values as nested arrays: what the rows are, then what the arrays hold from outside in.
+LAYOUTS = ("cases_dates_bands", "bands_cases_dates", "bands_dates_cases")
+
+
+def values(df: DataFrame, bands: list[str], layout: str = "cases_dates_bands", key: str = "sample_id", index: str = "index") -> DataFrame:
+    """Series as arrays: for each case dates x bands; for each band and case its dates; or for each band and date its cases."""
+    if layout == "cases_dates_bands":
+        return df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(index, F.array(*bands).alias("v")))).alias("_s")).select(key, F.col("_s.v").alias("values"))
+    long = df.select(key, index, F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.col(b).alias("v")) for b in bands))).alias("_e")).select(key, index, "_e.*")
+    if layout == "bands_cases_dates":
+        return long.groupBy("band", key).agg(F.array_sort(F.collect_list(F.struct(index, "v"))).alias("_s")).select("band", key, F.col("_s.v").alias("values"))
+    if layout == "bands_dates_cases":
+        return long.groupBy("band", index).agg(F.array_sort(F.collect_list(F.struct(key, "v"))).alias("_s")).select("band", index, F.col("_s.v").alias("values"))
+    raise ValueError(f"no such layout: {layout}")
+
+
+def foreach(df: DataFrame, fn, schema: str, keys: list[str] = KEYS) -> DataFrame:
+    """A function of one group's rows as a pandas frame, for each sample (or, with other keys, each tile's chunk)."""
+    return df.groupBy(*keys).applyInPandas(fn, schema)

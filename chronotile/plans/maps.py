@@ -204,3 +204,25 @@ def segment_samples(spark, d):
 def mixture(spark, d):
     g = T.grid(spark, d).select("tile", "row", "col", (F.col("value") / 2000).alias("b1"), (F.col("size") / 50).alias("b2"), (F.col("class") / 5).alias("b3"))
     return r6(learn.mixture(g, ["b1", "b2", "b3"], {"soil": [0.8, 0.1, 0.2], "water": [0.1, 0.05, 0.9], "green": [0.4, 0.9, 0.3]}), "soil", "water", "green", "rmse")
+
+
+@query("top_values", sql("grid") + windowed("s.value", 3) + ", k as (select tile, row, col, median(value) as value from n group by 1, 2, 3), m as (select *, row_number() over (partition by tile, row // 5, col // 5 order by value desc, row, col) as r from k), z as (select *, row_number() over (partition by tile order by value desc, row, col) as rank from m where r = 1) select tile, row, col, round(value, 4) as value, cast(rank as int) as rank from z where rank <= 4")
+def top_values(spark, d):
+    return r6(sampling.top_values(T.grid(spark, d), "value", 4), "value", digits=4)
+
+
+@query("change_map")
+def change_map(spark, d):
+    """Each pixel's probability over six dates, by its value; the date at which a change is confirmed."""
+    from ..operators import change
+
+    g = T.grid(spark, d).select("tile", "row", "col", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("index"), "size")
+    p = g.withColumn("p", F.when(F.col("index") > 2 + F.col("size") % 5, 0.9).otherwise(0.2))
+    return change.detect_changes(p, "p", ["tile", "row", "col"])
+
+
+@query("change_runs", sql("grid") + ", c as (select *, lag(col) over (partition by tile, class, row order by col) as p from grid), r as (select *, sum(case when p is null or col - p > 1 then 1 else 0 end) over (partition by tile, class, row order by col) as k from c) select tile, class as change, row, min(col) as col_from, max(col) as col_to, count(*) as cells from r group by tile, class, row, k")
+def change_runs(spark, d):
+    from ..operators import change
+
+    return change.change_polygons(T.grid(spark, d).withColumnRenamed("class", "change").select("tile", "row", "col", "change"))

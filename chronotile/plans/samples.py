@@ -405,6 +405,16 @@ def average_polygon(spark, d):
     return r6(cube.average_polygon(x, ["QTY"]).drop("longitude", "latitude"), "QTY")
 
 
+@query("values_by_date", sql("series") + " select idx as index, list(qty order by sample_id) as values from series group by 1")
+def values_by_date(spark, d):
+    return S.values(T.series(spark, d), ["QTY"], "bands_dates_cases").select("index", "values")
+
+
+@query("values_by_sample", sql("series") + " select sample_id, list([qty, price] order by idx) as values from series group by 1")
+def values_by_sample(spark, d):
+    return S.values(T.series(spark, d), ["QTY", "PRICE"])
+
+
 assert set(ALL) - {"t_fslope"} == set(temporal.REDUCTIONS)
 
 

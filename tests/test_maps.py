@@ -101,6 +101,29 @@ def test_sampling_is_stratified_and_repeats(spark):
     assert s.count() == 10 and s.where("f < 0 or f > 29 or g <> 1").count() == 0
 
 
+def test_ranks_are_exact_over_many_buckets(spark):
+    d = spark.range(5000).select(F.col("id").alias("sample_id"), F.when(F.col("id") % 3 == 0, "x").otherwise("y").alias("label"))
+    for bits in (2, 12):
+        r = sampling.ranked(d, "sample_id", "label", bits=bits).toPandas()
+        for _, part in r.groupby("label"):
+            order = part.sort_values("_rank").sample_id.to_numpy()
+            keys = (order * sampling.MIX) % sampling.PRIME
+            assert sorted(part._rank) == list(range(1, len(part) + 1)) and (np.diff(keys) >= 0).all() and (part._n == len(part)).all()
+
+
+def test_change_runs_and_layouts(spark):
+    from chronotile.operators import series as S
+
+    d = spark.createDataFrame([("T", 0, c, 3) for c in (0, 1, 4)] + [("T", 1, 1, 3), ("T", 1, 2, None)], "tile string, row int, col int, change int")
+    assert sorted((r.row, r.col_from, r.col_to, r.cells) for r in change.change_polygons(d).collect()) == [(0, 0, 1, 2), (0, 4, 4, 1), (1, 1, 1, 1)]
+    f = spark.createDataFrame([(1, 1, 5.0, 7.0), (1, 2, 6.0, 8.0), (2, 1, 9.0, 1.0)], "sample_id int, index int, A double, B double")
+    assert {r.sample_id: r["values"] for r in S.values(f, ["A", "B"]).collect()} == {1: [[5, 7], [6, 8]], 2: [[9, 1]]}
+    assert {(r[0], r[1]): r[2] for r in S.values(f, ["A"], "bands_dates_cases").collect()} == {("A", 1): [5, 9], ("A", 2): [6]}
+    assert {(r[0], r[1]): r[2] for r in S.values(f, ["A"], "bands_cases_dates").collect()} == {("A", 1): [5, 6], ("A", 2): [9]}
+    with pytest.raises(ValueError):
+        S.values(f, ["A"], "x")
+
+
 def test_dtw_and_changes(spark):
     x = np.array([1.0, 2.0, 3.0])
     assert change.dtw(x, x) == 0
