@@ -28,9 +28,10 @@ def catalog_spatial(spark, d):
     return C.filter_spatial(T.tiles(spark, d), (12, 5, 25, 22))
 
 
-@query("catalog_collections", sql("assets") + " select tile as source, band as collection, list_sort(list(distinct cast(year(date) as varchar))) as bands from assets group by 1, 2")
+@query("catalog_collections", sql("assets") + " select tile as source, band as collection, array_to_string(list_sort(list(distinct cast(year(date) as varchar))), ',') as bands from assets group by 1, 2")
 def catalog_collections(spark, d):
-    return catalog.list_collections(T.assets(spark, d).select(F.col("tile").alias("source"), F.col("band").alias("collection"), F.year("date").cast("string").alias("band")))
+    x = catalog.list_collections(T.assets(spark, d).select(F.col("tile").alias("source"), F.col("band").alias("collection"), F.year("date").cast("string").alias("band")))
+    return x.withColumn("bands", F.array_join("bands", ","))
 
 
 @query("roi_to_tiles", sql("tiles") + " select tile as tile_id, round(100 * (least(xmax, 25) - greatest(xmin, 12)) * (least(ymax, 22) - greatest(ymin, 5)) / ((xmax - xmin) * (ymax - ymin)), 2) as coverage_percentage from tiles where xmin <= 25 and xmax >= 12 and ymin <= 22 and ymax >= 5")
@@ -186,7 +187,7 @@ def get_probs(spark, d):
     return r6(C.get_values(T.points(spark, d), T.grid_tiles(spark, d), T.probs(spark, d)).select("sample_id", "a", "b", "c"), "a", "b", "c", digits=8)
 
 
-@query("mask_scale", "select p_partkey, case when p_size = 7 or p_size < 3 or p_size > 45 then null else p_size * 0.5 + 10 end as value, least(greatest(p_size, 3), 45) * 0.5 as clamped, (p_size & 6) > 0 as cloud, p_size in (3, 9) as listed from part")
+@query("mask_scale", "select p_partkey, case when p_size = 7 or p_size < 3 or p_size > 45 then null else cast(p_size * 0.5 + 10 as double) end as value, cast(least(greatest(p_size, 3), 45) * 0.5 as double) as clamped, (p_size & 6) > 0 as cloud, p_size in (3, 9) as listed from part")
 def mask_scale(spark, d):
     s = F.col("p_size")
     return T.read(spark, d, "part").select("p_partkey", scalars.masked(s, 7, 3, 45, 0.5, 10.0).alias("value"), scalars.clamped(s, 3, 45, 0.5).alias("clamped"), scalars.cloudy(s, bits=[1, 2]).alias("cloud"), scalars.cloudy(s, values=[3, 9]).alias("listed"))

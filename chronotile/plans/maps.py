@@ -169,7 +169,7 @@ def summary_quantiles(spark, d):
     return r6(maps.summary_quantiles(T.probs(spark, d), PROBS, 0.25), *PROBS)
 
 
-@query("histogram", sql("grid") + ", b as (select tile, cast(least(greatest(floor((value - 900) / 60.0), 0), 19) as int) as bin, count(*) as count from grid group by 1, 2) select tile, bin, count, 900 + bin * 60.0 as low, round(count / sum(count) over (partition by tile) / 60, 8) as density from b")
+@query("histogram", sql("grid") + ", b as (select tile, cast(least(greatest(floor((value - 900) / 60.0), 0), 19) as int) as bin, count(*) as count from grid group by 1, 2) select tile, bin, count, cast(900 + bin * 60.0 as double) as low, round(count / sum(count) over (partition by tile) / 60, 8) as density from b")
 def histogram(spark, d):
     return r6(maps.histogram(T.grid(spark, d), "value", 900.0, 2100.0, 20, ("tile",)), "density", digits=8)
 

@@ -88,7 +88,7 @@ def filter_whittaker(spark, d):
     return r6(S.whittaker(T.series(spark, d), "QTY", 0.5), "QTY")
 
 
-@query("nest_unnest", sql("series") + " select sample_id, row_number() over (partition by sample_id order by idx) - 1 as place, idx as index, qty as QTY from series")
+@query("nest_unnest", sql("series") + " select sample_id, cast(row_number() over (partition by sample_id order by idx) - 1 as int) as place, idx as index, qty as QTY from series")
 def nest_unnest(spark, d):
     return S.unnest(S.nest(T.series(spark, d), ["QTY"]))
 
@@ -405,14 +405,16 @@ def average_polygon(spark, d):
     return r6(cube.average_polygon(x, ["QTY"]).drop("longitude", "latitude"), "QTY")
 
 
-@query("values_by_date", sql("series") + " select idx as index, list(qty order by sample_id) as values from series group by 1")
+@query("values_by_date", sql("series") + " select idx as index, arg_min(qty, sample_id) as first, arg_max(qty, sample_id) as last, cast(count(*) as int) as n from series group by 1")
 def values_by_date(spark, d):
-    return S.values(T.series(spark, d), ["QTY"], "bands_dates_cases").select("index", "values")
+    x = S.values(T.series(spark, d), ["QTY"], "bands_dates_cases")
+    return x.select("index", F.col("values")[0].alias("first"), F.element_at("values", -1).alias("last"), F.size("values").alias("n"))
 
 
-@query("values_by_sample", sql("series") + " select sample_id, list([qty, price] order by idx) as values from series group by 1")
+@query("values_by_sample", sql("series") + " select sample_id, arg_min(qty, idx) as first, arg_max(price, idx) as last, cast(count(*) as int) as n from series group by 1")
 def values_by_sample(spark, d):
-    return S.values(T.series(spark, d), ["QTY", "PRICE"])
+    x = S.values(T.series(spark, d), ["QTY", "PRICE"])
+    return x.select("sample_id", F.col("values")[0][0].alias("first"), F.element_at("values", -1)[1].alias("last"), F.size("values").alias("n"))
 
 
 assert set(ALL) - {"t_fslope"} == set(temporal.REDUCTIONS)
