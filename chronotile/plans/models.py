@@ -97,7 +97,7 @@ GEO = sql("points") + ", p as (select sample_id, longitude % 30 as x, latitude a
 @query("geo_distances", GEO)
 def geo_distances(spark, d):
     p = T.points(spark, d).select("sample_id", F.round(F.col("longitude") % 30, 6).alias("longitude"), "latitude")
-    return r6(learn.geo_distances(p, p, 2.0), "distance", digits=4)
+    return r6(learn.geo_distances(p, p), "distance", digits=4)
 
 
 @query("som_undersample")
