@@ -35,6 +35,7 @@ def _register(name, method):
 
 _register("random_forest", lambda: learn.random_forest(FEATURES, trees=20, depth=6))
 _register("svm", lambda: learn.svm(FEATURES, iterations=20))
+_register("radial_svm", lambda: learn.svm(FEATURES, iterations=10, radial=True, components=32))
 _register("boosted", lambda: learn.boosted(FEATURES, rounds=3, depth=3))
 _register("perceptron", lambda: learn.perceptron(FEATURES, 3, layers=(16,), iterations=40))
 _register("logistic", lambda: learn.logistic(FEATURES, iterations=40))
@@ -127,3 +128,10 @@ _neural("temporal_convolution", lambda n: lambda labels: n.TempCNN(labels, filte
 _neural("residual_network", lambda n: lambda labels: n.ResNet(labels, blocks=(16, 16)))
 _neural("temporal_attention", lambda n: lambda labels: n.Attention(labels, range(0, 128, 16), width=32, heads=4, keys=8))
 _neural("light_attention", lambda n: lambda labels: n.Attention(labels, range(0, 128, 16), width=32, heads=4, keys=8, light=True))
+
+
+@query("som_online")
+def som_online(spark, d):
+    x = features(spark, d)
+    som = learn.Som.online(x, FEATURES, 5, 5, 10)
+    return r6(som.map(x, FEATURES).select("sample_id", "label", "neuron", "distance"), "distance")

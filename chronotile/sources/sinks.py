@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from xml.sax.saxutils import quoteattr
+import zipfile
+from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,29 @@ def accuracy_to_csv(tables: dict[str, DataFrame], path: str, mode: str = "errori
         t.write.mode(mode).option("header", "true").csv(f"{path}/{name}")
 
 
+def accuracy_to_workbook(tables: dict[str, DataFrame], path: str, max_rows: int = 100_000) -> None:
+    """A sheet for each table, of which more than max_rows rows are an error: accuracy tables are small."""
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    cell = lambda v: "<c/>" if v is None else f"<c><v>{v!r}</v></c>" if isinstance(v, (int, float)) and not isinstance(v, bool) else f'<c t="inlineStr"><is><t>{escape(str(v))}</t></is></c>'
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for k, t in enumerate(tables.values(), 1):
+            rows = t.limit(max_rows + 1).collect()
+            if len(rows) > max_rows:
+                raise ValueError(f"a sheet takes at most {max_rows} rows")
+            lines = "".join("<row>" + "".join(map(cell, r)) + "</row>" for r in [tuple(t.columns), *map(tuple, rows)])
+            z.writestr(f"xl/worksheets/sheet{k}.xml", f"<worksheet {ns}><sheetData>{lines}</sheetData></worksheet>")
+        sheets = "".join(f'<sheet name={quoteattr(n[:31])} sheetId="{k}" r:id="rId{k}"/>' for k, n in enumerate(tables, 1))
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="{rel}"><sheets>{sheets}</sheets></workbook>')
+        links = "".join(f'<Relationship Id="rId{k}" Type="{rel}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in range(1, len(tables) + 1))
+        package = "http://schemas.openxmlformats.org/package/2006"
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}/relationships">{links}</Relationships>')
+        z.writestr("_rels/.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        main = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="{main}.worksheet+xml"/>' for k in range(1, len(tables) + 1))
+        z.writestr("[Content_Types].xml", f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{main}.sheet.main+xml"/>{parts}</Types>')
+
+
 def point_text(x: Column, y: Column) -> Column:
     return F.concat(F.lit("POINT("), x.cast("string"), F.lit(" "), y.cast("string"), F.lit(")"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,3 +89,62 @@ def points_within(points: DataFrame, polygons: DataFrame, geometry: str = "geome
             yield part[keep]
 
     return j.mapInPandas(run, fields)
+
+
+def _shapes(raw: bytes) -> list[str | None]:
+    """Well-known text of each record of a shape file: points and polygons (parts as rings), else null."""
+    out, at = [], 100
+    while at + 12 <= len(raw):
+        words = struct.unpack(">i", raw[at + 4 : at + 8])[0]
+        body = raw[at + 8 : at + 8 + 2 * words]
+        kind = struct.unpack("<i", body[:4])[0]
+        text = None
+        if kind in (1, 11, 21):
+            x, y = struct.unpack("<2d", body[4:20])
+            text = f"POINT({x!r} {y!r})"
+        elif kind in (5, 15, 25):
+            parts, points = struct.unpack("<2i", body[36:44])
+            starts = [*struct.unpack(f"<{parts}i", body[44 : 44 + 4 * parts]), points]
+            xy = np.frombuffer(body, "<f8", 2 * points, 44 + 4 * parts).reshape(-1, 2)
+            text = "POLYGON(" + ", ".join("(" + ", ".join(f"{float(x)!r} {float(y)!r}" for x, y in xy[a:b]) + ")" for a, b in zip(starts, starts[1:], strict=False)) + ")"
+        out.append(text)
+        at += 8 + 2 * words
+    return out
+
+
+def _attributes(raw: bytes) -> list[dict[str, str]]:
+    """Records of the table beside a shape file, as text."""
+    if len(raw) < 32:
+        return []
+    n, head, size = struct.unpack("<IHH", raw[4:12])
+    fields, at = [], 32
+    while at + 32 <= head and raw[at] != 0x0D:
+        fields.append((raw[at : at + 11].split(b"\0")[0].decode("latin-1"), raw[at + 16]))
+        at += 32
+    rows = []
+    for k in range(n):
+        row, p = {}, head + k * size + 1
+        for name, width in fields:
+            row[name] = raw[p : p + width].decode("utf-8", "replace").strip()
+            p += width
+        rows.append(row)
+    return rows
+
+
+def read_shapes(spark, path: str, label: str | None = None) -> DataFrame:
+    """polygon_id, label and geometry of shape files (a file, or a folder of them); label: the attribute that holds it."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{shp,dbf}").load(path if not path.endswith(".shp") else path.rsplit("/", 1)[0])
+    stem = F.regexp_replace("path", r"\.(shp|dbf)$", "")
+    if path.endswith(".shp"):
+        files = files.where(F.endswith(stem, F.lit("/" + path.rsplit("/", 1)[-1][:-4])))
+    pairs = files.groupBy(stem.alias("stem")).agg(F.max(F.when(F.endswith("path", F.lit(".shp")), F.col("content"))).alias("shp"), F.max(F.when(F.endswith("path", F.lit(".dbf")), F.col("content"))).alias("dbf")).where("shp is not null")
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for stem, shp, dbf in zip(part["stem"], part["shp"], part["dbf"], strict=True):
+                shapes = _shapes(bytes(shp))
+                rows = _attributes(bytes(dbf)) if dbf is not None else []
+                rows += [{}] * (len(shapes) - len(rows))
+                yield pd.DataFrame({"file": stem, "polygon_id": range(1, len(shapes) + 1), "label": [r.get(label) if label else None for r in rows[: len(shapes)]], "geometry": shapes})
+
+    return pairs.mapInPandas(parse, "file string, polygon_id long, label string, geometry string")

@@ -83,3 +83,49 @@ def test_settings(tmp_path, monkeypatch):
     config.colors_reset()
     config.load()
     assert config.get("chunk") == 256
+
+
+def test_shape_files(spark, tmp_path):
+    import struct
+
+    ring = [(0.0, 0.0), (0.0, 2.0), (2.0, 2.0), (0.0, 0.0)]
+    body = struct.pack("<i4d2ii", 5, 0, 0, 2, 2, 1, len(ring), 0) + b"".join(struct.pack("<2d", *p) for p in ring)
+    point = struct.pack("<i2d", 1, 3.5, -4.25)
+    records = b"".join(struct.pack(">2i", k, len(b) // 2) + b for k, b in enumerate((body, point), 1))
+    (tmp_path / "a.shp").write_bytes(b"\0" * 100 + records)
+    field = b"CLASS".ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([8]) + b"\0" * 15
+    (tmp_path / "a.dbf").write_bytes(b"\x03\0\0\0" + struct.pack("<IHH", 2, 32 + 32 + 1, 9) + b"\0" * 20 + field + b"\x0d" + b" Forest  " + b" Pasture ")
+    for path in (str(tmp_path), str(tmp_path / "a.shp")):
+        r = vector.read_shapes(spark, path, "CLASS").orderBy("polygon_id").collect()
+        assert [(x.label, x.geometry) for x in r] == [("Forest", "POLYGON((0.0 0.0, 0.0 2.0, 2.0 2.0, 0.0 0.0))"), ("Pasture", "POINT(3.5 -4.25)")]
+
+
+def test_workbook(spark, tmp_path):
+    import zipfile
+    from xml.etree import ElementTree
+
+    from chronotile.sources import sinks
+
+    t = spark.createDataFrame([("a<b", 1.5), (None, 2.0)], "label string, f1 double")
+    sinks.accuracy_to_workbook({"by class": t, "again": t}, str(tmp_path / "x.xlsx"))
+    with zipfile.ZipFile(tmp_path / "x.xlsx") as z:
+        for n in z.namelist():
+            ElementTree.fromstring(z.read(n))
+        assert "a&lt;b" in z.read("xl/worksheets/sheet2.xml").decode()
+    with pytest.raises(ValueError):
+        sinks.accuracy_to_workbook({"t": t}, str(tmp_path / "y.xlsx"), max_rows=1)
+
+
+def test_radial_machines_see_rings(spark):
+    g = np.random.default_rng(2)
+    xy = g.normal(0, 1, (300, 2))
+    d = spark.createDataFrame([(k, float(a), float(b), "in" if a * a + b * b < 1 else "out") for k, (a, b) in enumerate(xy)], "sample_id long, a double, b double, label string")
+    hit = lambda m: learn.classify(learn.train(d, m), d).where("label = predicted").count() / 300
+    assert hit(learn.svm(["a", "b"], iterations=15, radial=True, components=48, gamma=1.0)) > 0.9 > hit(learn.svm(["a", "b"], iterations=15))
+
+
+def test_online_map(spark):
+    d = spark.createDataFrame([(k, float(k % 2 * 10 + k / 100)) for k in range(60)], "sample_id long, v double")
+    m = learn.Som.online(d, ["v"], 2, 2, 20).map(d, ["v"])
+    assert m.groupBy(F.col("sample_id") % 2).agg(F.collect_set("neuron").alias("n")).select(F.size("n")).count() == 2
+    assert m.agg(F.max("distance")).first()[0] < 2
