@@ -47,12 +47,22 @@ def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) ->
     return (a_start <= b_end) & (b_start <= a_end)
 
 
+#: Mean lengths of a unit in days, for spans that slide by a duration and not by the calendar.
+DAYS = {"day": 1.0, "month": 30.4375, "year": 365.25}
+
+
 def period_windows(spans: DataFrame, period: str, every: str, start: str = "start_date", end: str = "end_date") -> DataFrame:
-    """Each row's windows of `period` from every `every` on, while they begin before the end; the last ends with it."""
-    n, unit = parse_period(every)
-    sequence = F.sequence(F.col(start), F.col(end), F.expr(f"interval {n} {unit}"))
-    d = spans.withColumn("window_start", F.explode(sequence)).where(F.col("window_start") < F.col(end))
-    return d.withColumn("window_end", F.least(F.date_sub(step(F.col("window_start"), period), 1), F.col(end)))
+    """Each row's windows of `period`, one every `every` while it begins before the end; none goes beyond the end.
+
+    Months and years are mean durations, whose parts of a day add up from window to window.
+    """
+    (n, unit), (m, by) = parse_period(period), parse_period(every)
+    length, step_days = n * DAYS[unit], m * DAYS[by]
+    span = F.datediff(F.col(end), F.col(start))
+    last = F.ceil(span / F.lit(step_days)).cast("int") - 1
+    d = spans.where(span > 0).withColumn("_k", F.explode(F.sequence(F.lit(0), last)))
+    d = d.withColumn("window_start", F.date_add(start, F.floor(F.col("_k") * F.lit(step_days)).cast("int")))
+    return d.withColumn("window_end", F.least(F.date_add(start, F.floor(F.col("_k") * F.lit(step_days) + F.lit(length)).cast("int")), F.col(end))).drop("_k")
 
 
 def valid_timeline(first: Column, last: Column, period: str) -> Column:

@@ -66,22 +66,23 @@ def area_assess(table: DataFrame, areas: DataFrame) -> DataFrame:
     )
 
 
-def sampling_design(areas: DataFrame, expected_ua: dict[str, float], rare: float = 0.1, alloc: tuple[int, ...] = (100, 75, 50), std_err: float = 0.01) -> DataFrame:
-    """Sample sizes of each class for a standard error: equal, with a floor for rare classes, and in proportion."""
+def sampling_design(areas: DataFrame, expected_ua: dict[str, float], default_ua: float = 0.75, rare: float = 0.1, alloc: tuple[int, ...] = (100, 75, 50), std_err: float = 0.01) -> DataFrame:
+    """Sample sizes of each class for a standard error: equal, with fixed numbers for rare classes, and in proportion."""
     from functools import reduce
 
     ua = F.create_map(*(F.lit(x) for kv in expected_ua.items() for x in kv)) if expected_ua else F.lit(None).cast("map<string, double>")
-    d = areas.withColumn("prop", F.col("area") / F.sum("area").over(Window.partitionBy())).withColumn("expected_ua", F.coalesce(ua[F.col("label")], F.lit(0.7)))
+    d = areas.withColumn("prop", F.col("area") / F.sum("area").over(Window.partitionBy())).withColumn("expected_ua", F.coalesce(ua[F.col("label")], F.lit(default_ua)))
     s = F.sqrt(F.col("expected_ua") * (1 - F.col("expected_ua")))
     digits = 2 - F.floor(F.log10(F.greatest(s, F.lit(1e-300))))
     d = d.withColumn("std_dev", F.round(s * F.pow(F.lit(10.0), digits), 0) / F.pow(F.lit(10.0), digits))
     one = Window.partitionBy()
-    d = d.withColumn("_n", F.round(F.pow(F.sum(F.col("prop") * F.col("std_dev")).over(one) / std_err, F.lit(2.0)), 0))
-    d = d.withColumns({"_k": F.count("*").over(one), "_rare": F.col("prop") < rare})
+    d = d.withColumn("_n", F.bround(F.pow(F.sum(F.col("prop") * F.col("std_dev")).over(one) / std_err, F.lit(2.0)), 0))
+    d = d.withColumns({"_k": F.count("*").over(one), "_rare": F.col("prop") <= rare})
     d = d.withColumns({"_nr": F.sum(F.col("_rare").cast("int")).over(one), "_pr": F.sum(F.when(F.col("_rare"), F.col("prop")).otherwise(0.0)).over(one)})
-    d = d.withColumn("equal", F.ceil(F.col("_n") / F.col("_k")))
-    d = reduce(lambda x, a: x.withColumn(f"alloc_{a}", F.ceil(F.when(F.col("_rare"), F.lit(float(a))).otherwise((F.col("_n") - a * F.col("_nr")) * F.col("prop") / (1 - F.col("_pr"))))), alloc, d)
-    return d.withColumn("alloc_prop", F.ceil(F.col("_n") * F.col("prop"))).drop("_n", "_k", "_rare", "_nr", "_pr")
+    whole = lambda c: F.bround(c, 0).cast("long")
+    d = d.withColumn("equal", whole(F.col("_n") / F.col("_k")))
+    d = reduce(lambda x, a: x.withColumn(f"alloc_{a}", whole(F.when(F.col("_rare"), F.lit(float(a))).otherwise(F.col("prop") / (1 - F.col("_pr")) * (F.col("_n") - a * F.col("_nr"))))), alloc, d)
+    return d.withColumn("alloc_prop", whole(F.col("_n") * F.col("prop"))).drop("_n", "_k", "_rare", "_nr", "_pr")
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:

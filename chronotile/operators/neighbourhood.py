@@ -130,9 +130,11 @@ def clean(df: DataFrame, value: str = "class", window: int = 5, chunk: int = 256
     return d.withColumn(value, F.col("_v").cast("int")).drop("_v")
 
 
-def _logits(p: np.ndarray) -> np.ndarray:
-    q = np.where(p >= 1, 0.999999, np.where(p <= 0, 0.000001, p))
-    return np.log(q / (1 - q))
+def _logits(views: dict[str, np.ndarray], names: list[str]) -> dict[str, np.ndarray]:
+    """Logarithms of each probability over the others' sum; 0 and 1 are moved a little inwards."""
+    q = {n: np.where(views[n] == 1, 0.999999, np.where(views[n] == 0, 0.000001, views[n])) for n in names}
+    total = sum(q.values())
+    return {n: np.log(q[n] / (total - q[n])) for n in names}
 
 
 def smooth(df: DataFrame, probs: list[str], window: int = 9, fraction: float = 0.5, smoothness: float | list[float] = 20.0, chunk: int = 256) -> DataFrame:
@@ -140,9 +142,9 @@ def smooth(df: DataFrame, probs: list[str], window: int = 9, fraction: float = 0
     strength = smoothness if isinstance(smoothness, list) else [smoothness] * len(probs)
 
     def fn(views):
-        out = []
+        out, logits = {}, _logits(views, probs)
         for b, name in enumerate(probs):
-            x = _logits(views[name])
+            x = logits[name]
             x0 = x[..., x.shape[-1] // 2]
             s = -np.sort(-x, -1)  # missing ones last
             n = (~np.isnan(x)).sum(-1)
@@ -152,9 +154,8 @@ def smooth(df: DataFrame, probs: list[str], window: int = 9, fraction: float = 0
             s0 = np.where(used, (s - m0[..., None]) ** 2, 0).sum(-1) / np.maximum(k - 1, 1)
             w = s0 / (s0 + strength[b])
             y = np.where(np.isnan(x0) | (s0 < 1e-4), m0, w * x0 + (1 - w) * m0)
-            out.append(np.where(n > 0, 1 / (1 + np.exp(-y)), np.nan))
-        total = sum(out)
-        return {name: y / total for name, y in zip(probs, out, strict=True)}
+            out[name] = np.where(n > 0, 1 / (1 + np.exp(-y)), np.nan)
+        return out
 
     return windows(df, probs, probs, window, fn, chunk=chunk)
 
@@ -163,9 +164,9 @@ def variance(df: DataFrame, probs: list[str], window: int = 9, fraction: float =
     """Sample variance of the highest floor(fraction n) logits in the window, which the edges cut."""
 
     def fn(views):
-        out = {}
+        out, logits = {}, _logits(views, probs)
         for name in probs:
-            x = _logits(views[name])
+            x = logits[name]
             s = -np.sort(-x, -1)
             n = (~np.isnan(x)).sum(-1)
             k = np.floor(n * fraction) if fraction < 1 else n

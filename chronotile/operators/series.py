@@ -56,8 +56,10 @@ def across(df: DataFrame, bands: list[str], fn) -> DataFrame:
     return df.withColumns({b: fn(F.col(b)) for b in bands})
 
 
-def reduce(df: DataFrame, band: str, by: list[str], keys: list[str] = KEYS, index: str = "index") -> DataFrame:
-    """Reductions of a band's series by name, a row for each sample."""
+def reduce(df: DataFrame, band: str, by: list[str], keys: list[str] = KEYS, index: str = "index", impute: bool = False) -> DataFrame:
+    """Reductions of a band's series by name, a row for each sample; with impute, missing values are filled first."""
+    if impute:
+        df = impute_linear(df, band, keys, index)
     slope = "t_fslope" in by
     if slope:
         df = df.withColumn("_slope", temporal.slopes(band, keys, index))

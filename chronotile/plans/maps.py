@@ -74,15 +74,15 @@ _texture("glcm_correlation", "case when sum(p * (i - mu) ** 2) < 1e-15 then 1.0
 
 
 def _logits(names=PROBS) -> str:
-    f = lambda p: f"ln(case when {p} >= 1 then 0.999999 when {p} <= 0 then 0.000001 else {p} end / (1 - case when {p} >= 1 then 0.999999 when {p} <= 0 then 0.000001 else {p} end))"
-    return ", lg as (select tile, row, col, " + ", ".join(f"{f(p)} as {p}" for p in names) + " from probs)"
+    total = " + ".join(names)
+    return ", lg as (select tile, row, col, " + ", ".join(f"ln({p} / ({total} - {p})) as {p}" for p in names) + " from probs)"
 
 
 def _top(band: str, k: str) -> str:
     return f"list_reverse_sort(list({band}))[1:cast({k}(0.5 * count({band})) as int)]"
 
 
-@query("smooth", sql("grid", "probs") + _logits() + windowed("s.a, s.b, s.c", 5, source="lg") + ", h as (select tile, row, col, " + ", ".join(f"{_top(p, 'ceil')} as {p}" for p in PROBS) + " from n group by 1, 2, 3), e as (select h.tile, h.row, h.col, " + ", ".join(f"case when list_var_samp(h.{p}) < 1e-4 then list_avg(h.{p}) else list_var_samp(h.{p}) / (list_var_samp(h.{p}) + 20) * l.{p} + 20 / (list_var_samp(h.{p}) + 20) * list_avg(h.{p}) end as {p}" for p in PROBS) + " from h join lg l using (tile, row, col)), i as (select tile, row, col, " + ", ".join(f"1 / (1 + exp(-{p})) as {p}" for p in PROBS) + " from e) select tile, row, col, " + ", ".join(f"round({p} / (a + b + c), 6) as {p}" for p in PROBS) + " from i")
+@query("smooth", sql("grid", "probs") + _logits() + windowed("s.a, s.b, s.c", 5, source="lg") + ", h as (select tile, row, col, " + ", ".join(f"{_top(p, 'ceil')} as {p}" for p in PROBS) + " from n group by 1, 2, 3), e as (select h.tile, h.row, h.col, " + ", ".join(f"case when list_var_samp(h.{p}) < 1e-4 then list_avg(h.{p}) else list_var_samp(h.{p}) / (list_var_samp(h.{p}) + 20) * l.{p} + 20 / (list_var_samp(h.{p}) + 20) * list_avg(h.{p}) end as {p}" for p in PROBS) + " from h join lg l using (tile, row, col)), i as (select tile, row, col, " + ", ".join(f"1 / (1 + exp(-{p})) as {p}" for p in PROBS) + " from e) select tile, row, col, " + ", ".join(f"round({p}, 6) as {p}" for p in PROBS) + " from i")
 def smooth(spark, d):
     return r6(N.smooth(T.probs(spark, d), PROBS, 5, chunk=CHUNK), *PROBS)
 

@@ -250,10 +250,11 @@ def area_accuracy(spark, d):
     return r6(x, "adjusted_area", "stderr_area", "conf_interval", "user_acc", "prod_acc", "overall", digits=4)
 
 
-@query("sampling_design", f"""with v as (select label, area, area / sum(area) over () as prop, 0.7 as expected_ua, 0.458 as std_dev from {AREAS}), n as (select *, round((sum(prop * std_dev) over () / 0.01) ** 2) as n, count(*) over () as k from v)
- select label, round(prop, 6) as prop, cast(ceil(n / k) as bigint) as equal, cast(ceil(n * prop) as bigint) as alloc_prop, cast(ceil((n - 100 * 0) * prop) as bigint) as alloc_100 from n""")
+@query("sampling_design", f"""with v as (select label, area, area / sum(area) over () as prop, 0.433 as std_dev from {AREAS}), n as (select *, round_even((sum(prop * std_dev) over () / 0.01) ** 2, 0) as n, count(*) over () as k, prop <= 0.2 as rare from v),
+ r as (select *, sum(case when rare then 1 else 0 end) over () as nr, sum(case when rare then prop else 0 end) over () as pr from n)
+ select label, round(prop, 6) as prop, cast(round_even(n / k, 0) as bigint) as equal, cast(round_even(n * prop, 0) as bigint) as alloc_prop, cast(case when rare then 100 else round_even(prop / (1 - pr) * (n - 100 * nr), 0) end as bigint) as alloc_100 from r""")
 def sampling_design(spark, d):
-    x = accuracy.sampling_design(areas(spark), {})
+    x = accuracy.sampling_design(areas(spark), {}, rare=0.2)
     return r6(x.select("label", "prop", "equal", "alloc_prop", "alloc_100"), "prop")
 
 
@@ -280,8 +281,8 @@ def cluster_purity(spark, d):
 
 
 # ---- dates and periods --------------------------------------------------------------------------------------------
-@query("period_windows", """with s as (select o_orderkey, cast(o_orderdate as date) as start_date, cast(o_orderdate as date) + 180 as end_date from orders), w as (select s.*, cast(start_date + to_months(cast(i as int)) as date) as window_start from s, range(0, 8) r(i))
- select o_orderkey, window_start, least(cast(window_start + interval 3 month as date) - 1, end_date) as window_end from w where window_start < end_date""")
+@query("period_windows", """with s as (select o_orderkey, cast(o_orderdate as date) as a, cast(o_orderdate as date) + 180 as b from orders), w as (select s.*, cast(k as double) as k from s, range(0, 6) r(k) where k * 30.4375 < 180)
+ select o_orderkey, a + cast(floor(k * 30.4375) as int) as window_start, least(a + cast(floor(k * 30.4375 + 91.3125) as int), b) as window_end from w""")
 def period_windows(spark, d):
     s = T.read(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("start_date")).withColumn("end_date", F.date_add("start_date", 180))
     return D.period_windows(s, "P3M", "P1M").select("o_orderkey", "window_start", "window_end")

@@ -46,7 +46,7 @@ def test_smoothing_keeps_sums_and_constants(spark):
     p = np.full((6, 6), 0.3)
     d = pixels(spark, p, "a").withColumn("b", 1 - F.col("a"))
     s = N.smooth(d, ["a", "b"], 5, chunk=4)
-    assert np.allclose(array(s, "a", p.shape), 0.3)
+    assert np.allclose(array(s, "a", p.shape), 0.3) and np.allclose(array(s, "b", p.shape), 0.7)
     with pytest.raises(ValueError):
         N.smooth(d, ["a", "b"], 4)
 

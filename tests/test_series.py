@@ -119,7 +119,7 @@ def test_dates_and_periods(spark):
     assert [r[0] for r in d.select(D.parse_date(F.col("t"))).collect()] == [date(2020, 1, 1), date(2020, 3, 1), date(2020, 3, 7), date(2020, 3, 7), None]
     s = spark.createDataFrame([(date(2024, 1, 1), date(2024, 12, 31))], "start_date date, end_date date")
     w = D.period_windows(s, "P6M", "P1M").orderBy("window_start").collect()
-    assert len(w) == 12 and w[0].window_end == date(2024, 6, 30) and w[-1].window_end == date(2024, 12, 31)
+    assert len(w) == 12 and w[0].window_end == date(2024, 7, 1) and w[1].window_start == date(2024, 1, 31) and w[-1].window_end == date(2024, 12, 31)
     with pytest.raises(ValueError):
         D.parse_period("P1W")
     t = spark.createDataFrame([(date(2020, 3, 7), date(2020, 6, 1))], "a date, b date").select(D.valid_timeline(F.col("a"), F.col("b"), "P1M")).first()[0]
