@@ -77,27 +77,37 @@ def non_forest(bands: dict[str, tuple[float, float, float, float]], low: float =
 
 
 class ChangeState:
-    """The flags of a series so far: 1 from the first raised date on, until confirmed or refused."""
-
-    def __init__(self, threshold: float = 0.5, chi: float = 0.9, previous: float = 0.5, change: float | None = None, raised: int = 0):
-        self.threshold, self.chi, self.previous, self.change, self.raised = threshold, chi, previous, change, raised
-
-    def update(self, p: float) -> bool:
-        """Takes the next date's probability; whether the change is confirmed there."""
-        if self.change is None:
-            if p <= self.threshold:
-                self.previous = p
-                return False
-            prior = self.previous
-        else:
-            prior = self.change
-        both = prior * p
-        self.change = both / max(both + (1 - prior) * (1 - p), 1e-15)
-        self.raised += 1
-        self.previous = p
-        if self.raised > 1 and self.change < 0.5:
-            self.change, self.raised = None, 0
-        return self.change is not None and self.change >= self.chi and p >= 0.5
+    """A flagged run of a series: its dates' values, from the first above the threshold on, until confirmed or refused.
+
+    A refused run is tried again from its second date on, as a later date may begin the change.
+    """
+
+    def __init__(self, threshold: float = 0.5, chi: float = 0.9, previous: float = 0.5, run: list | None = None):
+        self.threshold, self.chi, self.previous, self.run = threshold, chi, previous, []
+        self.change = 0.0
+        for v, tag in run or []:
+            self._flag(v, tag)
+
+    def _flag(self, v: float, tag) -> None:
+        prior = self.change if self.run else self.previous
+        both = prior * v
+        self.change = both / max(both + (1 - prior) * (1 - v), 1e-15)
+        self.run.append((v, tag))
+
+    def update(self, p: float, tag):
+        """Takes the next date's probability and its tag; the tag of the date that confirms a change, else None."""
+        waiting = [(p, tag)]
+        while waiting:
+            v, t = waiting.pop(0)
+            if not self.run and v <= self.threshold:
+                self.previous = v
+                continue
+            self._flag(v, t)
+            if len(self.run) > 1 and self.change < 0.5:
+                self.previous, waiting, self.run = self.run[0][0], self.run[1:] + waiting, []
+            elif self.change >= self.chi and v >= 0.5:
+                return t
+        return None
 
 
 def detect_changes(df: DataFrame, probability: str, key: str | list[str] = "sample_id", index: str = "index", threshold: float = 0.5, chi: float = 0.9) -> DataFrame:
@@ -109,12 +119,8 @@ def detect_changes(df: DataFrame, probability: str, key: str | list[str] = "samp
         for part in batches:
             out = []
             for s in part["s"]:
-                state, at = ChangeState(threshold, chi), None
-                for r in s:
-                    if state.update(r["p"]):
-                        at = r["i"]
-                        break
-                out.append(at)
+                state = ChangeState(threshold, chi)
+                out.append(next((at for r in s if (at := state.update(r["p"], r["i"])) is not None), None))
             yield part[keys].assign(change=pd.Series(out, index=part.index, dtype=object))
 
     fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)

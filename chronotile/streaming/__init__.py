@@ -18,19 +18,20 @@ def regularize_stream(obs: DataFrame, period: str, lateness: str, keys: list[str
 
 
 def detect_changes_stream(obs: DataFrame, key: str = "sample_id", time: str = "ts", probability: str = "p", threshold: float = 0.5, chi: float = 0.9) -> DataFrame:
-    """A row for each key when its change is confirmed; the state of a key is three numbers."""
+    """A row for each key when its change is confirmed; the state of a key is the run of dates that is flagged."""
     from ..operators.change import ChangeState
 
     kind = obs.schema[key].dataType.simpleString()
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        previous, change, raised, done = state.get if state.exists else (0.5, -1.0, 0, False)
-        s = ChangeState(threshold, chi, previous, None if change < 0 else change, raised)
+        previous, values, times, done = state.get if state.exists else (0.5, [], [], False)
+        s = ChangeState(threshold, chi, previous, list(zip(values or [], times or [], strict=True)))
         rows = pd.concat(list(parts)).sort_values(time)
         for t, p in zip(rows[time], rows[probability], strict=True):
-            if not done and pd.notna(p) and s.update(p):
+            if not done and pd.notna(p) and (at := s.update(p, t)) is not None:
                 done = True
-                yield pd.DataFrame({key: [k[0]], "change": [t]})
-        state.update((s.previous, -1.0 if s.change is None else s.change, s.raised, done))
+                yield pd.DataFrame({key: [k[0]], "change": [at]})
+        run = [] if done else s.run
+        state.update((s.previous, [float(v) for v, _ in run], [pd.Timestamp(t).to_pydatetime() for _, t in run], done))
 
-    return obs.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, change timestamp", "previous double, change double, raised int, done boolean", "append", GroupStateTimeout.NoTimeout)
+    return obs.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, change timestamp", "previous double, run array<double>, times array<timestamp>, done boolean", "append", GroupStateTimeout.NoTimeout)

@@ -133,6 +133,17 @@ def test_dtw_and_changes(spark):
     assert r[0].change == date(2020, 1, 4) and r[1].change is None
 
 
+def test_a_refused_run_is_tried_again():
+    state = change.ChangeState()
+    got = [state.update(p, k) for k, p in enumerate([0.4, 0.6, 0.55, 0.3, 0.85, 0.85])]
+    assert got == [None, None, None, None, None, 5]
+    again = change.ChangeState()
+    for k, p in enumerate([0.4, 0.6, 0.55]):
+        again.update(p, k)
+    resumed = change.ChangeState(previous=again.previous, run=again.run)
+    assert resumed.change == pytest.approx(again.change) and [resumed.update(p, k) for k, p in ((3, 0.3), (4, 0.85), (5, 0.85))] == [None, None, 5]
+
+
 def test_unmixing_and_clusters(spark):
     m = np.array([[1.0, 0, 0], [0, 1.0, 0.5]])
     assert np.allclose(learn.nnls(np.array([[0.3, 0.7, 0.35], [0, 0, 0.0]]), m), [[0.3, 0.7], [0, 0]], atol=1e-5)
