@@ -42,7 +42,7 @@ def softmax(values: Column) -> Column:
 
 def entropy(probs: Column) -> Column:
     """Shannon entropy over the logarithm of the number of classes."""
-    return -F.aggregate(F.transform(probs, lambda p: F.when(p > 0, p * F.log(p)).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x) / F.log(F.size(probs))
+    return F.try_divide(-F.aggregate(F.transform(probs, lambda p: F.when(p > 0, p * F.log(p)).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x), F.log(F.size(probs)))
 
 
 def margin(probs: Column) -> Column:
@@ -71,16 +71,17 @@ def weighted_mean(columns: list[Column], weights: list[float]) -> Column:
 
 
 def inverse_uncertainty(columns: list[Column], uncertainty: list[Column], compat: bool = False) -> Column:
-    """Mean with weights 1 - u over their sum; `compat`: every classifier has the first one's weight."""
-    u = [uncertainty[0]] * len(columns) if compat else uncertainty
-    conf = [1 - x for x in u]
-    whole = sum((1 - x for x in uncertainty), F.lit(0.0)) if not compat else sum(conf, F.lit(0.0))
-    return sum((c * k for c, k in zip(columns, conf, strict=True)), F.lit(0.0)) / whole
+    """Mean with weights 1 / u over their sum; `compat`: every classifier has the first one's weight."""
+    conf = [1 / F.greatest(u, F.lit(1e-12)) for u in uncertainty]
+    whole = sum(conf, F.lit(0.0))
+    used = [conf[0]] * len(columns) if compat else conf
+    return sum((c * k for c, k in zip(columns, used, strict=True)), F.lit(0.0)) / whole
 
 
 def normalize(x: Column, low: Column | float, high: Column | float) -> Column:
     """To the range of two quantiles, held to [0.0001, 1]."""
-    return F.greatest(F.least((x - low) / (high - low), F.lit(1.0)), F.lit(0.0001))
+    width = high - low
+    return F.greatest(F.least(F.try_divide(x - low, width if isinstance(width, Column) else F.lit(width)), F.lit(1.0)), F.lit(0.0001))
 
 
 def normal_density(x: Column, mean: Column | float, sd: Column | float) -> Column:
@@ -90,7 +91,7 @@ def normal_density(x: Column, mean: Column | float, sd: Column | float) -> Colum
 
 def bayes_posterior(prior: Column, likelihood: Column) -> Column:
     both = prior * likelihood
-    return both / (both + (1 - prior) * (1 - likelihood))
+    return F.try_divide(both, both + (1 - prior) * (1 - likelihood))
 
 
 def minkowski(a: Column, b: Column, p: float = 2.0) -> Column:

@@ -21,7 +21,7 @@ def overall(table: DataFrame) -> DataFrame:
     chance = rows.join(cols, "l").agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0)).alias("ab"))
     total = table.agg(F.sum("n").cast("double").alias("n"), F.sum(F.when(F.col("predicted") == F.col("reference"), F.col("n")).otherwise(0)).alias("hit"))
     d = total.crossJoin(chance).select((F.col("hit") / F.col("n")).alias("accuracy"), (F.col("ab") / (F.col("n") * F.col("n"))).alias("pe"))  # one row each
-    return d.select("accuracy", ((F.col("accuracy") - F.col("pe")) / (1 - F.col("pe"))).alias("kappa"))
+    return d.select("accuracy", F.try_divide(F.col("accuracy") - F.col("pe"), 1 - F.col("pe")).alias("kappa"))
 
 
 def by_class(table: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def area_assess(table: DataFrame, areas: DataFrame) -> DataFrame:
     w = areas.withColumn("weight", F.col("area") / F.sum("area").over(Window.partitionBy())).withColumn("total", F.sum("area").over(Window.partitionBy()))
     rows = table.groupBy(F.col("predicted").alias("label")).agg(F.sum("n").alias("ni"))
     per = table.join(rows, table["predicted"] == rows["label"]).drop("label").join(w.select(F.col("label").alias("l"), "weight", "total"), F.col("predicted") == F.col("l"))
-    per = per.withColumn("prop", F.col("weight") * F.col("n") / F.col("ni")).withColumn("v", (F.col("weight") * F.col("prop") - F.col("prop") * F.col("prop")) / (F.col("ni") - 1))
+    per = per.withColumn("prop", F.col("weight") * F.col("n") / F.col("ni")).withColumn("v", F.try_divide(F.col("weight") * F.col("prop") - F.col("prop") * F.col("prop"), F.col("ni") - 1))
     cols = per.groupBy(F.col("reference").alias("label")).agg(F.sum("prop").alias("p_ref"), F.sqrt(F.sum("v")).alias("stderr_prop"), F.max("total").alias("total"), F.sum(F.when(F.col("predicted") == F.col("reference"), F.col("prop")).otherwise(0.0)).alias("diag"))
     user = per.groupBy(F.col("predicted").alias("label")).agg(F.sum("prop").alias("p_pred"))
     over = per.agg(F.sum(F.when(F.col("predicted") == F.col("reference"), F.col("prop")).otherwise(0.0)).alias("overall"))
@@ -101,9 +101,9 @@ def rand_indices(df: DataFrame, a: str, b: str) -> DataFrame:
     rb = t.groupBy("b").agg(F.sum("n").alias("n")).agg(pairs("n").alias("pb"), h("n").alias("hb"))
     d = t.agg(pairs("n").alias("pab"), h("n").alias("hab"), F.sum("n").alias("n")).crossJoin(ra).crossJoin(rb)  # one row each
     all_pairs = F.col("n") * (F.col("n") - 1) / 2
-    expected = F.col("pa") * F.col("pb") / all_pairs
+    expected = F.try_divide(F.col("pa") * F.col("pb"), all_pairs)
     return d.select(
-        ((all_pairs + 2 * F.col("pab") - F.col("pa") - F.col("pb")) / all_pairs).alias("rand"),
+        F.try_divide(all_pairs + 2 * F.col("pab") - F.col("pa") - F.col("pb"), all_pairs).alias("rand"),
         F.try_divide(F.col("pab") - expected, (F.col("pa") + F.col("pb")) / 2 - expected).alias("adjusted_rand"),
         F.try_divide("pab", F.col("pa") + F.col("pb") - F.col("pab")).alias("jaccard"),
         F.try_divide("pab", F.sqrt(F.col("pa") * F.col("pb"))).alias("fowlkes_mallows"),

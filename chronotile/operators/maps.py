@@ -35,10 +35,11 @@ def combine_average(cubes: list[DataFrame], probs: list[str], weights: list[floa
 
 
 def combine_uncertainty(cubes: list[DataFrame], uncertain: list[DataFrame], probs: list[str], value: str = "entropy", keys: tuple[str, ...] = ("tile", "row", "col")) -> DataFrame:
-    """Mean with the classifiers' certainty as weights."""
+    """Mean with the inverse of each classifier's uncertainty as weight."""
     parts = None
     for c, u in zip(cubes, uncertain, strict=True):
-        p = c.select(*keys, *probs).join(u.select(*keys, (1 - F.col(value)).alias("_w")), list(keys)).select(*keys, *((F.col(x) * F.col("_w")).alias(x) for x in probs), "_w")
+        w = u.select(*keys, (1 / F.greatest(F.col(value), F.lit(1e-12))).alias("_w"))
+        p = c.select(*keys, *probs).join(w, list(keys)).select(*keys, *((F.col(x) * F.col("_w")).alias(x) for x in probs), "_w")
         parts = p if parts is None else parts.unionByName(p)
     d = parts.groupBy(*keys).agg(*(F.sum(x).alias(x) for x in probs), F.sum("_w").alias("_w"))
     return d.select(*keys, *((F.col(x) / F.col("_w")).alias(x) for x in probs))
@@ -83,7 +84,7 @@ def segment_probabilities(pixels: DataFrame, probs: list[str], segment: str = "p
     """Mean probabilities of each segment, made to sum to 1."""
     m = pixels.groupBy(segment).agg(*(F.avg(p).alias(p) for p in probs))
     total = sum((F.col(p) for p in probs), F.lit(0.0))
-    return m.select(segment, *((F.col(p) / total).alias(p) for p in probs))
+    return m.select(segment, *(F.try_divide(F.col(p), total).alias(p) for p in probs))
 
 
 def summary_quantiles(df: DataFrame, columns: list[str], every: float = 0.05) -> DataFrame:

@@ -133,7 +133,7 @@ def combine_average(spark, d):
     return r6(maps.combine_average(list(_two(spark, d)), PROBS, [0.7, 0.3]), *PROBS, digits=8)
 
 
-@query("combine_uncertainty", P + ", w as (select *, greatest(a, b, c) as u, 0.5 + greatest(a, b, c) / 2 as v from probs) select tile, row, col, round((u * a + v * b) / (u + v), 8) as a, round((u * b + v * c) / (u + v), 8) as b, round((u * c + v * a) / (u + v), 8) as c from w")
+@query("combine_uncertainty", P + ", w as (select *, 1 / (1 - greatest(a, b, c)) as u, 1 / (0.5 - greatest(a, b, c) / 2) as v from probs) select tile, row, col, round((u * a + v * b) / (u + v), 8) as a, round((u * b + v * c) / (u + v), 8) as b, round((u * c + v * a) / (u + v), 8) as c from w")
 def combine_uncertainty(spark, d):
     x, y = _two(spark, d)
     top = F.greatest(*PROBS)

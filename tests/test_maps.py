@@ -73,6 +73,23 @@ def test_combine_checks_weights(spark):
     assert maps.combine_average([d, d], ["a"]).first().a == 0.5
 
 
+def test_certain_classifiers_weigh_more(spark):
+    from chronotile.functions import scalars
+
+    x, y = pixels(spark, np.full((1, 1), 0.2), "a"), pixels(spark, np.full((1, 1), 0.8), "a")
+    u = [pixels(spark, np.full((1, 1), v), "entropy") for v in (0.1, 0.3)]
+    assert maps.combine_uncertainty([x, y], u, ["a"]).first().a == pytest.approx((0.2 * 3 + 0.8) / 4)
+    one = spark.range(1).select(scalars.inverse_uncertainty([F.lit(0.2), F.lit(0.8)], [F.lit(0.1), F.lit(0.3)], compat=True).alias("v")).first().v
+    assert one == pytest.approx(0.75 * 0.2 + 0.75 * 0.8)
+
+
+def test_degenerate_tables_give_nulls(spark):
+    t = accuracy.confusion(spark.createDataFrame([("a", "a")], "predicted string, reference string"))
+    assert accuracy.overall(t).first().kappa is None
+    assert accuracy.area_assess(t, spark.createDataFrame([("a", 5.0)], "label string, area double")).first().stderr_area is None
+    assert accuracy.rand_indices(spark.createDataFrame([("a", "b")], "x string, y string"), "x", "y").first().rand is None
+
+
 def test_regularize_takes_the_least_cloudy(spark):
     rows = [(1, date(2020, 1, 1), 50, 1.0), (1, date(2020, 1, 9), 10, 2.0), (1, date(2020, 1, 17), 0, None), (1, date(2020, 1, 18), 9, 3.0), (1, date(2019, 12, 31), 0, 9.0)]
     d = spark.createDataFrame(rows, "k int, date date, cloud_cover int, value double")
