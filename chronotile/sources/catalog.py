@@ -1,18 +1,13 @@
 """Catalogs of images: from file names, from tables, and from providers.
 
-A provider is a table of items, read through the Python data source `image_catalog`; collections are rows of
-(source, collection, band, scale, offset, missing, min, max).
+A provider is a set of items of its catalog service, saved as JSON; collections are rows of (source, collection, band,
+scale, offset, missing, least, most).
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
 
 ASSETS = "source string, collection string, tile string, band string, date date, fid string, cloud_cover double, xmin double, ymin double, xmax double, ymax double, crs string, path string"
 DERIVED = "source string, collection string, tile string, band string, start_date date, end_date date, labels map<int, string>, path string"
@@ -72,50 +67,25 @@ def cube(spark: SparkSession, source: str = "LOCAL", **options):
     return provider_cube(spark, source, **options)
 
 
-class _Slice(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.options = options
-
-    def partitions(self) -> list[_Slice]:
-        return [_Slice(p) for p in self.options.get("items", "").split(",") if p]
-
-    def read(self, part: _Slice) -> Iterator[tuple]:
-        from datetime import date
-
-        with open(part.path, encoding="utf-8") as f:
-            for line in f:
-                x = json.loads(line)
-                props = x.get("properties", {})
-                box = x.get("bbox") or [None] * 4
-                for band, asset in x.get("assets", {}).items():
-                    yield (self.options.get("source"), x.get("collection"), props.get("tile"), band.upper(), date.fromisoformat(props["datetime"][:10]), x.get("id"), props.get("eo:cloud_cover"), *map(lambda v: None if v is None else float(v), box), props.get("proj:epsg") and str(props["proj:epsg"]), asset.get("href"))
-
-
-class ImageCatalog(DataSource):
-    """Items of a catalog service, saved as JSON lines; option items: comma-separated paths."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "image_catalog"
+#: An item of a catalog service, as JSON.
+ITEM = "id string, collection string, bbox array<double>, properties struct<tile: string, datetime: string, `eo:cloud_cover`: double, `proj:epsg`: int>, assets map<string, struct<href: string>>"
 
-    def schema(self) -> str:
-        return ASSETS
 
-    def reader(self, schema: StructType) -> _Reader:
-        return _Reader(dict(self.options))
+def items_cube(spark: SparkSession, source: str, items: list[str]) -> DataFrame:
+    """Assets of saved items, a line of JSON for each; paths are of any store that Spark reads."""
+    d = spark.read.schema(ITEM).json(items).select("*", F.explode("assets").alias("_band", "_asset"))
+    box = [F.col("bbox")[k].alias(n) for k, n in enumerate(("xmin", "ymin", "xmax", "ymax"))]
+    return d.select(
+        F.lit(source).alias("source"), "collection", F.col("properties.tile").alias("tile"), F.upper("_band").alias("band"), F.substring("properties.datetime", 1, 10).cast("date").alias("date"),
+        F.col("id").alias("fid"), F.col("properties.`eo:cloud_cover`").alias("cloud_cover"), *box, F.col("properties.`proj:epsg`").cast("string").alias("crs"), F.col("_asset.href").alias("path"),
+    )
 
 
 def provider_cube(spark: SparkSession, source: str, items: list[str], collection: str | None = None, bands=None, tiles=None, start=None, end=None, roi=None) -> DataFrame:
     """A provider's assets by collection, bands, tiles or region, and interval."""
     from ..operators import cube as C
 
-    spark.dataSource.register(ImageCatalog)
-    d = spark.read.format("image_catalog").options(source=source, items=",".join(items)).load()
+    d = items_cube(spark, source, items)
     if collection is not None:
         d = d.where(F.col("collection") == collection)
     if tiles is not None and roi is not None:
