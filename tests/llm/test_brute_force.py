@@ -173,6 +173,20 @@ def test_5_packing(docs, texts):
     assert out.sequence_id.nunique() <= 1.02 * out.length.sum() / 2048 + 2
 
 
+def test_5_both_encoders_agree():
+    import random
+
+    from tokenizers import Tokenizer
+
+    own, plain, g = packing.Encoder(queries.tokenizer_path()), Tokenizer.from_file(queries.tokenizer_path()), random.Random(1)
+    texts = [f"a{chr(c)}b 1{chr(c)}2 {chr(c)} .{chr(c)}!" for a, b in packing.KNOWN for c in range(a, b + 1) if b - a < 1000 or c % 29 == 0]
+    texts += ["".join(chr(g.randint(*g.choice(packing.KNOWN))) if g.random() < 0.7 else g.choice(" \n\t'abc12") for _ in range(60)) for _ in range(500)]
+    for t in texts:
+        assert packing.UNKNOWN.search(t) is None and own(t) == plain.encode(t, add_special_tokens=False).ids
+    for t in ("\U0001f600 \u0e01", "x <|endoftext|> y"):
+        assert own(t) == plain.encode(t, add_special_tokens=False).ids
+
+
 def test_5_every_capacity_holds():
     g = np.random.default_rng(2)
     lengths = g.integers(1, 100, 400)
