@@ -115,15 +115,15 @@ class Machine:
 
 
 def train(chosen: DataFrame, min_docs: int, min_association: float, rank: int, epochs: int, rate: float, decay: float, seed: int) -> Machine | None:
-    """chosen(text, toxic): the bounded sample to learn from."""
+    """chosen(id, text, toxic): the bounded sample to learn from."""
 
     @tidy(_memo)
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(terms(t.as_py()), return_counts=True) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([a.astype(np.int32).tobytes() for a, _ in found], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in found], pa.binary()), batch.column(1)], names=["at", "n", "toxic"])
+            found = [np.unique(terms(t.as_py()), return_counts=True) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array([a.astype(np.int32).tobytes() for a, _ in found], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in found], pa.binary()), batch.column(2), batch.column(0)], names=["at", "n", "toxic", "id"])
 
-    rows = chosen.mapInArrow(bags, "at binary, n binary, toxic int").collect()
+    rows = sorted(chosen.mapInArrow(bags, "at binary, n binary, toxic int, id long").collect(), key=lambda r: (r["id"], r["toxic"]))  # a model doesn't depend on the order of tasks
     if not rows:
         return None
     at = [np.frombuffer(bytes(r["at"]), np.int32) for r in rows]
@@ -147,7 +147,7 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, sample_rows: int
     learn = d.where("not held_out").select("doc_id", "text")
     ids = written(marks.join(learn.select("doc_id").distinct(), F.col("_id") == F.col("doc_id"), "left_semi").orderBy(F.xxhash64("_id"), "toxic").limit(sample_rows), "toxicity-sample")
     texts = learn.join(sized(ids), F.col("doc_id") == F.col("_id")).groupBy("_id", "toxic").agg(F.min("text").alias("text"))  # of repeated ids one row
-    machine = train(texts.select("text", "toxic"), min_docs, min_association, rank, epochs, rate, decay, seed)
+    machine = train(texts.select(F.col("_id").cast("long").alias("id"), "text", "toxic"), min_docs, min_association, rank, epochs, rate, decay, seed)
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # 2^20 numbers and the weights of at most as many terms
 
     @tidy(_memo)
