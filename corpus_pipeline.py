@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chronotile.deploy import ship
 from chronotile.llm.common import written
 from chronotile.llm.lines import clean_lines
 from chronotile.llm.packing import pack
@@ -19,6 +20,7 @@ from chronotile.llm.tiling import decontaminated
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
+    ship(spark)
     return quality_filter(docs)
 
 
@@ -32,16 +34,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that of the least doc_id."""
+    ship(spark)
     return one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
+    ship(spark)
     return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents' pieces and their places in sequences."""
+    ship(spark)
     return pack(docs, tokenizer_path(), with_ids=False)
 
 
