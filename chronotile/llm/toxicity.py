@@ -114,29 +114,61 @@ class Machine:
                 self.v[own] -= 0.3 * rate * dv / np.sqrt(gv[own])
 
 
-def train(chosen: DataFrame, min_docs: int, min_association: float, rank: int, epochs: int, rate: float, decay: float, seed: int) -> Machine | None:
-    """chosen(id, text, toxic): the bounded sample to learn from."""
+_BAGS = pa.schema([("id", pa.int64()), ("toxic", pa.int32()), ("at", pa.binary()), ("n", pa.binary())])
+_TERMS = pa.schema([("term", pa.int32()), ("held", pa.int64()), ("toxic", pa.int64())])
+
+
+@tidy(_memo)
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's distinct hashed terms and their counts."""
+    for batch in batches:
+        found = [np.unique(terms(t.as_py()), return_counts=True) for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.astype(np.int32).tobytes() for a, _ in found], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in found], pa.binary())], schema=_BAGS)
 
-    @tidy(_memo)
-    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.unique(terms(t.as_py()), return_counts=True) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array([a.astype(np.int32).tobytes() for a, _ in found], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in found], pa.binary()), batch.column(2), batch.column(0)], names=["at", "n", "toxic", "id"])
 
-    rows = sorted(chosen.mapInArrow(bags, "at binary, n binary, toxic int, id long").collect(), key=lambda r: (r["id"], r["toxic"]))  # a model doesn't depend on the order of tasks
+@tidy()
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each term the texts that hold it, and the toxic ones of them."""
+    held, toxic = np.zeros(1 << HASH_BITS, np.int64), np.zeros(1 << HASH_BITS, np.int64)
+    for batch in batches:
+        for t, at in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            own = np.frombuffer(at.as_py(), np.int32)
+            held[own] += 1
+            toxic[own] += t
+    at = np.flatnonzero(held)
+    if len(at):
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at]), pa.array(toxic[at])], schema=_TERMS)
+
+
+def train(chosen: DataFrame, min_docs: int, min_association: float, rank: int, epochs: int, rate: float, decay: float, seed: int) -> Machine | None:
+    """chosen(id, toxic, text): the bounded sample to learn from. The driver gets the terms that count, and no others."""
+    bags = written(chosen.select("id", "toxic", "text").mapInArrow(_bags, "id long, toxic int, at binary, n binary"), "toxicity-bags")
+    rows, marked = bags.agg(F.count("*"), F.sum("toxic")).first()
     if not rows:
         return None
-    at = [np.frombuffer(bytes(r["at"]), np.int32) for r in rows]
-    n = [np.frombuffer(bytes(r["n"]), np.int32) for r in rows]
-    toxic = np.array([r["toxic"] for r in rows], np.float32)
-    held = np.bincount(np.concatenate(at), minlength=1 << HASH_BITS)
-    with_it = np.bincount(np.concatenate(at), np.repeat(toxic, [len(a) for a in at]), 1 << HASH_BITS)
-    share = toxic.mean()
-    often = (held >= min_docs) & (np.abs(with_it - held * share) >= min_association * np.sqrt(held * share * (1 - share)))
-    columns = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
+    share = marked / rows
+    found = bags.mapInArrow(_count_terms, "term int, held long, toxic long").groupBy("term").agg(F.sum("held").alias("held"), F.sum("toxic").alias("toxic"))
+    often = F.abs(F.col("toxic") - F.col("held") * share) >= min_association * F.sqrt(F.col("held") * (share * (1 - share)))
+    kept = sorted(r["term"] for r in found.where((F.col("held") >= min_docs) & often).select("term").collect())  # of 2^20 terms those that meet the label
+    columns = np.full(1 << HASH_BITS, -1, np.int32)
+    columns[kept] = np.arange(len(kept))
+    shared = chosen.sparkSession.sparkContext.broadcast(columns)
+
+    @tidy()
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, n = [], []
+            for a, c in zip(batch.column(2), batch.column(3), strict=True):
+                own = shared.value[np.frombuffer(a.as_py(), np.int32)]
+                at.append(own[own >= 0].tobytes())
+                n.append(np.frombuffer(c.as_py(), np.int32)[own >= 0].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.binary()), pa.array(n, pa.binary())], schema=_BAGS)
+
+    made = bags.mapInArrow(select, "id long, toxic int, at binary, n binary").collect()  # the sample's rows, of the kept terms alone
+    made.sort(key=lambda r: (r["id"], r["toxic"]))  # a model doesn't depend on the order of tasks
     m = Machine(columns, rank, seed)
-    made = [(columns[a][often[a]], _value(c[often[a]])) for a, c in zip(at, n, strict=True)]
-    m.fit(made, toxic, epochs, rate, decay, seed)
+    pairs = [(np.frombuffer(bytes(r["at"]), np.int32), _value(np.frombuffer(bytes(r["n"]), np.int32))) for r in made]
+    m.fit(pairs, np.array([r["toxic"] for r in made], np.float32), epochs, rate, decay, seed)
     return m
 
 
@@ -147,7 +179,7 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, sample_rows: int
     learn = d.where("not held_out").select("doc_id", "text")
     ids = written(marks.join(learn.select("doc_id").distinct(), F.col("_id") == F.col("doc_id"), "left_semi").orderBy(F.xxhash64("_id"), "toxic").limit(sample_rows), "toxicity-sample")
     texts = learn.join(sized(ids), F.col("doc_id") == F.col("_id")).groupBy("_id", "toxic").agg(F.min("text").alias("text"))  # of repeated ids one row
-    machine = train(texts.select(F.col("_id").cast("long").alias("id"), "text", "toxic"), min_docs, min_association, rank, epochs, rate, decay, seed)
+    machine = train(texts.select(F.col("_id").cast("long").alias("id"), "toxic", "text"), min_docs, min_association, rank, epochs, rate, decay, seed)
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # 2^20 numbers and the weights of at most as many terms
 
     @tidy(_memo)
