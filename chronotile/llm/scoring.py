@@ -1,15 +1,16 @@
 """Language-model scores of texts: prediction by partial matching over bytes, beside a unigram base.
 
-Training reads every training text once and sums, over all tasks, the counts of words and of strings of `order` + 1
-bytes (text boundaries are a symbol of their own). The byte strings make a context trie. A context of k bytes predicts a
-symbol it has seen c times among C with c / (C + D), D the number of distinct symbols (escape method C); the rest of the
-probability goes to the next shorter context, in which the symbols already refused are excluded from counts and escape.
-Below the empty context all remaining symbols are alike. The model doesn't change while it scores, so the probability of
-a symbol depends on its longest known context alone, and is tabled for each of them; a text's code length is the sum.
-
-The tables are broadcast. They are bounded by `max_contexts`: of a length that has more contexts, the rarest fall back to
-their suffixes. Words are looked up in two ways: those with at least a millionth of all tokens, at
-most a million words, are broadcast; the others meet their counts in a join.
+A pass over all texts writes them in blocks, with the counts of their words and the strings of `order` + 1 bytes that
+each block holds (text boundaries are a symbol of their own). The training texts' strings make a context trie. A context
+of k bytes predicts a symbol it has seen c times among C with c / (C + D), D the number of distinct symbols (escape
+method C); the rest of the probability goes to the next shorter context, in which the symbols already refused are
+excluded from counts and escape. Below the empty context all remaining symbols are alike. The model doesn't change while
+it scores, so the probability of a symbol depends on its `order` bytes before alone; a text's code length is the sum.
+
+No string is left out, and no table of them is broadcast: strings are dealt out by the last two bytes of their context,
+so that a part of the trie has whole contexts of two bytes and more (shorter ones come from the counts of pairs, whose
+number the alphabet bounds); each block then meets its own strings' probabilities. Words are looked up in two ways: those
+with at least a millionth of all tokens, at most a million words, are broadcast; the others meet their counts in a join.
 
 Null texts count as empty: they have one token, the end. Repeated rows are rows of their own. Texts are read whole.
 Without any training row the byte model is uniform.
@@ -32,6 +33,8 @@ from .common import sized, tidy, written
 SYMBOLS = 257  # 0: a boundary; else a byte plus 1
 END = b"\n"  # no word holds it
 LONG_WORD = 40
+BLOCK_BYTES = 8_000_000
+PART_STRINGS = 200_000  # strings of a part of the trie, on average
 
 
 def word_keys(text: bytes) -> list[bytes]:
@@ -77,185 +80,191 @@ def _laid_out(block: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, n
     return s, np.flatnonzero(predicted), np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
 
 
-_COUNTS = pa.schema([("key", pa.binary()), ("n", pa.int64())])
+_PARTS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("key", pa.binary()), ("g", pa.int64()), ("n", pa.int64())])
+_PARTS_DDL = "kind int, block long, doc_id long, held_out boolean, key binary, g long, n long"
+TEXT, GRAM, WORD = 0, 1, 2
+
+
+def _part(rows: int, kind: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(rows, kind, np.int32)) if f.name == "kind" else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in _PARTS], schema=_PARTS)
+
+
+def _codes(block: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The string that ends at each symbol to predict, as a number, and each text's first among these."""
+    s, at, starts = _laid_out(block, order)
+    code = np.zeros(len(at), np.int64)
+    for j in range(order, -1, -1):
+        code = code * SYMBOLS + s[at - j]
+    return code, starts
+
 
+def _summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes in order, with the sums of their counts."""
+    if not len(codes):
+        return codes, n
+    at = np.argsort(codes, kind="stable")
+    codes, n = codes[at], n[at]
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    return codes[first], np.add.reduceat(n, first)
+
+
+def _read_pass(order: int):
+    """Lower-cased texts by block, each block's strings with their counts in training texts (0 where none has it), words' counts."""
 
-def _train_pass(order: int):
     @tidy()
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         words: Counter = Counter()
-        grams, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        block, size, grams = TaskContext.get().partitionId() << 32, 0, []
 
         def flush_words() -> Iterator[pa.RecordBatch]:
-            items = list(words.items())
+            items = [(w, c) for w, c in words.items() if c]
             words.clear()
             for k in range(0, len(items), 50_000):
                 part = items[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([b"w" + w for w, _ in part], pa.binary()), pa.array([c for _, c in part], pa.int64())], schema=_COUNTS)
+                yield _part(len(part), WORD, key=[w for w, _ in part], n=[c for _, c in part])
+
+        def flush_grams() -> Iterator[pa.RecordBatch]:
+            g, n = _summed(np.concatenate([x for x, _ in grams]), np.concatenate([c for _, c in grams]))
+            grams.clear()
+            for k in range(0, len(g), 100_000):
+                yield _part(len(g[k : k + 100_000]), GRAM, block=np.full(len(g[k : k + 100_000]), block), g=g[k : k + 100_000], n=n[k : k + 100_000])
 
         for batch in batches:
-            for _, block in _blocks(batch.column(0)):
-                for b in block:
-                    words.update(word_keys(b))
-                words[END] += len(block)
+            held = np.array(batch.column(1).fill_null(True).to_pylist(), bool)  # a null isn't trained on
+            for first, texts in _blocks(batch.column(2)):
+                mine = held[first : first + len(texts)]
+                yield _part(len(texts), TEXT, block=np.full(len(texts), block), doc_id=batch.column(0).slice(first, len(texts)), held_out=batch.column(1).slice(first, len(texts)), key=texts)
+                for b, out in zip(texts, mine.tolist(), strict=True):
+                    if not out:
+                        words.update(word_keys(b))
+                words[END] += len(texts) - int(mine.sum())
                 if len(words) > 300_000:
                     yield from flush_words()
-                s, at, _ = _laid_out(block, order)
-                code = np.zeros(len(at), np.int64)
-                for j in range(order, -1, -1):
-                    code = code * SYMBOLS + s[at - j]
-                own, c = np.unique(code, return_counts=True)
-                both = np.concatenate([grams, own])
-                grams, back = np.unique(both, return_inverse=True)
-                n = np.bincount(back, np.concatenate([n, c])).astype(np.int64)
-                if len(grams) > 2_000_000:
-                    yield _gram_rows(grams, n)
-                    grams, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                for out in (False, True):
+                    some = [b for b, o in zip(texts, mine.tolist(), strict=True) if o == out]
+                    if some:
+                        g, n = np.unique(_codes(some, order)[0], return_counts=True)
+                        grams.append((g, np.zeros_like(n) if out else n))
+                size += sum(map(len, texts))
+                if size >= BLOCK_BYTES or len(grams) >= 512:
+                    yield from flush_grams()
+                    block, size = block + 1, 0
         yield from flush_words()
-        if len(grams):
-            yield _gram_rows(grams, n)
-
-    return count
-
-
-def _gram_rows(grams: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    raw = grams.astype(">i8").tobytes()
-    return pa.RecordBatch.from_arrays([pa.array([b"g" + raw[k : k + 8] for k in range(0, len(raw), 8)], pa.binary()), pa.array(n)], schema=_COUNTS)
-
-
-class ByteModel:
-    """Natural logarithms of probabilities by state (a known context) and symbol, and steps between states."""
-
-    ROWS = 4096  # contexts that are tabled at once
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, order: int, max_contexts: int):
-        self.order = order
-        levels, contexts = [], []
-        for k in range(order + 1):  # context length
-            code, back = np.unique(grams % SYMBOLS ** (k + 1), return_inverse=True)
-            n = np.bincount(back, counts, len(code)) if len(code) else np.zeros(0)
-            del back
-            c, s = code // SYMBOLS, code % SYMBOLS
-            own, start = np.unique(c, return_index=True)
-            if k:  # only contexts whose suffix is one, and of these the most frequent
-                keep = np.isin(own % SYMBOLS ** (k - 1), contexts[k - 1])
-                if keep.sum() > max_contexts:
-                    total = np.where(keep, np.add.reduceat(n, start), -1)
-                    keep = np.zeros(len(own), bool)
-                    keep[np.argsort(-total, kind="stable")[:max_contexts]] = True
-                inside = keep[np.searchsorted(own, c)]
-                c, s, n, own = c[inside], s[inside], n[inside], own[keep]
-            levels.append((c, s, n))
-            contexts.append(own if len(own) or k else np.zeros(1, np.int64))
-        alphabet = np.unique(levels[0][1])
-        self.column = np.full(SYMBOLS, len(alphabet), np.int64)  # the last column: a symbol never seen
-        self.column[alphabet] = np.arange(len(alphabet))
-        self.width = width = len(alphabet) + 1
-        first = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])
-        log_p = np.empty((first[-1], width), np.float32)
-        steps = np.zeros((first[order] if order else 1, width), np.int32)
-        upper = None  # counts, and what lies below, of the level before
-        for k in range(order + 1):
-            ctx, (c, s, n) = contexts[k], levels[k]
-            up = np.searchsorted(contexts[k - 1], ctx % SYMBOLS ** (k - 1)) if k else np.zeros(1, np.int64)
-            mine = (np.zeros((len(ctx), width), np.float32), np.zeros((len(ctx), width), np.float32)) if k < order else None
-            row = np.searchsorted(ctx, c)
-            for a in range(0, len(ctx), self.ROWS):
-                b = min(a + self.ROWS, len(ctx))
-                i, j = np.searchsorted(row, [a, b])
-                held = np.zeros((b - a, width))
-                held[row[i:j] - a, self.column[s[i:j]]] = n[i:j]
-                below = self._below(held, k, len(alphabet), None if k == 0 else (upper[0][up[a:b]], upper[1][up[a:b]]))
-                log_p[first[k] + a : first[k] + b] = self._row(held, below)
-                if mine is not None:
-                    mine[0][a:b], mine[1][a:b] = held, below
-            if k < order:
-                own = slice(first[k], first[k + 1])
-                if k:
-                    steps[own] = steps[first[k - 1] : first[k]][up]
-                nxt = contexts[k + 1]
-                at = np.searchsorted(ctx, nxt // SYMBOLS)
-                there = (at < len(ctx)) & (ctx[np.minimum(at, len(ctx) - 1)] == nxt // SYMBOLS)
-                steps[first[k] + at[there], self.column[nxt % SYMBOLS][there]] = first[k + 1] + np.flatnonzero(there)
-            upper = mine
-        self.log_p, self.steps = log_p.ravel(), steps.ravel()
-
-    @staticmethod
-    def _below(held: np.ndarray, k: int, alphabet: int, upper: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
-        """Logarithms after an escape from these contexts: the next shorter ones without the symbols seen here."""
-        if upper is None:
-            return np.full(held.shape, -np.log(SYMBOLS - alphabet))
-        theirs, beneath = upper[0].astype(float), upper[1]
-        left = np.where(held > 0, 0, theirs)
-        more = (left > 0).sum(1).astype(float)
-        whole = np.maximum(left.sum(1) + more, 1e-9)
-        out = np.where(more > 0, np.log(np.maximum(more, 1e-9) / whole), 0.0)
-        return np.where(left > 0, np.log(np.maximum(left, 1e-9)) - np.log(whole)[:, None], out[:, None] + beneath)
-
-    @staticmethod
-    def _row(held: np.ndarray, below: np.ndarray) -> np.ndarray:
-        total, distinct = held.sum(1), (held > 0).sum(1)
-        whole = np.maximum(total + distinct, 1e-9)
-        escape = np.where(distinct > 0, np.log(np.maximum(distinct, 1e-9) / whole), 0.0)
-        return np.where(held > 0, np.log(np.maximum(held, 1e-9)) - np.log(whole)[:, None], escape[:, None] + below)
-
-    def score(self, block: list[bytes]) -> np.ndarray:
-        """log10 probability of each text, its end included."""
-        s, at, starts = _laid_out(block, self.order)
-        a = self.column[s]
-        state = np.zeros(len(at), np.int64)
-        for j in range(self.order, 0, -1):
-            state = self.steps[state * self.width + a[at - j]].astype(np.int64)
-        return np.add.reduceat(self.log_p[state * self.width + a[at]].astype(np.float64), starts) / np.log(10)
-
-
-def score(docs: DataFrame, held_out: Column, order: int = 5, max_contexts: int = 60_000, common: float = 1e-6) -> DataFrame:
+        if grams:
+            yield from flush_grams()
+
+    return read
+
+
+def _found(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the wanted in the sorted values, and whether they are there."""
+    if not len(values):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+    return at, values[at] == wanted
+
+
+def log_probabilities(g: np.ndarray, n: np.ndarray, short: tuple[np.ndarray, np.ndarray], order: int) -> np.ndarray:
+    """Natural logarithms of the probabilities of the last symbols of the strings g after their contexts.
+
+    n: counts in training texts. g has all strings that share a context of two symbols; `short` has all counts of strings
+    of min(2, order + 1) symbols, from which the shorter contexts come.
+    """
+    levels = []  # strings of k + 1 symbols and counts; contexts of k symbols, their counts' sums, their distinct symbols
+    for k in range(order + 1):
+        codes, c = _summed(short[0] % SYMBOLS ** (k + 1), short[1]) if k < 2 else _summed(g[n > 0] % SYMBOLS ** (k + 1), n[n > 0])
+        contexts, total = _summed(codes // SYMBOLS, c)
+        levels.append((codes, c, contexts, total, _summed(codes // SYMBOLS, np.ones_like(c))[1]))
+    out = np.zeros(len(g))
+    undecided, entered = np.ones(len(g), bool), np.zeros(len(g), bool)
+    left, more = np.zeros(len(g)), np.zeros(len(g))  # of the level, without what longer contexts have seen
+    for k in range(order, -1, -1):
+        codes, c, contexts, total, distinct = levels[k]
+        at, there = _found(contexts, g % SYMBOLS ** (k + 1) // SYMBOLS)
+        if len(contexts):
+            begins = there & ~entered
+            left, more = np.where(begins, total[at], left), np.where(begins, distinct[at], more)
+        entered |= there
+        where, seen = _found(codes, g % SYMBOLS ** (k + 1))
+        seen &= undecided
+        whole = np.log(np.maximum(left + more, 1e-9))
+        if len(codes):
+            out += np.where(seen, np.log(np.maximum(c[where], 1)) - whole, 0.0)
+        undecided &= ~seen
+        out += np.where(undecided & entered & (more > 0), np.log(np.maximum(more, 1e-9)) - whole, 0.0)
+        if k and len(contexts):
+            shorter = levels[k - 1]
+            theirs = shorter[1][np.searchsorted(shorter[0], codes % SYMBOLS**k)]
+            refused = _summed(codes // SYMBOLS, theirs)[1]
+            suffix = np.searchsorted(shorter[2], contexts % SYMBOLS ** (k - 1))
+            left = np.where(there, (shorter[3][suffix] - refused)[at], left)
+            more = np.where(there, (shorter[4][suffix] - distinct)[at], more)
+    alphabet = len(levels[0][0])
+    return out - np.where(undecided, np.log(max(SYMBOLS - alphabet, 1)), 0.0)
+
+
+def score(docs: DataFrame, held_out: Column, order: int = 5, common: float = 1e-6) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learnt from the rows that aren't held out."""
     spark = docs.sparkSession
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"))
-    counts = d.where("not held_out").select("text").mapInArrow(_train_pass(order), "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    counts = written(counts.select(F.expr("substring(key, 1, 1) = X'77'").alias("word"), F.expr("substring(key, 2)").alias("key"), "n"), "scoring-counts")
-    words = counts.where("word").select("key", "n")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
+    parts = written(d.mapInArrow(_read_pass(order), _PARTS_DDL), "scoring-blocks")
+    words = written(parts.where(F.col("kind") == WORD).groupBy("key").agg(F.sum("n").alias("n")), "scoring-words")
     total, distinct = words.agg(F.sum("n"), F.count("*")).first()
     total, distinct = total or 0, distinct or 0
     often = words.where(F.col("n") >= F.lit(max(1.0, total * common)))
     frequent = {bytes(r["key"]): r["n"] for r in often.toLocalIterator()}  # at most 1 / common words
-    grams = counts.where("not word").select(F.expr("cast(conv(hex(key), 16, 10) as long)").alias("g"), "n")
-    held = grams.agg(F.count("*")).first()[0]
-    floor = 1
-    limit = max_contexts * 16
-    if held > limit:  # the least count that leaves no more strings than the limit
-        by = grams.groupBy(F.floor(F.log2("n") * 8).cast("int").alias("b")).count().collect()
-        left = held
-        for r in sorted(by, key=lambda r: r["b"]):
-            if left <= limit:
-                break
-            left -= r["count"]
-            floor = 2 ** ((r["b"] + 1) / 8)
-    table = grams.where(F.col("n") >= floor).toArrow()
-    model = ByteModel(table["g"].to_numpy().astype(np.int64), table["n"].to_numpy().astype(np.float64), order, max_contexts)
-    shared = spark.sparkContext.broadcast((model, frequent))
     base = total + 0.5 * (distinct + 1)
 
-    @tidy()
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, frequent = shared.value
-        for batch in batches:
-            tokens, known, sums, scores, rare = [], [], [], [], []
-            for _, block in _blocks(batch.column(2)):
-                scores += model.score(block).tolist()
-                for b in block:
-                    w = word_keys(b)
-                    w.append(END)
-                    c = np.fromiter(map(frequent.get, w, repeat(0)), np.float64, len(w))
-                    missing = np.flatnonzero(c == 0)
-                    tokens.append(len(w))
-                    known.append(len(w) - len(missing))
-                    sums.append(float(np.log10(c[c > 0] + 0.5).sum()))
-                    rare.append([w[i] for i in missing.tolist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores, pa.float64()), pa.array(rare, pa.list_(pa.binary()))], names=["doc_id", "held_out", "n_tokens", "known", "sums", "score", "rare"])
-
-    scored = d.select("doc_id", "held_out", "text").mapInArrow(apply, "doc_id long, held_out boolean, n_tokens long, known long, sums double, score double, rare array<binary>")
+    grams = written(parts.where(F.col("kind") == GRAM).groupBy("g").agg(F.sum("n").alias("n")), "scoring-grams")
+    strings = grams.count()
+    pairs = grams.where("n > 0").groupBy((F.col("g") % SYMBOLS ** min(2, order + 1)).alias("g")).agg(F.sum("n").alias("n")).toArrow()  # at most 257 x 257
+    short = spark.sparkContext.broadcast((pairs["g"].to_numpy().astype(np.int64), pairs["n"].to_numpy().astype(np.int64)))
+    n_parts = max(1, -(-strings // PART_STRINGS))
+    part = F.pmod(F.xxhash64(F.expr(f"(g div {SYMBOLS}) % {SYMBOLS**2}")), F.lit(n_parts))
+
+    def table(t: pa.Table) -> pa.Table:
+        p = log_probabilities(t["g"].to_numpy(), t["n"].to_numpy(), short.value, order)
+        return pa.table({"g": t["g"], "p": pa.array(p.astype(np.float32))})
+
+    model = grams.select("g", "n", part.alias("part")).groupBy("part").applyInArrow(table, "g long, p float")
+    known = parts.where(F.col("kind") == GRAM).select("block", "g").join(sized(model, strings), "g").select(F.col("block").alias("of"), "g", "p")
+    shared = spark.sparkContext.broadcast(frequent)
+
+    def apply(texts: pa.Table, probs: pa.Table) -> pa.Table:
+        frequent = shared.value
+        g = probs["g"].to_numpy()
+        by = np.argsort(g)
+        g, p = g[by], probs["p"].to_numpy()[by].astype(np.float64)
+        tokens, known, sums, scores, rare = [], [], [], [], []
+
+        def judge(block: list[bytes]) -> None:
+            code, starts = _codes(block, order)
+            scores.extend((np.add.reduceat(p[np.searchsorted(g, code)], starts) / np.log(10)).tolist())
+            for b in block:
+                w = word_keys(b)
+                w.append(END)
+                c = np.fromiter(map(frequent.get, w, repeat(0)), np.float64, len(w))
+                missing = np.flatnonzero(c == 0)
+                tokens.append(len(w))
+                known.append(len(w) - len(missing))
+                sums.append(float(np.log10(c[c > 0] + 0.5).sum()))
+                rare.append([w[i] for i in missing.tolist()])
+
+        block, size = [], 0
+        for b in texts["key"].to_pylist():
+            block.append(b)
+            size += len(b)
+            if size >= 1_000_000:
+                judge(block)
+                block, size = [], 0
+        if block:
+            judge(block)
+        return pa.table({"doc_id": texts["doc_id"], "held_out": texts["held_out"], "n_tokens": pa.array(tokens, pa.int64()), "known": pa.array(known, pa.int64()), "sums": pa.array(sums, pa.float64()), "score": pa.array(scores, pa.float64()), "rare": pa.array(rare, pa.list_(pa.binary()))})
+
+    texts = parts.where(F.col("kind") == TEXT).select("block", "doc_id", "held_out", "key")
+    scored = texts.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(apply, "doc_id long, held_out boolean, n_tokens long, known long, sums double, score double, rare array<binary>")
     scored = written(scored, "scoring-rows").withColumn("_row", F.monotonically_increasing_id())
     seldom = words.where(F.col("n") < F.lit(max(1.0, total * common)))
     tokens = scored.select("_row", F.explode("rare").alias("w"))
