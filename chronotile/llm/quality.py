@@ -20,8 +20,9 @@ from .common import sized, text_or_empty, words_of, written
 
 #: Dimensions of the vector: mean word length, symbols a word, upper-case share, exclamation and bar marks a word,
 #: repeated lines' share, repeated words' share; and the least standard deviation that each is given. The floors keep
-#: a dimension that is constant in a group from turning a single symbol into an outlier.
-DIMS = {"x_len": 0.08, "x_sym": 0.15, "x_up": 0.10, "x_mark": 0.15, "x_line": 0.18, "x_rep": 0.18}
+#: a dimension that is constant in a group from turning a single symbol into an outlier, and are small enough that each
+#: dimension can reject a text by itself (the base rule bounds x_rep by the root of 1/2).
+DIMS = {"x_len": 0.08, "x_sym": 0.15, "x_up": 0.10, "x_mark": 0.15, "x_line": 0.15, "x_rep": 0.13}
 
 
 def text_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -121,7 +122,7 @@ def group_keys(stats: DataFrame, min_rows: int) -> DataFrame:
     return d.join(sized(keys), d["_a"] == keys["_a2"], "left").drop("_a", "_b", "_a2")
 
 
-def judge(stats: DataFrame, min_rows: int = 100, share: float = 0.75, steps: int = 4, tail: float = 1e-6) -> DataFrame:
+def judge(stats: DataFrame, min_rows: int = 100, share: float = 0.75, steps: int = 4, tail: float = 1e-4) -> DataFrame:
     """Adds distance2 (squared, null without a verdict) and kept to text statistics that hold base_failed.
 
     Start: medians and quartile ranges of each dimension; then `steps` concentration steps, each taking mean and

@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from chronotile.llm import scoring
+from chronotile.llm import quality, scoring
 
 from .conftest import frame
 
@@ -52,3 +52,11 @@ def test_3_no_context_is_left_out(spark, monkeypatch, order):
     got = {r.doc_id: r.score for r in scoring.score(frame(spark, rows), F.col("doc_id") >= 1000, order=order).collect()}
     want = list(partial_matching(train, texts, order))
     assert len(got) == len(rows) and [got[1000 + k] for k in range(len(texts))] == pytest.approx(want, rel=1e-5)
+
+
+def test_1_each_dimension_rejects_by_itself(spark):
+    """Texts that are only repeated lines, or bars, beside a group that has neither."""
+    rows = [(k, 200, 1000 + k % 9, 0, 10, 0, 30, 0, 0) for k in range(300)]
+    rows += [(1000, 200, 1004, 0, 10, 29, 30, 0, 0), (1001, 200, 1004, 0, 10, 0, 30, 100, 0), (1002, 200, 1004, 0, 10, 0, 30, 0, 160), (1003, 200, 1004, 0, 10, 3, 30, 4, 1)]
+    d = spark.createDataFrame(rows, "doc_id long, n_words long, word_chars long, n_symbols long, n_upper long, n_dup_lines long, n_lines long, n_repeat_words long, n_marks long").selectExpr("*", "'en' as lang", "'s' as source", "false as base_failed")
+    assert {r.doc_id for r in quality.judge(d).where("not kept").collect()} == {1000, 1001, 1002}
