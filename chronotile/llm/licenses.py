@@ -20,10 +20,12 @@ from .common import text_or_empty
 #: The base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Label, keyword, and pattern of the names by which texts call a license.
+#: Label, keyword, and pattern of the names by which texts call a license. Every match of a pattern holds its keyword.
 NAMES = [
-    ("mit", "mit", "mit|expat"),
-    ("apache", "apache", "apache(?: software)?(?: license)?|asl"),
+    ("mit", "mit", "mit"),
+    ("mit", "expat", "expat"),
+    ("apache", "apache", "apache(?: software)?(?: license)?"),
+    ("apache", "asl", "asl"),
     ("gpl", "general public", "(?:gnu )?general public license"),
     ("gpl", "gpl", "(?:gnu )?gpl(?: ?v?[123](?: 0)?)?"),
     ("lgpl", "lesser general", "(?:gnu )?lesser general public license"),
@@ -60,7 +62,8 @@ NAMES = [
     ("zlib", "zlib", "zlib(?: libpng)?"),
     ("boost", "boost", "boost software license"),
     ("artistic", "artistic", "(?:perl )?artistic(?: license)?(?: [12] 0)?"),
-    ("python", "python", "python software foundation(?: license)?|psf"),
+    ("python", "python", "python software foundation(?: license)?"),
+    ("python", "psf", "psf"),
     ("postgresql", "postgresql", "postgresql"),
     ("ruby", "ruby", "ruby"),
     ("php", "php", "php"),
@@ -118,7 +121,7 @@ NOTICES = [
     ("no warranty", 3, 0.4, "without warranty", "without warranty of any kind"),
 ]
 #: What a text holds if any rule can match it.
-GATE = "licen|spdx|under| terms |subject to|permission|redistribution|altered source|unencumbered|public license|rights reserved|confidential|without warranty|free software"
+GATE = "licen|spdx|under| terms |subject to|permission|redistribution|altered source|unencumbered|public license|rights reserved|confidential|without warranty|free software|(?:released|distributed|published|available|provided|shared) (?:freely )?as "
 
 
 def rules() -> list[tuple[int, str, int, float, str, str]]:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import collections
+import itertools
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from chronotile.llm import quality, scoring
+from chronotile.llm import licenses, quality, scoring
 
 from .conftest import frame
 
@@ -60,3 +62,35 @@ def test_1_each_dimension_rejects_by_itself(spark):
     rows += [(1000, 200, 1004, 0, 10, 29, 30, 0, 0), (1001, 200, 1004, 0, 10, 0, 30, 100, 0), (1002, 200, 1004, 0, 10, 0, 30, 0, 160), (1003, 200, 1004, 0, 10, 3, 30, 4, 1)]
     d = spark.createDataFrame(rows, "doc_id long, n_words long, word_chars long, n_symbols long, n_upper long, n_dup_lines long, n_lines long, n_repeat_words long, n_marks long").selectExpr("*", "'en' as lang", "'s' as source", "false as base_failed")
     assert {r.doc_id for r in quality.judge(d).where("not kept").collect()} == {1000, 1001, 1002}
+
+
+def examples(tree):
+    """Strings that a parsed pattern matches: each alternative, and each optional part with and without, at least once."""
+    parts = []
+    for op, value in tree:
+        name = str(op)
+        if name == "LITERAL":
+            parts.append([chr(value)])
+        elif name == "IN":
+            parts.append([chr(v if str(o) == "LITERAL" else v[0]) for o, v in value])
+        elif name == "SUBPATTERN":
+            parts.append(examples(value[-1]))
+        elif name == "BRANCH":
+            parts.append([x for b in value[1] for x in examples(b)])
+        else:
+            assert name == "MAX_REPEAT"
+            parts.append([""] * (value[0] == 0) + examples(value[2]))
+    return ["".join(p[k % len(p)] for p in parts) for k in range(max(map(len, parts), default=1))]
+
+
+def test_4_prefilters_drop_no_match(spark):
+    """A rule is tried on every text that it matches, so the gated result is that of all rules."""
+    for _, label, _, _, keyword, body in licenses.rules():
+        made = [f" {x} " for x in examples(re._parser.parse(body))]
+        assert all(re.search(f" (?:{body})(?= )", t) for t in made)
+        assert [t for t in made if keyword not in t or not re.search(licenses.GATE, t)] == [], label
+    verbs = ("released", "distributed", "published", "available", "made available", "provided", "shared")
+    names = {"public domain": "public domain", "cc0": "cc0", "gpl": "gpl", "expat": "mit", "asl 2 0": "apache", "psf": "python"}
+    rows = [(k, f"it is {verb} {how} {name}") for k, (verb, how, name) in enumerate(itertools.product(verbs, ("as", "freely as", "under the"), names))]
+    got = {r.doc_id: r.labels for r in licenses.scan(frame(spark, rows)).collect()}
+    assert all(got[k] == names[name] for k, (_, _, name) in enumerate(itertools.product(verbs, ("as", "freely as", "under the"), names)))
