@@ -88,8 +88,7 @@ def som_evaluate(spark, d):
 
 @query("cluster_dendro")
 def cluster_dendro(spark, d):
-    x = features(spark, d).where("sample_id < 120")
-    return learn.cluster_dendro(x, FEATURES).select("sample_id", "label", "cluster")
+    return learn.cluster_dendro(features(spark, d), FEATURES).select("sample_id", "label", "cluster")
 
 
 GEO = sql("points") + ", p as (select sample_id, longitude % 30 as x, latitude as y from points), h as (select a.sample_id, 2 * 6371.0088 * asin(sqrt(least(sin(radians(b.y - a.y) / 2) ** 2 + cos(radians(a.y)) * cos(radians(b.y)) * sin(radians(b.x - a.x) / 2) ** 2, 1.0))) as d from p a join p b on a.x <> b.x or a.y <> b.y) select sample_id, round(min(d), 4) as distance from h group by 1"
