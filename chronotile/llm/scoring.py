@@ -1,19 +1,26 @@
 """Language-model scores of texts: prediction by partial matching over bytes, beside a unigram base.
 
-A pass over all texts writes them in blocks, with the counts of their words and the strings of `order` + 1 bytes that
-each block holds (text boundaries are a symbol of their own). The training texts' strings make a context trie. A context
-of k bytes predicts a symbol it has seen c times among C with c / (C + D), D the number of distinct symbols (escape
-method C); the rest of the probability goes to the next shorter context, in which the symbols already refused are
+The training texts' strings of `order` + 1 bytes make a context trie (text boundaries are a symbol of their own). A
+context of k bytes predicts a symbol it has seen c times among C with c / (C + D), D the number of distinct symbols
+(escape method C); the rest of the probability goes to the next shorter context, in which the symbols already refused are
 excluded from counts and escape. Below the empty context all remaining symbols are alike. The model doesn't change while
 it scores, so the probability of a symbol depends on its `order` bytes before alone; a text's code length is the sum.
 
-No string is left out, and no table of them is broadcast: strings are dealt out by the last two bytes of their context,
-so that a part of the trie has whole contexts of two bytes and more (shorter ones come from the counts of pairs, whose
-number the alphabet bounds); each block then meets its own strings' probabilities. Words are looked up in two ways: those
-with at least a millionth of all tokens, at most a million words, are broadcast; the others meet their counts in a join.
-
-Null texts count as empty: they have one token, the end. Repeated rows are rows of their own. Texts are read whole.
-Without any training row the byte model is uniform.
+1. A pass over all texts packs them into compressed blocks, and writes beside each block its distinct strings with their
+   training counts, dealt into parts by the last three bytes of their context. A part has whole contexts of three bytes
+   and more; shorter ones come from the counts of strings of three bytes, whose number the alphabet bounds (257^3).
+2. The parts' counts are summed as they stream by, and give each string's probability. No string is left out, and no
+   table of them is broadcast.
+3. Each block's strings of a part meet the part's probabilities, and go back to their block, where its texts are scored.
+   Rows meet by a sort on the part or block, one at a time, so memory is bounded by a part's distinct strings or a block.
+
+The number of parts grows with the root of the bytes, as distinct strings do at most in natural text. Words are looked up
+in two ways: those with at least a millionth of all tokens, at most a million words, are broadcast; the others meet their
+counts in a join. Rows have numbers that are written with their block, so no later read of another split changes them.
+
+Null texts count as empty: they have one token, the end. Repeated rows are rows of their own, ties can't matter. Texts
+are read whole, very long ones in pieces that know the bytes before them. Other columns are neither read nor returned.
+Without any training row the byte model is uniform; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,74 +35,64 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, tidy, written
+from .common import partitions, sized, tidy, written
 
 SYMBOLS = 257  # 0: a boundary; else a byte plus 1
+SHORT = 3  # symbols of the strings whose counts all parts share
 END = b"\n"  # no word holds it
 LONG_WORD = 40
-BLOCK_BYTES = 8_000_000
-PART_STRINGS = 200_000  # strings of a part of the trie, on average
-
-
-def word_keys(text: bytes) -> list[bytes]:
-    """The words of a text in lower case, long ones by a digest."""
-    words = text.split()
-    return [w if len(w) <= LONG_WORD else b"\n" + xxhash.xxh3_128_digest(w) for w in words] if len(text) > LONG_WORD and max(map(len, words), default=0) > LONG_WORD else words
-
-
-def _symbols(texts: list[bytes], order: int) -> np.ndarray:
-    """The texts' symbols, each text followed by `order` boundaries; as many come first."""
-    return np.concatenate([np.zeros(order, np.uint8), np.frombuffer(bytes(order).join([*texts, b""]), np.uint8)]).astype(np.int64) + 1
-
-
-def _blocks(column: pa.Array, size: int = 2_000_000) -> Iterator[tuple[int, list[bytes]]]:
-    """Index of the first, and lower-cased bytes, of consecutive texts of about the given size."""
-    first, block, total = 0, [], 0
-    for k, text in enumerate(column):
-        b = (text.as_py() or "").encode("utf-8", "surrogatepass").lower()
-        block.append(b)
-        total += len(b)
-        if total >= size:
-            yield first, block
-            first, block, total = k + 1, [], 0
-    if block:
-        yield first, block
-
-
-def _laid_out(block: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols with boundaries, positions to predict (bytes and each text's end), and each text's first among these."""
-    lengths = np.array([len(b) for b in block])
-    s = _symbols(block, order)
-    begins = order + np.concatenate([[0], np.cumsum(lengths + order)[:-1]])
-    inside = np.zeros(len(s) + 1, np.int64)
-    np.add.at(inside, begins, 1)
-    np.add.at(inside, begins + lengths + 1, -1)
-    predicted = np.cumsum(inside[:-1]) > 0
-    text = np.zeros(len(s), bool)
-    mark = np.zeros(len(s) + 1, np.int64)
-    np.add.at(mark, begins, 1)
-    np.add.at(mark, begins + lengths, -1)
-    text = np.cumsum(mark[:-1]) > 0
-    s[~text] = 0
-    return s, np.flatnonzero(predicted), np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-
-
-_PARTS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("key", pa.binary()), ("g", pa.int64()), ("n", pa.int64())])
-_PARTS_DDL = "kind int, block long, doc_id long, held_out boolean, key binary, g long, n long"
-TEXT, GRAM, WORD = 0, 1, 2
-
-
-def _part(rows: int, kind: int, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(rows, kind, np.int32)) if f.name == "kind" else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in _PARTS], schema=_PARTS)
-
-
-def _codes(block: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The string that ends at each symbol to predict, as a number, and each text's first among these."""
-    s, at, starts = _laid_out(block, order)
-    code = np.zeros(len(at), np.int64)
-    for j in range(order, -1, -1):
-        code = code * SYMBOLS + s[at - j]
-    return code, starts
+BLOCK_BYTES = 16_000_000
+PIECE_BYTES = 2_000_000
+LEAST_PARTS = 64
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def word_keys(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a lower-cased text, long ones by a digest, in lists of bounded size."""
+    at = 0
+    while at < len(text):
+        stop = at + PIECE_BYTES
+        while stop < len(text) and not text[stop : stop + 1].isspace():
+            stop += 1
+        words = text[at:stop].split()
+        if max(map(len, words), default=0) > LONG_WORD:
+            words = [w if len(w) <= LONG_WORD else b"\n" + xxhash.xxh3_128_digest(w) for w in words]
+        yield words
+        at = stop
+
+
+def _pieces(texts: list[bytes], order: int) -> Iterator[list[tuple[int, bytes | None, bytes, bool]]]:
+    """Lists of (text, bytes before, bytes, whether the text ends there), of about PIECE_BYTES each."""
+    out, size = [], 0
+    for k, b in enumerate(texts):
+        for at in range(0, max(len(b), 1), PIECE_BYTES):
+            out.append((k, b[max(at - order, 0) : at] if at else None, b[at : at + PIECE_BYTES], at + PIECE_BYTES >= len(b)))
+            size += len(out[-1][2])
+            if size >= PIECE_BYTES:
+                yield out
+                out, size = [], 0
+    if out:
+        yield out
+
+
+def _codes(pieces: list[tuple[int, bytes | None, bytes, bool]], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The strings that end at each symbol to predict (bytes and ends), each piece's first among them, the pieces' texts."""
+    blank = bytes(order)
+    s = np.frombuffer(b"".join(x for _, before, body, _ in pieces for x in (blank if before is None else before.rjust(order, b"\0"), body, b"\0")), np.uint8).astype(np.int64) + 1
+    lengths = np.array([len(body) for _, _, body, _ in pieces])
+    begins = np.concatenate([[0], np.cumsum(lengths + order + 1)[:-1]])
+    heads = begins[:, None] + np.arange(order)
+    s[heads[[before is None for _, before, _, _ in pieces]].ravel()] = 0
+    ends = begins + order + lengths
+    s[ends] = 0
+    wanted = np.ones(len(s), bool)
+    wanted[heads.ravel()] = False
+    last = np.array([x for _, _, _, x in pieces])
+    wanted[ends[~last]] = False
+    code = s[: len(s) - order]
+    for j in range(1, order + 1):
+        code = code * SYMBOLS + s[j : len(s) - order + j]
+    return code[wanted[order:]], np.concatenate([[0], np.cumsum(lengths + last)[:-1]]), np.array([k for k, _, _, _ in pieces])
 
 
 def _summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +105,40 @@ def _summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes[first], np.add.reduceat(n, first)
 
 
-def _read_pass(order: int):
+def part_of(g: np.ndarray, parts: int) -> np.ndarray:
+    context = (g // SYMBOLS % SYMBOLS**SHORT).astype(np.uint64)
+    return (((context * _SPREAD) >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    return pa.compress(b"".join(c.tobytes() for c in columns), codec="zstd", asbytes=True)
+
+
+def _unpacked(payload: bytes, rows: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Strings, and the numbers of the given kind beside them."""
+    width = np.dtype(kind).itemsize
+    b = pa.decompress(payload, rows * (8 + width), codec="zstd", asbytes=True)
+    return np.frombuffer(b, np.int64, rows), np.frombuffer(b, kind, rows, rows * 8)
+
+
+def _packed_texts(ids: list, held: list, texts: list[bytes]) -> bytes:
+    t = pa.record_batch([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(texts, pa.large_binary())], names=["doc_id", "held_out", "text"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(t)
+    return sink.getvalue().to_pybytes()
+
+
+_PARTS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("part", pa.int32()), ("rows", pa.int32()), ("payload", pa.binary()), ("key", pa.binary()), ("n", pa.int64())])
+_PARTS_DDL = "kind int, block long, part int, rows int, payload binary, key binary, n long"
+TEXT, GRAM, WORD = 0, 1, 2
+
+
+def _part(size: int, kind: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)) if f.name == "kind" else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in _PARTS], schema=_PARTS)
+
+
+def _read_pass(order: int, parts: int):
     """Lower-cased texts by block, each block's strings with their counts in training texts (0 where none has it), words' counts."""
 
     @tidy()
@@ -116,7 +146,8 @@ def _read_pass(order: int):
         from pyspark import TaskContext
 
         words: Counter = Counter()
-        block, size, grams = TaskContext.get().partitionId() << 32, 0, []
+        block, size, grams = TaskContext.get().partitionId() << 20, 0, []
+        ids, held, texts = [], [], []
 
         def flush_words() -> Iterator[pa.RecordBatch]:
             items = [(w, c) for w, c in words.items() if c]
@@ -125,39 +156,96 @@ def _read_pass(order: int):
                 part = items[k : k + 50_000]
                 yield _part(len(part), WORD, key=[w for w, _ in part], n=[c for _, c in part])
 
-        def flush_grams() -> Iterator[pa.RecordBatch]:
+        def count(some: list[bytes], train: bool) -> None:
+            for p in _pieces(some, order):
+                g, n = np.unique(_codes(p, order)[0], return_counts=True)
+                grams.append((g, n.astype(np.int64) if train else np.zeros(len(n), np.int64)))
+                if len(grams) >= 8:
+                    grams[:] = [_summed(np.concatenate([x for x, _ in grams]), np.concatenate([c for _, c in grams]))]
+
+        def flush_block() -> Iterator[pa.RecordBatch]:
+            for train in (True, False):  # a null isn't trained on
+                count([b for b, h in zip(texts, held, strict=True) if (h is False) == train], train)
+            yield _part(1, TEXT, block=[block], payload=[_packed_texts(ids, held, texts)])
             g, n = _summed(np.concatenate([x for x, _ in grams]), np.concatenate([c for _, c in grams]))
             grams.clear()
-            for k in range(0, len(g), 100_000):
-                yield _part(len(g[k : k + 100_000]), GRAM, block=np.full(len(g[k : k + 100_000]), block), g=g[k : k + 100_000], n=n[k : k + 100_000])
+            part = part_of(g, parts)
+            by = np.argsort(part, kind="stable")
+            g, n, edges = g[by], n[by].astype(np.int32), np.searchsorted(part[by], np.arange(parts + 1))
+            some = np.flatnonzero(np.diff(edges)).tolist()
+            cut = [(g[edges[k] : edges[k + 1]], n[edges[k] : edges[k + 1]]) for k in some]
+            yield _part(len(some), GRAM, block=np.full(len(some), block), part=some, rows=[len(x) for x, _ in cut], payload=[_packed(x, c) for x, c in cut])
 
         for batch in batches:
-            held = np.array(batch.column(1).fill_null(True).to_pylist(), bool)  # a null isn't trained on
-            for first, texts in _blocks(batch.column(2)):
-                mine = held[first : first + len(texts)]
-                yield _part(len(texts), TEXT, block=np.full(len(texts), block), doc_id=batch.column(0).slice(first, len(texts)), held_out=batch.column(1).slice(first, len(texts)), key=texts)
-                for b, out in zip(texts, mine.tolist(), strict=True):
-                    if not out:
-                        words.update(word_keys(b))
-                words[END] += len(texts) - int(mine.sum())
-                if len(words) > 300_000:
-                    yield from flush_words()
-                for out in (False, True):
-                    some = [b for b, o in zip(texts, mine.tolist(), strict=True) if o == out]
-                    if some:
-                        g, n = np.unique(_codes(some, order)[0], return_counts=True)
-                        grams.append((g, np.zeros_like(n) if out else n))
-                size += sum(map(len, texts))
-                if size >= BLOCK_BYTES or len(grams) >= 512:
-                    yield from flush_grams()
-                    block, size = block + 1, 0
+            for doc_id, out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()), strict=True):
+                b = (text.as_py() or b"").lower()
+                ids.append(doc_id)
+                held.append(out)
+                texts.append(b)
+                size += len(b) + 64
+                if out is False:
+                    for w in word_keys(b):
+                        words.update(w)
+                    words[END] += 1
+                    if len(words) > 300_000:
+                        yield from flush_words()
+                if size >= BLOCK_BYTES:
+                    yield from flush_block()
+                    block, size, ids, held, texts = block + 1, 0, [], [], []
         yield from flush_words()
-        if grams:
-            yield from flush_grams()
+        if ids:
+            yield from flush_block()
 
     return read
 
 
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows; their last column, the payload, as bytes."""
+    for batch in batches:
+        yield from zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns - 1)), (x.as_py() for x in batch.column(batch.num_columns - 1)), strict=True)
+
+
+_COUNTS = pa.schema([("part", pa.int32()), ("rows", pa.int32()), ("payload", pa.binary())])
+
+
+@tidy()
+def _sum_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strings and counts of each part, from rows in the order of parts."""
+    part, held, rows, least = None, [], 0, 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        return _summed(np.concatenate([g for g, _ in held]), np.concatenate([n for _, n in held]))
+
+    def whole() -> pa.RecordBatch:
+        g, n = merged()
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(g)], pa.int32()), pa.array([_packed(g, n)], pa.binary())], schema=_COUNTS)
+
+    for p, m, payload in _streamed(batches):
+        if p != part and held:
+            yield whole()
+            held, rows, least = [], 0, 0
+        part = p
+        g, n = _unpacked(payload, m, np.int32)
+        held.append((g, n.astype(np.int64)))
+        rows += m
+        if rows > 2 * least + 500_000:
+            held = [merged()]
+            rows = least = len(held[0][0])
+    if held:
+        yield whole()
+
+
+def _shorter(order: int):
+    @tidy()
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for m, payload in _streamed(batches):
+            g, n = _unpacked(payload, m, np.int64)
+            g, n = _summed(g[n > 0] % SYMBOLS ** min(SHORT, order + 1), n[n > 0])
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], names=["g", "n"])
+
+    return cut
+
+
 def _found(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the wanted in the sorted values, and whether they are there."""
     if not len(values):
@@ -169,12 +257,12 @@ def _found(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def log_probabilities(g: np.ndarray, n: np.ndarray, short: tuple[np.ndarray, np.ndarray], order: int) -> np.ndarray:
     """Natural logarithms of the probabilities of the last symbols of the strings g after their contexts.
 
-    n: counts in training texts. g has all strings that share a context of two symbols; `short` has all counts of strings
-    of min(2, order + 1) symbols, from which the shorter contexts come.
+    n: counts in training texts. g has all strings that share a context of SHORT symbols; `short` has all counts of strings
+    of min(SHORT, order + 1) symbols, from which the shorter contexts come.
     """
     levels = []  # strings of k + 1 symbols and counts; contexts of k symbols, their counts' sums, their distinct symbols
     for k in range(order + 1):
-        codes, c = _summed(short[0] % SYMBOLS ** (k + 1), short[1]) if k < 2 else _summed(g[n > 0] % SYMBOLS ** (k + 1), n[n > 0])
+        codes, c = _summed(short[0] % SYMBOLS ** (k + 1), short[1]) if k < SHORT else _summed(g[n > 0] % SYMBOLS ** (k + 1), n[n > 0])
         contexts, total = _summed(codes // SYMBOLS, c)
         levels.append((codes, c, contexts, total, _summed(codes // SYMBOLS, np.ones_like(c))[1]))
     out = np.zeros(len(g))
@@ -205,11 +293,96 @@ def log_probabilities(g: np.ndarray, n: np.ndarray, short: tuple[np.ndarray, np.
     return out - np.where(undecided, np.log(max(SYMBOLS - alphabet, 1)), 0.0)
 
 
+class Lookup:
+    """Numbers by string: a table of slots, and a search for the few strings that share one."""
+
+    def __init__(self, g: np.ndarray, p: np.ndarray):
+        by = np.argsort(g)
+        self.g, self.p = g[by], p[by].astype(np.float64)
+        bits = max(10, (4 * len(g)).bit_length())
+        self.shift, self.slots = np.uint64(64 - bits), np.zeros(1 << bits, np.int32)
+        self.slots[self._slot(self.g)] = np.arange(len(g))
+
+    def _slot(self, g: np.ndarray) -> np.ndarray:
+        return (g.view(np.uint64) * _SPREAD) >> self.shift
+
+    def __call__(self, g: np.ndarray) -> np.ndarray:
+        at = self.slots[self._slot(g)]
+        other = np.flatnonzero(self.g[at] != g)
+        at[other] = np.searchsorted(self.g, g[other])
+        return self.p[at]
+
+
+_PROBS = pa.schema([("block", pa.int64()), ("rows", pa.int32()), ("payload", pa.binary())])
+
+
+@tidy()
+def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block's strings with their probabilities, from rows in the order of parts, a part's model before its blocks."""
+    g = p = None
+    for _, late, block, m, payload in _streamed(batches):
+        if not late:
+            g, p = _unpacked(payload, m, np.float32)
+        else:
+            own = _unpacked(payload, m, np.int32)[0]
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([m], pa.int32()), pa.array([_packed(own, p[np.searchsorted(g, own)])], pa.binary())], schema=_PROBS)
+
+
+_SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("sums", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary()))])
+_SCORED_DDL = "row long, doc_id long, held_out boolean, n_tokens long, known long, sums double, score double, rare array<binary>"
+
+
+def _score_blocks(shared, order: int):
+    def scores(texts: list[bytes], of: Lookup) -> np.ndarray:
+        out = np.zeros(len(texts))
+        for p in _pieces(texts, order):
+            code, starts, doc = _codes(p, order)
+            some = np.diff(np.append(starts, len(code))) > 0
+            out += np.bincount(doc[some], np.add.reduceat(of(code), starts[some]), len(texts)) if some.any() else 0.0
+        return out / np.log(10)
+
+    @tidy()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = shared.value
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for block, late, m, payload in _streamed(batches):
+            if not late:
+                held.append(_unpacked(payload, m, np.float32))
+                continue
+            of = Lookup(np.concatenate([g for g, _ in held]), np.concatenate([p for _, p in held]))
+            held = []
+            t = pa.ipc.open_stream(payload).read_all()
+            ids, outs, texts = t["doc_id"].to_pylist(), t["held_out"].to_pylist(), t["text"].to_pylist()
+            del t
+            tokens, known, sums, rare = [], [], [], []
+            for b in texts:
+                n, found, total, unknown = 0, 0, 0.0, []
+                for w in (*word_keys(b), [END]):
+                    c = np.fromiter(map(frequent.get, w, repeat(0)), np.float64, len(w))
+                    there = c > 0
+                    n, found, total = n + len(w), found + int(there.sum()), total + float(np.log10(c[there] + 0.5).sum())
+                    unknown += [w[i] for i in np.flatnonzero(~there).tolist()]
+                tokens.append(n)
+                known.append(found)
+                sums.append(total)
+                rare.append(unknown)
+            value = scores(texts, of)
+            for a in range(0, len(texts), 4096):
+                z = slice(a, a + 4096)
+                rows = [block << 19 | k for k in range(len(texts))[z]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((rows, ids[z], outs[z], tokens[z], known[z], sums[z], value[z], rare[z]), _SCORED, strict=True)], schema=_SCORED)
+
+    return run
+
+
 def score(docs: DataFrame, held_out: Column, order: int = 5, common: float = 1e-6) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learnt from the rows that aren't held out."""
     spark = docs.sparkSession
+    tasks = partitions(spark)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
-    parts = written(d.mapInArrow(_read_pass(order), _PARTS_DDL), "scoring-blocks")
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_parts = max(LEAST_PARTS, int((size / 1e6) ** 0.5))
+    parts = written(d.mapInArrow(_read_pass(order, n_parts), _PARTS_DDL), "scoring-blocks")
     words = written(parts.where(F.col("kind") == WORD).groupBy("key").agg(F.sum("n").alias("n")), "scoring-words")
     total, distinct = words.agg(F.sum("n"), F.count("*")).first()
     total, distinct = total or 0, distinct or 0
@@ -217,58 +390,29 @@ def score(docs: DataFrame, held_out: Column, order: int = 5, common: float = 1e-
     frequent = {bytes(r["key"]): r["n"] for r in often.toLocalIterator()}  # at most 1 / common words
     base = total + 0.5 * (distinct + 1)
 
-    grams = written(parts.where(F.col("kind") == GRAM).groupBy("g").agg(F.sum("n").alias("n")), "scoring-grams")
-    strings = grams.count()
-    pairs = grams.where("n > 0").groupBy((F.col("g") % SYMBOLS ** min(2, order + 1)).alias("g")).agg(F.sum("n").alias("n")).toArrow()  # at most 257 x 257
-    short = spark.sparkContext.broadcast((pairs["g"].to_numpy().astype(np.int64), pairs["n"].to_numpy().astype(np.int64)))
-    n_parts = max(1, -(-strings // PART_STRINGS))
-    part = F.pmod(F.xxhash64(F.expr(f"(g div {SYMBOLS}) % {SYMBOLS**2}")), F.lit(n_parts))
-
-    def table(t: pa.Table) -> pa.Table:
-        p = log_probabilities(t["g"].to_numpy(), t["n"].to_numpy(), short.value, order)
-        return pa.table({"g": t["g"], "p": pa.array(p.astype(np.float32))})
+    grams = parts.where(F.col("kind") == GRAM).select("part", "block", "rows", "payload")
+    counts = grams.select("part", "rows", "payload").repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_sum_parts, "part int, rows int, payload binary")
+    counts = written(counts, "scoring-counts")
+    few = counts.select("rows", "payload").mapInArrow(_shorter(order), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toArrow()  # at most 257^3
+    short = spark.sparkContext.broadcast((few["g"].to_numpy().astype(np.int64), few["n"].to_numpy().astype(np.int64)))
 
-    model = grams.select("g", "n", part.alias("part")).groupBy("part").applyInArrow(table, "g long, p float")
-    known = parts.where(F.col("kind") == GRAM).select("block", "g").join(sized(model, strings), "g").select(F.col("block").alias("of"), "g", "p")
-    shared = spark.sparkContext.broadcast(frequent)
+    @tidy()
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p, m, payload in _streamed(batches):
+            g, n = _unpacked(payload, m, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([m], pa.int32()), pa.array([_packed(g, log_probabilities(g, n, short.value, order).astype(np.float32))], pa.binary())], schema=_COUNTS)
+
+    model = written(counts.repartition(tasks, "part").mapInArrow(weigh, "part int, rows int, payload binary"), "scoring-model")
+    met = model.select("part", F.lit(0).alias("late"), F.lit(None).cast("long").alias("block"), "rows", "payload").unionByName(grams.withColumn("late", F.lit(1)))
+    probs = met.repartition(tasks, "part").sortWithinPartitions("part", "late").mapInArrow(_look_up, "block long, rows int, payload binary")
+    texts = parts.where(F.col("kind") == TEXT).select("block", F.lit(1).alias("late"), "rows", "payload")
+    both = probs.select("block", F.lit(0).alias("late"), "rows", "payload").unionByName(texts)
+    scored = both.repartition(tasks, "block").sortWithinPartitions("block", "late").mapInArrow(_score_blocks(spark.sparkContext.broadcast(frequent), order), _SCORED_DDL)
+    scored = written(scored, "scoring-rows")
 
-    def apply(texts: pa.Table, probs: pa.Table) -> pa.Table:
-        frequent = shared.value
-        g = probs["g"].to_numpy()
-        by = np.argsort(g)
-        g, p = g[by], probs["p"].to_numpy()[by].astype(np.float64)
-        tokens, known, sums, scores, rare = [], [], [], [], []
-
-        def judge(block: list[bytes]) -> None:
-            code, starts = _codes(block, order)
-            scores.extend((np.add.reduceat(p[np.searchsorted(g, code)], starts) / np.log(10)).tolist())
-            for b in block:
-                w = word_keys(b)
-                w.append(END)
-                c = np.fromiter(map(frequent.get, w, repeat(0)), np.float64, len(w))
-                missing = np.flatnonzero(c == 0)
-                tokens.append(len(w))
-                known.append(len(w) - len(missing))
-                sums.append(float(np.log10(c[c > 0] + 0.5).sum()))
-                rare.append([w[i] for i in missing.tolist()])
-
-        block, size = [], 0
-        for b in texts["key"].to_pylist():
-            block.append(b)
-            size += len(b)
-            if size >= 1_000_000:
-                judge(block)
-                block, size = [], 0
-        if block:
-            judge(block)
-        return pa.table({"doc_id": texts["doc_id"], "held_out": texts["held_out"], "n_tokens": pa.array(tokens, pa.int64()), "known": pa.array(known, pa.int64()), "sums": pa.array(sums, pa.float64()), "score": pa.array(scores, pa.float64()), "rare": pa.array(rare, pa.list_(pa.binary()))})
-
-    texts = parts.where(F.col("kind") == TEXT).select("block", "doc_id", "held_out", "key")
-    scored = texts.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(apply, "doc_id long, held_out boolean, n_tokens long, known long, sums double, score double, rare array<binary>")
-    scored = written(scored, "scoring-rows").withColumn("_row", F.monotonically_increasing_id())
     seldom = words.where(F.col("n") < F.lit(max(1.0, total * common)))
-    tokens = scored.select("_row", F.explode("rare").alias("w"))
-    met = tokens.join(seldom, F.col("w") == F.col("key"), "left").groupBy("_row").agg(F.count("n").alias("more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("s"))
-    met = written(met.withColumnRenamed("_row", "_r"), "scoring-rare")
-    out = scored.drop("rare").join(sized(met), F.col("_row") == F.col("_r"), "left")
+    tokens = scored.select("row", F.explode("rare").alias("w"))
+    found = tokens.join(seldom, F.col("w") == F.col("key"), "left").groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("s"))
+    found = written(found.withColumnRenamed("row", "_r"), "scoring-rare")
+    out = scored.drop("rare").join(sized(found), F.col("row") == F.col("_r"), "left")
     return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("sums") + F.coalesce("s", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(max(base, 0.5))))).alias("base_score"), "score")

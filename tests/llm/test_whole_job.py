@@ -94,3 +94,34 @@ def test_4_prefilters_drop_no_match(spark):
     rows = [(k, f"it is {verb} {how} {name}") for k, (verb, how, name) in enumerate(itertools.product(verbs, ("as", "freely as", "under the"), names))]
     got = {r.doc_id: r.labels for r in licenses.scan(frame(spark, rows)).collect()}
     assert all(got[k] == names[name] for k, (_, _, name) in enumerate(itertools.product(verbs, ("as", "freely as", "under the"), names)))
+
+
+def test_3_pieces_of_a_long_text(monkeypatch):
+    texts = [b"", b"abcdefghijklmnopqrstuvw", b"xyz", b"a" * 50]
+    whole = [scoring._codes([(0, None, t, True)], 5)[0].tolist() for t in texts]
+    monkeypatch.setattr(scoring, "PIECE_BYTES", 7)
+    got = {k: [] for k in range(len(texts))}
+    for p in scoring._pieces(texts, 5):
+        code, starts, doc = scoring._codes(p, 5)
+        for k, a, b in zip(doc.tolist(), starts.tolist(), [*starts[1:].tolist(), len(code)], strict=True):
+            got[k] += code[a:b].tolist()
+    assert [got[k] for k in range(len(texts))] == whole
+    assert [w for x in scoring.word_keys(b"one two  three four" + b"x" * 60) for w in x][:3] == [b"one", b"two", b"three"]
+
+
+def test_3_rows_do_not_depend_on_splits(spark, small):
+    """Lost or added executors change how files are split between the jobs of a query."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    out = scoring.score(docs, F.col("doc_id") % 5 == 1, common=1e-3)
+    rows = {r.doc_id: r for r in out.collect()}
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in zip(names, ("20k", "1k", "50"), strict=True):
+            spark.conf.set(k, v)
+        again = scoring.score(docs, F.col("doc_id") % 5 == 1, common=1e-3)
+        assert {r.doc_id: r for r in spark.createDataFrame(out.rdd, out.schema).collect()} == rows
+        assert {r.doc_id: (r.n_known, round(r.base_score, 6), round(r.score, 3)) for r in again.collect()} == {i: (r.n_known, round(r.base_score, 6), round(r.score, 3)) for i, r in rows.items()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
