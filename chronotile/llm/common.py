@@ -28,13 +28,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one in local mode
+    (one machine, as in tests), and an error on a cluster, whose machines share no such folder."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
     try:
         return spark.conf.get("spark.checkpoint.dir").rstrip("/")
-    except Exception:  # unset: a session of tests
+    except Exception:  # unset
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share") from None
         path = "file://" + tempfile.mkdtemp(prefix="chronotile-")
         spark.conf.set("spark.checkpoint.dir", path)
         return path
@@ -69,9 +72,8 @@ def drop_tables(spark: SparkSession, app: str | None = None) -> None:
             pass
 
 
-#: Rows that go to a Python worker at once while `written` runs: whole texts are long rows.
-BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes that go to a Python worker at once while `written` runs: whole texts are long rows.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -79,12 +81,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     schema = df.schema
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(min(int(before), BATCH_ROWS)))
+    before = {k: spark.conf.get(k) for k in BATCH}
+    for k, most in BATCH.items():
+        spark.conf.set(k, str(min(int(before[k].rstrip("bB")), most)))
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_BATCH, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -103,6 +107,19 @@ def sized(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -
     return F.broadcast(df) if n <= limit else df
 
 
+def looked_up(big: DataFrame, small: DataFrame, left: str, right: str, rows: int | None = None, salts: int = 32) -> DataFrame:
+    """Inner join of big.left with the distinct keys small.right, some of which may be hot.
+
+    Up to BROADCAST_ROWS keys are broadcast. More of them are repeated for each salt, and rows of big take one by turns.
+    """
+    n = small.count() if rows is None else rows
+    if n <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), F.col(left) == F.col(right))
+    many = small.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
+    return dealt.join(many, (F.col(left) == F.col(right)) & (F.col("_salt") == F.col("_salt2"))).drop("_salt", "_salt2")
+
+
 def text_or_empty(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

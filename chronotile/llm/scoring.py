@@ -6,8 +6,8 @@ context of k bytes predicts a symbol it has seen c times among C with c / (C + D
 excluded from counts and escape. Below the empty context all remaining symbols are alike. The model doesn't change while
 it scores, so the probability of a symbol depends on its `order` bytes before alone; a text's code length is the sum.
 
-1. A pass over all texts packs them into compressed blocks, and writes beside each block its distinct strings with their
-   training counts, dealt into parts by the last three bytes of their context. A part has whole contexts of three bytes
+1. A pass over all texts packs them into blocks of compressed packs, and writes beside each block its distinct strings
+   with their training counts, dealt into parts by the last three bytes of their context. A part has whole contexts of three bytes
    and more; shorter ones come from the counts of strings of three bytes, whose number the alphabet bounds (257^3).
 2. The parts' counts are summed as they stream by, and give each string's probability. No string is left out, and no
    table of them is broadcast.
@@ -42,7 +42,7 @@ SHORT = 3  # symbols of the strings whose counts all parts share
 END = b"\n"  # no word holds it
 LONG_WORD = 40
 BLOCK_BYTES = 16_000_000
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 LEAST_PARTS = 64
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -147,7 +147,7 @@ def _read_pass(order: int, parts: int):
 
         words: Counter = Counter()
         block, size, grams = TaskContext.get().partitionId() << 20, 0, []
-        ids, held, texts = [], [], []
+        ids, held, texts, first, inside = [], [], [], 0, 0  # of a pack; its first row's number in the block, its bytes
 
         def flush_words() -> Iterator[pa.RecordBatch]:
             items = [(w, c) for w, c in words.items() if c]
@@ -163,10 +163,12 @@ def _read_pass(order: int, parts: int):
                 if len(grams) >= 8:
                     grams[:] = [_summed(np.concatenate([x for x, _ in grams]), np.concatenate([c for _, c in grams]))]
 
-        def flush_block() -> Iterator[pa.RecordBatch]:
+        def flush_pack() -> pa.RecordBatch:
             for train in (True, False):  # a null isn't trained on
                 count([b for b, h in zip(texts, held, strict=True) if (h is False) == train], train)
-            yield _part(1, TEXT, block=[block], payload=[_packed_texts(ids, held, texts)])
+            return _part(1, TEXT, block=[block], part=[first], rows=[len(ids)], payload=[_packed_texts(ids, held, texts)])
+
+        def flush_block() -> pa.RecordBatch:
             g, n = _summed(np.concatenate([x for x, _ in grams]), np.concatenate([c for _, c in grams]))
             grams.clear()
             part = part_of(g, parts)
@@ -174,7 +176,7 @@ def _read_pass(order: int, parts: int):
             g, n, edges = g[by], n[by].astype(np.int32), np.searchsorted(part[by], np.arange(parts + 1))
             some = np.flatnonzero(np.diff(edges)).tolist()
             cut = [(g[edges[k] : edges[k + 1]], n[edges[k] : edges[k + 1]]) for k in some]
-            yield _part(len(some), GRAM, block=np.full(len(some), block), part=some, rows=[len(x) for x, _ in cut], payload=[_packed(x, c) for x, c in cut])
+            return _part(len(some), GRAM, block=np.full(len(some), block), part=some, rows=[len(x) for x, _ in cut], payload=[_packed(x, c) for x, c in cut])
 
         for batch in batches:
             for doc_id, out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()), strict=True):
@@ -182,19 +184,24 @@ def _read_pass(order: int, parts: int):
                 ids.append(doc_id)
                 held.append(out)
                 texts.append(b)
-                size += len(b) + 64
+                inside += len(b) + 64
                 if out is False:
                     for w in word_keys(b):
                         words.update(w)
                     words[END] += 1
                     if len(words) > 300_000:
                         yield from flush_words()
-                if size >= BLOCK_BYTES:
-                    yield from flush_block()
-                    block, size, ids, held, texts = block + 1, 0, [], [], []
+                if inside >= PIECE_BYTES:
+                    yield flush_pack()
+                    first, size, inside, ids, held, texts = first + len(ids), size + inside, 0, [], [], []
+                    if size >= BLOCK_BYTES:
+                        yield flush_block()
+                        block, size, first = block + 1, 0, 0
         yield from flush_words()
         if ids:
-            yield from flush_block()
+            yield flush_pack()
+        if grams:
+            yield flush_block()
 
     return read
 
@@ -345,12 +352,14 @@ def _score_blocks(shared, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        for block, late, m, payload in _streamed(batches):
+        of = None
+        for block, late, first, m, payload in _streamed(batches):
             if not late:
-                held.append(_unpacked(payload, m, np.float32))
+                held, of = [*held, _unpacked(payload, m, np.float32)] if of is None else [_unpacked(payload, m, np.float32)], None
                 continue
-            of = Lookup(np.concatenate([g for g, _ in held]), np.concatenate([p for _, p in held]))
-            held = []
+            if of is None:
+                of = Lookup(np.concatenate([g for g, _ in held]), np.concatenate([p for _, p in held]))
+                held = []
             t = pa.ipc.open_stream(payload).read_all()
             ids, outs, texts = t["doc_id"].to_pylist(), t["held_out"].to_pylist(), t["text"].to_pylist()
             del t
@@ -369,7 +378,7 @@ def _score_blocks(shared, order: int):
             value = scores(texts, of)
             for a in range(0, len(texts), 4096):
                 z = slice(a, a + 4096)
-                rows = [block << 19 | k for k in range(len(texts))[z]]
+                rows = [block << 19 | first + k for k in range(len(texts))[z]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((rows, ids[z], outs[z], tokens[z], known[z], sums[z], value[z], rare[z]), _SCORED, strict=True)], schema=_SCORED)
 
     return run
@@ -405,8 +414,8 @@ def score(docs: DataFrame, held_out: Column, order: int = 5, common: float = 1e-
     model = written(counts.repartition(tasks, "part").mapInArrow(weigh, "part int, rows int, payload binary"), "scoring-model")
     met = model.select("part", F.lit(0).alias("late"), F.lit(None).cast("long").alias("block"), "rows", "payload").unionByName(grams.withColumn("late", F.lit(1)))
     probs = met.repartition(tasks, "part").sortWithinPartitions("part", "late").mapInArrow(_look_up, "block long, rows int, payload binary")
-    texts = parts.where(F.col("kind") == TEXT).select("block", F.lit(1).alias("late"), "rows", "payload")
-    both = probs.select("block", F.lit(0).alias("late"), "rows", "payload").unionByName(texts)
+    texts = parts.where(F.col("kind") == TEXT).select("block", F.lit(1).alias("late"), "part", "rows", "payload")
+    both = probs.select("block", F.lit(0).alias("late"), F.lit(0).alias("part"), "rows", "payload").unionByName(texts)
     scored = both.repartition(tasks, "block").sortWithinPartitions("block", "late").mapInArrow(_score_blocks(spark.sparkContext.broadcast(frequent), order), _SCORED_DDL)
     scored = written(scored, "scoring-rows")
 
