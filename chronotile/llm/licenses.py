@@ -1,135 +1,38 @@
 """License detection by ordered signature rules.
 
-A text becomes its lower-case words, joined by single blanks. Rules are regular expressions over that string, made of
-license names and the phrases that introduce them; each has a priority and a keyword, and is tried on a text only where
-the text holds its keyword; texts without any of the general keywords are not tried at all. Detections are intervals of
-words. One that lies within another of higher priority, or of equal priority and greater length, is suppressed; of equal
-intervals the earlier rule's stays. Array functions do all of this within the row, so there is no shuffle.
+A text becomes its lower-case words, joined by single blanks. Rules (`license_rules`) are regular expressions over that
+string, written by hand after notices, headers, titles, addresses and the phrases that refer to a license; each has a
+priority and a keyword, and is tried on a text only where the text holds its keyword; a text that holds none of the short
+anchors, one of which is in every keyword, is not tried at all. Neither drops a match. Detections are intervals of words.
+One that lies within another of higher priority, or of equal priority and greater length, is suppressed; of equal intervals
+the earlier rule's stays. Array functions do all of this within the row, so there is no shuffle.
 
 Base phrases are counted beside the rules and always stay. A null text counts as empty: no words, no labels, score 0.
-Repeated rows give repeated results; an empty table gives an empty result.
+Repeated rows give repeated results. Very long texts are scanned whole. Other columns, whatever their names, are neither
+read nor returned. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
+from .license_rules import ANCHORS
+from .license_rules import rules as signatures
 
 #: The base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Label, keyword, and pattern of the names by which texts call a license. Every match of a pattern holds its keyword.
-NAMES = [
-    ("mit", "mit", "mit"),
-    ("mit", "expat", "expat"),
-    ("apache", "apache", "apache(?: software)?(?: license)?"),
-    ("apache", "asl", "asl"),
-    ("gpl", "general public", "(?:gnu )?general public license"),
-    ("gpl", "gpl", "(?:gnu )?gpl(?: ?v?[123](?: 0)?)?"),
-    ("lgpl", "lesser general", "(?:gnu )?lesser general public license"),
-    ("lgpl", "library general", "(?:gnu )?library general public license"),
-    ("lgpl", "lgpl", "(?:gnu )?lgpl(?: ?v?[23](?: [01])?)?"),
-    ("agpl", "affero", "(?:gnu )?affero general public license"),
-    ("agpl", "agpl", "(?:gnu )?agpl(?: ?v?3(?: 0)?)?"),
-    ("fdl", "free documentation", "(?:gnu )?free documentation license"),
-    ("bsd", "bsd", "(?:(?:2|3|4|two|three|four) clause |new |modified |simplified |original |revised )?bsd(?: [234] clause)?"),
-    ("bsd", "berkeley software", "berkeley software distribution"),
-    ("mpl", "mozilla", "mozilla public license"),
-    ("mpl", "mpl", "mpl(?: [12] [01])?"),
-    ("epl", "eclipse", "eclipse (?:public|distribution) license"),
-    ("epl", "epl", "epl(?: [12] 0)?"),
-    ("cddl", "common development", "common development and distribution license"),
-    ("cddl", "cddl", "cddl(?: 1 [01])?"),
-    ("cpl", "common public", "common public license"),
-    ("cc by", "cc by", "cc by(?: [1234] [05])?"),
-    ("cc by sa", "cc by sa", "cc by sa(?: [1234] [05])?"),
-    ("cc by nd", "cc by nd", "cc by nd(?: [1234] [05])?"),
-    ("cc by nc", "cc by nc", "cc by nc(?: [1234] [05])?"),
-    ("cc by nc sa", "cc by nc sa", "cc by nc sa(?: [1234] [05])?"),
-    ("cc by nc nd", "cc by nc nd", "cc by nc nd(?: [1234] [05])?"),
-    ("cc by", "creative commons", "creative commons attribution(?: [1234] [05])?(?: international| unported)?"),
-    ("cc by sa", "creative commons", "creative commons attribution share ?alike(?: [1234] [05])?(?: international| unported)?"),
-    ("cc by nd", "creative commons", "creative commons attribution no ?deriv(?:s|atives|ative works)?(?: [1234] [05])?(?: international| unported)?"),
-    ("cc by nc", "creative commons", "creative commons attribution non ?commercial(?: [1234] [05])?(?: international| unported)?"),
-    ("cc by nc sa", "creative commons", "creative commons attribution non ?commercial share ?alike(?: [1234] [05])?(?: international| unported)?"),
-    ("cc0", "cc0", "cc0(?: 1 0)?(?: universal)?"),
-    ("cc0", "creative commons", "creative commons zero"),
-    ("public domain", "public domain", "public domain(?: dedication)?"),
-    ("unlicense", "unlicense", "unlicense"),
-    ("isc", "isc", "isc"),
-    ("zlib", "zlib", "zlib(?: libpng)?"),
-    ("boost", "boost", "boost software license"),
-    ("artistic", "artistic", "(?:perl )?artistic(?: license)?(?: [12] 0)?"),
-    ("python", "python", "python software foundation(?: license)?"),
-    ("python", "psf", "psf"),
-    ("postgresql", "postgresql", "postgresql"),
-    ("ruby", "ruby", "ruby"),
-    ("php", "php", "php"),
-    ("openssl", "openssl", "openssl"),
-    ("eupl", "european union public", "european union public licen[cs]e"),
-    ("eupl", "eupl", "eupl(?: 1 [012])?"),
-    ("cecill", "cecill", "cecill(?: [bc])?"),
-    ("wtfpl", "wtfpl", "wtfpl"),
-    ("ms pl", "microsoft public", "microsoft public license"),
-    ("ms rl", "microsoft reciprocal", "microsoft reciprocal license"),
-    ("ofl", "open font", "(?:sil )?open font license"),
-    ("odbl", "open database", "open database license"),
-    ("odc by", "open data commons", "open data commons attribution"),
-    ("lppl", "latex project", "latex project public license"),
-    ("x11", "x11", "x11"),
-    ("ncsa", "ncsa", "(?:university of illinois )?ncsa(?: open source)?"),
-    ("w3c", "w3c", "w3c(?: software notice)?"),
-    ("afl", "academic free", "academic free license"),
-    ("osl", "open software", "open software license"),
-    ("qpl", "public license", "q public license"),
-    ("sleepycat", "sleepycat", "sleepycat"),
-    ("vim", "vim", "vim"),
-    ("beerware", "beer", "beer ?ware"),
-    ("bsl", "business source", "business source license"),
-    ("sspl", "server side public", "server side public license"),
-    ("elastic", "elastic", "elastic"),
-    ("intel", "intel", "intel simplified software"),
-    ("upl", "universal permissive", "universal permissive license"),
-    ("blueoak", "blue oak", "blue oak model"),
-]
-
-_TAIL = "(?: licen[cs]e)?(?:,? (?:version|v) ?[0-9]+(?: [0-9]+)*)?(?: only| or later| or any later version)?"
-#: Priority (smaller is stronger), confidence, and the pattern around a name.
-PHRASINGS = [
-    (0, 1.0, "spdx license identifier {name}"),
-    (1, 1.0, "(?:dual |re)?licensed (?:to you )?(?:under|as|with) (?:the )?(?:terms of )?(?:the )?{name}{tail}"),
-    (1, 0.95, "under (?:the )?terms (?:and conditions )?of (?:the )?{name}{tail}"),
-    (1, 0.95, "(?:released|distributed|published|available|made available|provided|shared) (?:freely )?(?:under|as) (?:an? |the )?{name}{tail}"),
-    (2, 0.9, "subject to (?:the )?(?:terms of )?(?:the )?{name}{tail}"),
-    (2, 0.8, "{name} licen[cs]e(?: (?:version|v) ?[0-9]+(?: [0-9]+)*)?"),
-    (2, 0.8, "licen[cs]e (?:is |type |name )?{name}"),
-]
-#: Rules of their own: label, priority, confidence, keyword, pattern.
-NOTICES = [
-    ("mit", 0, 1.0, "permission is hereby", "permission is hereby granted free of charge to any person obtaining a copy(?: of this software)?"),
-    ("bsd", 0, 1.0, "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("isc", 0, 1.0, "permission to use", "permission to use copy modify and or distribute this software for any purpose"),
-    ("zlib", 0, 1.0, "altered source", "altered source versions must be plainly marked"),
-    ("gpl", 0, 1.0, "free software you can", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", 0, 1.0, "free software you can", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
-    ("unlicense", 0, 1.0, "free and unencumbered", "this is free and unencumbered software released into the public domain"),
-    ("wtfpl", 0, 1.0, "do what the", "do what the f(?:uck|[a-z]*) you want to public license"),
-    ("proprietary", 3, 0.5, "rights reserved", "all rights reserved"),
-    ("proprietary", 2, 0.8, "confidential", "(?:proprietary and confidential|confidential and proprietary)"),
-    ("no warranty", 3, 0.4, "without warranty", "without warranty of any kind"),
-]
-#: What a text holds if any rule can match it.
-GATE = "licen|spdx|under| terms |subject to|permission|redistribution|altered source|unencumbered|public license|rights reserved|confidential|without warranty|free software|(?:released|distributed|published|available|provided|shared) (?:freely )?as "
+#: What a text holds if any rule can match it: an anchor stands in every keyword, a keyword in every match.
+GATE = "|".join(map(re.escape, ANCHORS))
 
 
 def rules() -> list[tuple[int, str, int, float, str, str]]:
     """(number, label, priority, confidence, keyword, pattern), strongest first."""
-    made = [(label, p, c, word, body.format(name=f"(?:{name})", tail=_TAIL)) for p, c, body in PHRASINGS for label, word, name in NAMES]
-    made += NOTICES
-    made.sort(key=lambda r: r[1])
-    return [(k, *r) for k, r in enumerate(made)]
+    return [(k, *r) for k, r in enumerate(sorted(signatures(), key=lambda r: r[1]))]
 
 
 def _spaces(c: str) -> str:
@@ -153,14 +56,20 @@ def scan(docs: DataFrame) -> DataFrame:
     total = found[0]
     for f in found[1:]:
         total = total + f
-    table = F.array(*(F.struct(F.lit(k).alias("rule"), F.lit(label).alias("label"), F.lit(p).alias("priority"), F.lit(c).alias("confidence"), F.lit(word).alias("keyword"), F.lit(f" (?:{body})(?= )").alias("pattern")) for k, label, p, c, word, body in rules()))
+    by: dict[str, list[Column]] = {}
+    for k, label, p, c, word, body in rules():
+        by.setdefault(word, []).append(F.struct(F.lit(k).alias("rule"), F.lit(label).alias("label"), F.lit(p).alias("priority"), F.lit(c).alias("confidence"), F.lit(f" (?:{body})(?= )").alias("pattern")))
+    table = F.array(*(F.struct(F.lit(word).alias("keyword"), F.array(*r).alias("rules")) for word, r in by.items()))
+    gate = F.contains("_t", F.lit(ANCHORS[0]))
+    for x in ANCHORS[1:]:
+        gate = gate | F.contains("_t", F.lit(x))
     d = d.select(
         "doc_id", "_t", "n_words",
         total.cast("long").alias("n_base"),
         F.least(*first).cast("long").alias("first_word"),
         F.greatest(*last).cast("long").alias("last_word"),
         names.alias("_base"),
-        F.when(F.col("_t").rlike(GATE), F.filter(table, lambda r: F.contains(F.col("_t"), r["keyword"]))).alias("_rules"),
+        F.when(gate, F.flatten(F.transform(F.filter(table, lambda r: F.contains(F.col("_t"), r["keyword"])), lambda r: r["rules"]))).alias("_rules"),
     )
     # For each rule the pieces between its matches and the matches; then the words before each match.
     d = d.withColumn("_m", F.expr("filter(transform(_rules, r -> struct(r.rule, r.label, r.priority, r.confidence, split(_t, r.pattern, -1) as pieces, regexp_extract_all(_t, r.pattern, 0) as found)), m -> size(m.found) > 0)"))
