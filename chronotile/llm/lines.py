@@ -2,12 +2,13 @@
 
 Every line is hashed (64 bits, its white space trimmed); sketches of the sites of each hash merge by aggregation. Lines
 whose estimate lies within the sketch's error of the threshold get an exact distinct count. Lines on `min_sites` sites
-or more go from all documents, except from those of which more than `max_share` of the characters would go: these are
-copies of whole documents, which are not this operator's to remove.
+or more go from all documents that hold something else; a document in which every line with a word is such a line is a
+copy as a whole, which is not this operator's to remove, and stays as it is.
 
-Null text stays null; null sites count as one site; blank lines are never counted nor removed. Repeated rows are
-cleaned alike. An empty table gives an empty result. Extra columns pass through `clean_lines` untouched,
-but for those named as its own two, which these replace.
+Null text stays null; null sites count as one site; blank lines are never counted nor removed. A line on exactly
+`min_sites` sites goes. Repeated rows are cleaned alike. Texts of any length are cleaned whole. An empty table gives an
+empty result. Extra columns pass through `clean_lines` untouched; of those named as its own two, `columns` says which
+names it gives them instead.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, written
+from .common import looked_up, sized, written
 
 TRIM = " \t\r\x0b\f"
 
@@ -44,26 +45,29 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = 10, lg_k
     spread = spread.where("_a < _b").select("_h", F.hll_sketch_estimate("_k").alias("_n"))
     spread = written(spread.where(F.col("_n") >= low), "lines-spread")
     near = spread.where(F.col("_n") < high).select(F.col("_h").alias("_g"))
-    exact = lines.join(sized(near), F.col("_h") == F.col("_g")).groupBy("_h", "_s").agg(F.lit(1).alias("_1")).groupBy("_h").agg(F.count("*").alias("_n"))
+    exact = looked_up(lines, near, "_h", "_g").groupBy("_h", "_s").agg(F.lit(1).alias("_1")).groupBy("_h").agg(F.count("*").alias("_n"))
     found = spread.where(F.col("_n") >= high).unionByName(exact.where(F.col("_n") >= min_sites))
     return written(found.select(F.col("_h").alias("line_hash"), F.col("_n").cast("long").alias("n_sites")), "lines-boilerplate")
 
 
-def clean_lines(docs: DataFrame, site: str = "source", min_sites: int = 10, max_share: float = 0.5, lg_k: int = 10) -> DataFrame:
-    """The documents, their columns, with text cleaned, and the long columns lines_found and lines_removed."""
+def clean_lines(docs: DataFrame, site: str = "source", min_sites: int = 10, lg_k: int = 10, columns: tuple[str, str] | None = ("lines_found", "lines_removed")) -> DataFrame:
+    """The documents, their columns, with text cleaned, and two long columns; with `columns` None the documents' own alone."""
     found = boilerplate(docs, site, min_sites, lg_k).select(F.col("line_hash").alias("_b"))
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
     lines = docs.select(key.alias("_r"), F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _hash))).alias("_h"))
-    hits = lines.join(sized(found), F.col("_h") == F.col("_b")).groupBy("_r").agg(F.collect_set("_h").alias("_drop"))
+    hits = looked_up(lines, found, "_h", "_b").groupBy("_r").agg(F.collect_set("_h").alias("_drop"))
     hits = written(hits, "lines-hits")
     hashes = hits.agg(F.sum(F.size("_drop"))).first()[0] or 0
     d = docs.select(F.struct("*").alias("__d"), key.alias("__key"), F.col("text").alias("__t"))
     d = d.join(sized(hits, hashes), F.col("__key") == F.col("_r"), "left").withColumn("__all", _lines(F.col("__t")))
     d = d.withColumn("__left", F.expr("if(_drop is null, __all, filter(__all, x -> not array_contains(_drop, xxhash64(btrim(x, ' \t\r\x0b\f')))))"))
-    d = d.withColumn("__text", F.array_join("__left", "\n"))
-    d = d.withColumn("__go", F.col("_drop").isNotNull() & (F.length("__t") - F.length("__text") <= F.lit(max_share) * F.length("__t")))
+    d = d.withColumn("__go", F.col("_drop").isNotNull() & F.exists("__left", lambda x: F.btrim(x, F.lit(TRIM)) != ""))
+    own = columns or ()
+    counts = (
+        F.greatest(F.coalesce(F.size("__all"), F.lit(0)), F.lit(0)).cast("long"),
+        F.when(F.col("__go"), F.size("__all") - F.size("__left")).otherwise(0).cast("long"),
+    )
     return d.select(
-        *(F.when(F.col("__go"), F.col("__text")).otherwise(F.col("__t")).alias("text") if c == "text" else F.col(f"__d.`{c}`") for c in docs.columns if c not in ("lines_found", "lines_removed")),
-        F.greatest(F.coalesce(F.size("__all"), F.lit(0)), F.lit(0)).cast("long").alias("lines_found"),
-        F.when(F.col("__go"), F.size("__all") - F.size("__left")).otherwise(0).cast("long").alias("lines_removed"),
+        *(F.when(F.col("__go"), F.array_join("__left", "\n")).otherwise(F.col("__t")).alias("text") if c == "text" else F.col(f"__d.`{c}`") for c in docs.columns if c not in own),
+        *(c.alias(name) for c, name in zip(counts, own, strict=False)),
     )

@@ -95,8 +95,8 @@ c as (
     list_filter(string_split(text, chr(10)), lambda x: not coalesce(list_contains(ks, trim(x, e' \t\r\x0b\f')), false)) as f
   from documents, b)
 select doc_id, coalesce(len(a), 0) as lines_found,
-  case when length(text) - length(array_to_string(f, chr(10))) <= 0.5 * length(text) then len(a) - len(f) else 0 end as lines_removed,
-  case when length(text) - length(array_to_string(f, chr(10))) <= 0.5 * length(text) then array_to_string(f, chr(10)) else text end as text
+  case when len(list_filter(f, lambda x: trim(x, e' \t\r\x0b\f') <> '')) > 0 then len(a) - len(f) else 0 end as lines_removed,
+  case when len(list_filter(f, lambda x: trim(x, e' \t\r\x0b\f') <> '')) > 0 then array_to_string(f, chr(10)) else text end as text
 from c""",
     "op10_ngram_jaccard": r"""
 with recursive w as (
