@@ -129,7 +129,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, max_docs: int =
     """A row for each piece: doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset."""
     caps, w = np.array([capacity, max_docs, max_attention or float(capacity) ** 2], float), np.array(weights, float)
     longest = min(capacity, math.isqrt(int(caps[2])))
-    cut = written(pieces(docs, tokenizer, longest, with_ids), "packing-pieces").withColumn("_row", F.monotonically_increasing_id())
+    cut = written(pieces(docs, tokenizer, longest, with_ids).withColumn("_row", F.monotonically_increasing_id()), "packing-pieces")  # written: no later read changes the numbers
     small = F.col("length") < capacity
     groups = -(-max(cut.where(small).count(), 1) // group_rows)
     plan = cut.where(small).select("_row", "length", F.pmod(F.xxhash64("_row"), F.lit(groups)).alias("_group"))

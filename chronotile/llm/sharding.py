@@ -26,7 +26,7 @@ def metadata(docs: DataFrame) -> DataFrame:
     """doc_id, size, text_crc32, and the dimensions as whole numbers below 2^36."""
     d = docs.select(F.col("doc_id"), "lang", "source", text_or_empty().alias("_t"))
     d = d.select("doc_id", "lang", "source", (F.octet_length("_t") + 8).cast("long").alias("size"), F.crc32(F.encode("_t", "UTF-8")).alias("text_crc32"))
-    d = written(d, "shard-rows").withColumn("_row", F.monotonically_increasing_id())
+    d = written(d.withColumn("_row", F.monotonically_increasing_id()), "shard-rows")  # written: no later read changes the numbers
     value = {
         "size": F.least(F.floor(F.log2("size") * F.lit(2048)), F.lit((1 << VALUE_BITS) - 1)),
         "lang": F.pmod(F.xxhash64("lang"), F.lit(1 << VALUE_BITS)),

@@ -90,7 +90,6 @@ def test_2_greedy_tiling_against_the_definition():
     g = np.random.default_rng(0)
     for _ in range(60):
         doc, item = g.integers(1, 4, 30).astype(np.uint64), g.integers(1, 4, 14).astype(np.uint64)
-        pairs = [(p, q) for p in range(28) for q in range(12) if (doc[p : p + 3] == item[q : q + 3]).all()]
         md, mi, want = set(), set(), 0
         while True:
             best = (2, 0, 0)
@@ -105,7 +104,7 @@ def test_2_greedy_tiling_against_the_definition():
             md |= set(range(p, p + n))
             mi |= set(range(q, q + n))
             want += n
-        assert sum(t[2] for t in tiling.greedy_tiles(doc, item, pairs, 3)) == want
+        assert sum(t[2] for t in tiling.greedy_tiles(doc, item, 3)) == want
 
 
 def test_3_partial_matching(docs, texts):
@@ -290,3 +289,104 @@ def test_10_components_of_a_chain(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(1000, 1001)], "a long, b long")
     got = {r.id: r.root for r in setjoin.components(e).collect()}
     assert got == {**dict.fromkeys(range(301), 0), 1000: 1000, 1001: 1000}
+
+
+def plain_mixture(m, text, penalty, rounds):
+    """Every set of languages, fitted by expectation-maximisation one trigram at a time."""
+    b = f" {text.lower()} ".encode()
+    codes = [((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 2654435761 % 2**32) >> (32 - language.BUCKET_BITS) for i in range(len(b) - 2)]
+    n, langs = collections.Counter(codes), range(len(m.languages))
+
+    def fit(share):
+        for _ in range(rounds):
+            new = [0.0] * len(langs)
+            for c, w in n.items():
+                total = sum(share[x] * float(m.p[c][x]) for x in langs)
+                for x in langs:
+                    new[x] += w * share[x] * float(m.p[c][x]) / total
+            share = [x / len(codes) for x in new]
+        return share
+
+    def likelihood(share):
+        return sum(w * math.log(sum(share[x] * float(m.p[c][x]) for x in langs)) for c, w in n.items())
+
+    full = fit([1 / len(langs)] * len(langs))
+    found = []
+    for k in range(1, len(langs) + 1):
+        for chosen in itertools.combinations(langs, k):
+            start = [(full[x] + 1e-3) * (x in chosen) for x in langs]
+            share = fit([x / sum(start) for x in start]) if k > 1 else [float(x in chosen) for x in langs]
+            found.append((likelihood(share) * language.TEMPER - penalty * (k - 1) * math.log(len(codes) + 1), share))
+    return max(found)[1]
+
+
+def test_9_against_plain_mixtures(docs, texts):
+    m = language.train(docs)
+    ids = sorted(i for i, t in texts.items() if t and len(t) < 2500)[:60]
+    parts = [texts[i][:400] for i in ids]
+    some = [texts[i] for i in ids] + [parts[k] + " " + parts[k + 7] for k in range(40)] + [parts[k] + parts[k + 5] + parts[k + 11] for k in range(0, 40, 4)]
+    lang, _, share = m.predict(some, 3.0, 8, 4)
+    several = 0
+    for k, t in enumerate(some):
+        want = plain_mixture(m, t, 3.0, 8)
+        assert np.allclose(share[k], want, atol=2e-3) and lang[k] == int(np.argmax(want))
+        several += max(want) < 1
+    assert several > 5
+
+
+def test_9_without_letters(spark, docs):
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(frame(spark, [(10**6 + k, t) for k, t in enumerate(("½ ②", "Ⅷ", "123 _ 4", "٣", "é", "語"))]))
+    out = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(rows, queries.id_remainder(4) == 2).where("doc_id >= 1000000").collect()}
+    assert all(out[10**6 + k] == ("und", 0.0) for k in range(4)) and all(out[10**6 + k][0] != "und" for k in (4, 5))
+
+
+def plain_tiles(doc, item, n):
+    """The longest unmarked match is marked, the first of equal ones, until none of n words is left."""
+    md, mi, tiles = set(), set(), []
+    while True:
+        best = (n - 1, 0, 0)
+        for p in range(len(doc)):
+            for q in range(len(item)):
+                if doc[p] != item[q] or p in md or q in mi:
+                    continue
+                k = 0
+                while p + k < len(doc) and q + k < len(item) and doc[p + k] == item[q + k] and p + k not in md and q + k not in mi:
+                    k += 1
+                best = max(best, (k, -p, -q))
+        if best[0] < n:
+            return sorted(tiles)
+        k, p, q = best[0], -best[1], -best[2]
+        tiles.append((p, q, k))
+        md |= set(range(p, p + k))
+        mi |= set(range(q, q + k))
+
+
+def test_2_contaminations_against_the_definition(spark, docs, texts, small):
+    split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    items = {r.item_id: split(r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
+    g, want = np.random.default_rng(6), {}
+    own = list(items.values())[:6]
+    rows = [(10_000 + k, " ".join([*prose(6, k).split(), *a[len(a) // 2 :], *b[: int(g.integers(4, 30))], "zz", *a[: len(a) // 2], *a[:9]])) for k, (a, b) in enumerate(itertools.permutations(own, 2))]
+    rows += [(i, t) for i, t in texts.items() if t and len(t) < 4000]
+    for i, t in rows:
+        d = split(t)
+        grams = {tuple(d[k : k + 5]) for k in range(len(d) - 4)}
+        for j, item in items.items():
+            if any(tuple(item[k : k + 5]) in grams for k in range(len(item) - 4)):
+                tiles = plain_tiles(d, item, 5)
+                if 2 * sum(x[2] for x in tiles) >= len(item):
+                    want[i, j] = tiles
+    got = {(r.doc_id, r.item_id): [tuple(x) for x in r.tiles] for r in tiling.contaminations(frame(spark, rows), spark.read.parquet(f"{small}/benchmark.parquet")).collect()}
+    assert got == want and len(want) > 30
+
+
+def test_2_one_word_over_and_over():
+    """Positions multiply, work doesn't."""
+    import time
+
+    began = time.time()
+    index = tiling.Index([(1, "a " * 2000), (2, "a a b " * 500), (3, "a")], 5)
+    out = {i: (c, t) for i, _, c, t in index.matches("a " * 300_000, 0.5)}
+    assert set(out) == {1} and out[1] == (2000, [(0, 0, 2000)])
+    assert index.matches("a a " * 1000 + "b", 0.5)[0][2] == 2000 and [x[0] for x in index.matches("A.", 0.5)] == [3]
+    assert time.time() - began < 20
