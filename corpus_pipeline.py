@@ -28,7 +28,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go from the texts; n_chars is counted anew."""
     from pyspark.sql import functions as F
 
-    out = clean_lines(docs).drop("lines_found", "lines_removed")
+    out = clean_lines(docs, columns=None)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
