@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, sized, tidy, written
+from .common import discard, partitions, sized, tidy, written
 
 SYMBOLS = 257  # 0: a boundary; else a byte plus 1
 SHORT = 3  # symbols of the strings whose counts all parts share
@@ -110,15 +110,15 @@ def part_of(g: np.ndarray, parts: int) -> np.ndarray:
     return (((context * _SPREAD) >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
 
 
-def _packed(*columns: np.ndarray) -> bytes:
-    return pa.compress(b"".join(c.tobytes() for c in columns), codec="zstd", asbytes=True)
+def _packed(g: np.ndarray, numbers: np.ndarray) -> bytes:
+    """Strings in order, as the steps between them, and the numbers beside them."""
+    return pa.compress(np.diff(g, prepend=0).tobytes() + numbers.tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpacked(payload: bytes, rows: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
     """Strings, and the numbers of the given kind beside them."""
-    width = np.dtype(kind).itemsize
-    b = pa.decompress(payload, rows * (8 + width), codec="zstd", asbytes=True)
-    return np.frombuffer(b, np.int64, rows), np.frombuffer(b, kind, rows, rows * 8)
+    b = pa.decompress(payload, rows * (8 + np.dtype(kind).itemsize), codec="zstd", asbytes=True)
+    return np.cumsum(np.frombuffer(b, np.int64, rows)), np.frombuffer(b, kind, rows, rows * 8)
 
 
 def _packed_texts(ids: list, held: list, texts: list[bytes]) -> bytes:
@@ -418,6 +418,7 @@ def score(docs: DataFrame, held_out: Column, order: int = 5, common: float = 1e-
     both = probs.select("block", F.lit(0).alias("late"), F.lit(0).alias("part"), "rows", "payload").unionByName(texts)
     scored = both.repartition(tasks, "block").sortWithinPartitions("block", "late").mapInArrow(_score_blocks(spark.sparkContext.broadcast(frequent), order), _SCORED_DDL)
     scored = written(scored, "scoring-rows")
+    discard(parts, counts, model)
 
     seldom = words.where(F.col("n") < F.lit(max(1.0, total * common)))
     tokens = scored.select("row", F.explode("rare").alias("w"))
