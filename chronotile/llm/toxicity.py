@@ -1,12 +1,16 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text is a bag of hashed lower-cased terms. Beside a bias and a weight for each term the machine learns a short vector
-for each, whose inner products weigh pairs of terms that meet in a text: an insult with the mention of a group counts
-for more than both alone. It is fitted by AdaGrad on a bounded sample of labelled rows: the `sample_rows` rows of
-the least hash of their doc_id. Terms in fewer than `min_docs` of them, and terms that meet the label less than `min_association` standard deviations
-more or less often than chance has it, have no weight. Every whole text is scored.
-
-Null and empty texts have the score of the bias alone, or 0 where nothing could be learnt. Repeated rows are scored alike.
+A text is a bag of hashed lower-cased terms, scaled to one length. Beside a bias and a weight for each term the machine
+learns a short vector for each, whose inner products weigh pairs of terms that meet in a text: an insult with the mention
+of a group counts for more, or for less, than both alone. It is fitted by proximal AdaGrad on a bounded sample of labelled
+rows: the `sample_rows` rows of the least hash of their doc_id. Terms of fewer than `min_docs` of them have no weight. No
+term is screened by its own association with the label, as a term may count in pairs alone; instead weights and vectors
+shrink at each step (`shrink_weight`, `shrink_vector`), and those that the labels don't keep up become zero.
+
+Every whole text is scored. Null and empty texts have the score of the bias alone, or 0 where nothing could be learnt (no
+labelled row, an empty table). Repeated rows are scored alike; of rows that share a doc_id the least text is learnt from, and
+of equal hashes the lesser label comes first. Very long texts are read whole. Columns other than doc_id and text, whatever
+their names, are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ TERM = re.compile(r"[^\W\d_]+")
 HASH_BITS = 20
 
 
+#: Of the vector of a document's values.
+LENGTH = 4.0
 #: Beside a term itself its beginnings of these lengths are terms, so that inflected forms share weights.
 BEGINNINGS = (4, 5)
 
@@ -69,7 +75,7 @@ class Machine:
     def __init__(self, columns: np.ndarray, rank: int, seed: int):
         self.columns = columns  # of hash: the row of w and v, -1 without weight
         n, g = int(columns.max(initial=-1)) + 1, np.random.default_rng(seed)
-        self.b, self.w, self.v = 0.0, np.zeros(n, np.float32), g.normal(0, 0.02, (n, rank)).astype(np.float32)
+        self.b, self.w, self.v = 0.0, np.zeros(n, np.float32), g.normal(0, 0.1, (n, rank)).astype(np.float32)
 
     def bag(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         c = self.columns[hashes]
@@ -87,35 +93,56 @@ class Machine:
             m[some] += np.add.reduceat(self.w[at] * x, starts[some]) + 0.5 * ((s[some] ** 2).sum(1) - np.add.reduceat((vx**2).sum(1), starts[some]))
         return m, s
 
-    def fit(self, bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int, rate: float, decay: float, seed: int) -> None:
+    def step(self, at: np.ndarray, x: np.ndarray, starts: np.ndarray, lengths: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """Gradients of the mean logistic loss: of the bias, the rows that occur, of their weights and vectors."""
+        m, s = self.margins(at, x, starts, lengths)
+        e = ((1 / (1 + np.exp(-np.clip(m, -30, 30))) - y) / len(y)).astype(np.float32)
+        ex = np.repeat(e, lengths) * x
+        own, back = np.unique(at, return_inverse=True)
+        each = ex[:, None] * (np.repeat(s, lengths, 0) - self.v[at] * x[:, None])
+        by = np.argsort(back, kind="stable")
+        dv = np.add.reduceat(each[by], np.searchsorted(back[by], np.arange(len(own)))) if len(own) else each
+        return float(e.sum()), own, np.bincount(back, ex, len(own)).astype(np.float32), dv
+
+    def fit(self, bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int, rate: float, shrink: tuple[float, float], seed: int) -> None:
         g = np.random.default_rng(seed)
-        gb, gw, gv = 1e-6, np.full_like(self.w, 1e-6), np.full_like(self.v, 1e-6)
+        gb, gw, gv = 1e-6, np.full_like(self.w, 1e-6), np.full(len(self.w), 1e-6, np.float32)
         self.b = float(np.log((y.mean() + 1e-4) / (1 - y.mean() + 1e-4)))
-        for _ in range(epochs):
+        sizes = [np.sqrt((x**2).sum()) for _, x in bags]  # by all terms, also those that go
+        for epoch in range(epochs):
+            if epoch in (3, 6, 12):  # terms that have become zero are left behind
+                live = (self.w != 0) | (self.v != 0).any(1)
+                bags = [(a[keep], x[keep]) for a, x in bags for keep in (live[a],)]
+                self.v[~live] = 0
             order = g.permutation(len(bags))
             for k in range(0, len(order), 128):
                 rows = order[k : k + 128]
-                lengths = np.array([len(bags[i][0]) for i in rows])
-                at, x = np.concatenate([bags[i][0] for i in rows]), np.concatenate([bags[i][1] for i in rows])
-                starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                m, s = self.margins(at, x, np.minimum(starts, max(len(at) - 1, 0)), lengths)
-                e = (1 / (1 + np.exp(-np.clip(m, -30, 30))) - y[rows]).astype(np.float32) / len(rows)
-                gb += e.sum() ** 2
-                self.b -= rate * e.sum() / gb**0.5
-                ex = np.repeat(e, lengths) * x
-                own, back = np.unique(at, return_inverse=True)
-                dw = np.bincount(back, ex, len(own)).astype(np.float32) + decay * self.w[own]
-                each = ex[:, None] * (np.repeat(s, lengths, 0) - self.v[at] * x[:, None])
-                by = np.argsort(back, kind="stable")
-                dv = np.add.reduceat(each[by], np.searchsorted(back[by], np.arange(len(own)))) + decay * self.v[own] if len(own) else each
+                at, x, starts, lengths = joined([bags[i] for i in rows], np.array([sizes[i] for i in rows], np.float32))
+                db, own, dw, dv = self.step(at, x, starts, lengths, y[rows])
+                gb += db**2
+                self.b -= rate * db / gb**0.5
                 gw[own] += dw**2
-                gv[own] += dv**2
-                self.w[own] -= rate * dw / np.sqrt(gw[own])
-                self.v[own] -= 0.3 * rate * dv / np.sqrt(gv[own])
+                gv[own] += (dv**2).mean(1)
+                pace, slow = rate / np.sqrt(gw[own]), 0.3 * rate / np.sqrt(gv[own])
+                w = self.w[own] - pace * dw
+                self.w[own] = np.sign(w) * np.maximum(np.abs(w) - shrink[0] * pace, 0)
+                v = self.v[own] - slow[:, None] * dv
+                size = np.sqrt((v**2).sum(1))
+                self.v[own] = v * np.maximum(1 - shrink[1] * slow / np.maximum(size, 1e-9), 0)[:, None]
+
+
+def joined(bags: list[tuple[np.ndarray, np.ndarray]], sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Documents' terms one after another, their values, each document's scaled to LENGTH, first places, numbers of terms."""
+    lengths = np.array([len(a) for a, _ in bags], np.int64)
+    at, x = np.concatenate([a for a, _ in bags]), np.concatenate([x for _, x in bags])
+    starts = np.minimum(np.concatenate([[0], np.cumsum(lengths)[:-1]]), max(len(at) - 1, 0))
+    if sizes is None:
+        sizes = np.array([np.sqrt((x**2).sum()) for _, x in bags], np.float32)
+    return at, (x * np.repeat(LENGTH / np.maximum(sizes, 1e-6), lengths)).astype(np.float32), starts, lengths
 
 
 _BAGS = pa.schema([("id", pa.int64()), ("toxic", pa.int32()), ("at", pa.binary()), ("n", pa.binary())])
-_TERMS = pa.schema([("term", pa.int32()), ("held", pa.int64()), ("toxic", pa.int64())])
+_TERMS = pa.schema([("term", pa.int32()), ("held", pa.int64())])
 
 
 @tidy(_memo)
@@ -128,28 +155,23 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @tidy()
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each term the texts that hold it, and the toxic ones of them."""
-    held, toxic = np.zeros(1 << HASH_BITS, np.int64), np.zeros(1 << HASH_BITS, np.int64)
+    """For each term the texts that hold it."""
+    held = np.zeros(1 << HASH_BITS, np.int64)
     for batch in batches:
-        for t, at in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-            own = np.frombuffer(at.as_py(), np.int32)
-            held[own] += 1
-            toxic[own] += t
+        for at in batch.column(2):
+            held[np.frombuffer(at.as_py(), np.int32)] += 1
     at = np.flatnonzero(held)
     if len(at):
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at]), pa.array(toxic[at])], schema=_TERMS)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at])], schema=_TERMS)
 
 
-def train(chosen: DataFrame, min_docs: int, min_association: float, rank: int, epochs: int, rate: float, decay: float, seed: int) -> Machine | None:
-    """chosen(id, toxic, text): the bounded sample to learn from. The driver gets the terms that count, and no others."""
+def train(chosen: DataFrame, min_docs: int, rank: int, epochs: int, rate: float, shrink: tuple[float, float], seed: int) -> Machine | None:
+    """chosen(id, toxic, text): the bounded sample to learn from. The driver gets its rows' terms of `min_docs` rows and more."""
     bags = written(chosen.select("id", "toxic", "text").mapInArrow(_bags, "id long, toxic int, at binary, n binary"), "toxicity-bags")
-    rows, marked = bags.agg(F.count("*"), F.sum("toxic")).first()
-    if not rows:
+    if bags.isEmpty():
         return None
-    share = marked / rows
-    found = bags.mapInArrow(_count_terms, "term int, held long, toxic long").groupBy("term").agg(F.sum("held").alias("held"), F.sum("toxic").alias("toxic"))
-    often = F.abs(F.col("toxic") - F.col("held") * share) >= min_association * F.sqrt(F.col("held") * (share * (1 - share)))
-    kept = sorted(r["term"] for r in found.where((F.col("held") >= min_docs) & often).select("term").collect())  # of 2^20 terms those that meet the label
+    found = bags.mapInArrow(_count_terms, "term int, held long").groupBy("term").agg(F.sum("held").alias("held"))
+    kept = sorted(r["term"] for r in found.where(F.col("held") >= min_docs).select("term").collect())  # of 2^20 terms
     columns = np.full(1 << HASH_BITS, -1, np.int32)
     columns[kept] = np.arange(len(kept))
     shared = chosen.sparkSession.sparkContext.broadcast(columns)
@@ -168,18 +190,18 @@ def train(chosen: DataFrame, min_docs: int, min_association: float, rank: int, e
     made.sort(key=lambda r: (r["id"], r["toxic"]))  # a model doesn't depend on the order of tasks
     m = Machine(columns, rank, seed)
     pairs = [(np.frombuffer(bytes(r["at"]), np.int32), _value(np.frombuffer(bytes(r["n"]), np.int32))) for r in made]
-    m.fit(pairs, np.array([r["toxic"] for r in made], np.float32), epochs, rate, decay, seed)
+    m.fit(pairs, np.array([r["toxic"] for r in made], np.float32), epochs, rate, shrink, seed)
     return m
 
 
-def score(docs: DataFrame, labels: DataFrame, held_out: Column, sample_rows: int = 20_000, min_docs: int = 8, min_association: float = 5.0, rank: int = 8, epochs: int = 8, rate: float = 0.1, decay: float = 2e-5, seed: int = 7) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, held_out: Column, sample_rows: int = 20_000, min_docs: int = 8, rank: int = 8, epochs: int = 20, rate: float = 0.2, shrink_weight: float = 1e-3, shrink_vector: float = 5e-4, seed: int = 7) -> DataFrame:
     """doc_id, held_out, score, predicted; learnt from labelled rows that aren't held out."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"))
     marks = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).distinct()
     learn = d.where("not held_out").select("doc_id", "text")
     ids = written(marks.join(learn.select("doc_id").distinct(), F.col("_id") == F.col("doc_id"), "left_semi").orderBy(F.xxhash64("_id"), "toxic").limit(sample_rows), "toxicity-sample")
     texts = learn.join(sized(ids), F.col("doc_id") == F.col("_id")).groupBy("_id", "toxic").agg(F.min("text").alias("text"))  # of repeated ids one row
-    machine = train(texts.select(F.col("_id").cast("long").alias("id"), "toxic", "text"), min_docs, min_association, rank, epochs, rate, decay, seed)
+    machine = train(texts.select(F.col("_id").cast("long").alias("id"), "toxic", "text"), min_docs, rank, epochs, rate, (shrink_weight, shrink_vector), seed)
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # 2^20 numbers and the weights of at most as many terms
 
     @tidy(_memo)
@@ -190,13 +212,7 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, sample_rows: int
                 value = np.zeros(batch.num_rows)
             else:
                 bags = [m.bag(terms(t.as_py())) for t in batch.column(2)]
-                lengths = np.array([len(a) for a, _ in bags], np.int64)
-                margins = np.empty(len(bags), np.float32)
-                for k in range(0, len(bags), 256):
-                    n = lengths[k : k + 256]
-                    at, x = np.concatenate([a for a, _ in bags[k : k + 256]]), np.concatenate([x for _, x in bags[k : k + 256]])
-                    starts = np.minimum(np.concatenate([[0], np.cumsum(n)[:-1]]), max(len(at) - 1, 0))
-                    margins[k : k + 256] = m.margins(at, x, starts, n)[0]
+                margins = np.concatenate([m.margins(*joined(bags[k : k + 256]))[0] for k in range(0, len(bags), 256)])
                 value = 1 / (1 + np.exp(-np.clip(margins.astype(float), -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value, pa.float64()), pa.array((value >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 

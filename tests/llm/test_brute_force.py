@@ -205,11 +205,51 @@ def test_6_pairs_of_terms(spark):
         rows.append((k, prose(12, k) + " insult" * a + " people" * b))
         marks.append((k, 1, a & b))
     m = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
-    out = toxicity.score(frame(spark, rows), m, queries.id_remainder(5) == 0, min_association=2.0, epochs=20).toPandas().merge(m.toPandas(), on="doc_id")
+    out = toxicity.score(frame(spark, rows), m, queries.id_remainder(5) == 0).toPandas().merge(m.toPandas(), on="doc_id")
     held = out[out.held_out]
     assert (held.predicted == held.toxic).mean() > 0.97 and out.score.between(0, 1).all()
 
 
+def test_6_exclusive_or_with_the_registered_parameters(spark):
+    """Each term alone says nothing of the label."""
+    rows = [(k, prose(30, k) + " insult" * (k % 2) + " people" * (k // 2 % 2)) for k in range(2000)]
+    m = spark.createDataFrame([(k, 1, k % 2 ^ k // 2 % 2) for k in range(2000)], "doc_id long, quality int, toxic int")
+    out = toxicity.score(frame(spark, rows), m, queries.id_remainder(5) == 0).toPandas().merge(m.toPandas(), on="doc_id")
+    held = out[out.held_out]
+    assert (held.predicted == held.toxic).mean() > 0.97
+
+
+def test_6_margins_and_gradients_against_plain_ones():
+    g = np.random.default_rng(8)
+    m = toxicity.Machine(np.arange(30, dtype=np.int32), 3, 1)
+    m.b, m.w, m.v = 0.3, g.normal(0, 1, 30), g.normal(0, 1, (30, 3))
+    bags = [(np.sort(g.choice(30, n, replace=False)), g.random(n) + 0.5) for n in (4, 7, 0, 1, 9)]
+    y = np.array([1, 0, 1, 1, 0], float)
+    at, x, starts, lengths = toxicity.joined(bags)
+
+    def plain(b, w, v):
+        out = []
+        for a, own in bags:
+            size = math.sqrt(sum(t * t for t in own)) or 1
+            z = [t * toxicity.LENGTH / size for t in own]
+            out.append(b + sum(w[i] * t for i, t in zip(a, z, strict=True)) + sum(float(v[a[i]] @ v[a[j]]) * z[i] * z[j] for i in range(len(a)) for j in range(i)))
+        return np.array(out)
+
+    def loss(b, w, v):
+        return float(np.mean(np.log1p(np.exp(plain(b, w, v))) - y * plain(b, w, v)))
+
+    assert np.allclose(m.margins(at, x, starts, lengths)[0], plain(m.b, m.w, m.v), atol=1e-4)
+    db, own, dw, dv = m.step(at, x, starts, lengths, y)
+    h = 1e-5
+    assert abs(db - (loss(m.b + h, m.w, m.v) - loss(m.b - h, m.w, m.v)) / (2 * h)) < 1e-4
+    for k, i in enumerate(own[:8]):
+        w2, v2, v3 = m.w.copy(), m.v.copy(), m.v.copy()
+        w2[i] += h
+        v2[i, 1] += h
+        v3[i, 1] -= h
+        assert abs(dw[k] - (loss(m.b, w2, m.v) - loss(m.b, m.w, m.v)) / h) < 1e-3 and abs(dv[k, 1] - (loss(m.b, m.w, v2) - loss(m.b, m.w, v3)) / (2 * h)) < 1e-3
+
+
 def test_7_tree(spark):
     rows = [(k, "x" * (10 + k * 7919 % 500), ["en", "de"][k % 3 == 0], f"s{k % 5}") for k in range(4000)] + [(9000 + k, "copy", "en", "s0") for k in range(2000)]
     out = sharding.shard(frame(spark, rows), 24, bucket_rows=50).toPandas()
