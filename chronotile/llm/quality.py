@@ -3,9 +3,17 @@
 Everything is DataFrame operations. Statistics of a text come from array functions within its row; the estimates are
 grouped aggregations over the small table of statistics, so a group of any size is pre-aggregated by every task.
 
+The estimate of a group is the mean and covariance of the `share` of its rows whose covariance has the least determinant.
+Several starts (medians with quartile ranges, medians with the covariance of the rows' directions, and small subsets drawn
+by hash) go two concentration steps each, those of the two least determinants go on until the determinant settles, and the
+least is taken. A step takes mean and covariance of the rows that lie nearest by the estimate before.
+
 Null and empty texts have no words and fail the base rule. Null languages and sources are values of their own. Repeated
-rows are judged alike. Groups of fewer than `min_rows` rows are pooled within their language and then over all
-languages; if even that pool is small, nothing in it is rejected. An empty table gives an empty result.
+rows are judged alike. Distances are compared on a grid of 1/100 of their logarithm, and all rows as near as the last one
+of the share belong to it, so that ties don't depend on an order and the part taken can exceed the share. Groups of fewer
+than `min_rows` rows are pooled within their language and then over all languages; if even that pool is small, nothing in
+it is rejected. Very long texts are read whole. Other columns pass through `quality_filter` untouched, whatever their names,
+and are not read by `quality`. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -78,8 +86,13 @@ def _distance(xs: list[str]) -> Column:
     return total
 
 
+#: Group and number of the start.
+KEY = ("_k", "_s")
+
+
 def _whiten(est: DataFrame, xs: list[str], factor: float) -> DataFrame:
-    """From columns c_<i>_<j> (i >= j), covariances: the entries l_<i>_<j> of the inverse Cholesky factor.
+    """From columns c_<i>_<j> (i >= j), covariances: the entries l_<i>_<j> of the inverse Cholesky factor,
+    and the logarithm of the determinant.
 
     The factor corrects for the share of rows that the covariance was taken over; floors are added on the diagonal.
     """
@@ -97,12 +110,15 @@ def _whiten(est: DataFrame, xs: list[str], factor: float) -> DataFrame:
             for k in range(j, i):
                 s = s - F.col(f"g_{i}_{k}") * F.col(f"l_{k}_{j}")
             d = d.withColumn(f"l_{i}_{j}", s / F.col(f"g_{i}_{i}"))
-    return d.select("_k", *(f"m_{x}" for x in xs), *(f"l_{i}_{j}" for i in range(p) for j in range(i + 1)))
+    half = F.lit(0.0)
+    for i in range(p):
+        half = half + F.log(f"g_{i}_{i}")
+    return d.select(*KEY, (2 * half).alias("logdet"), *(f"m_{x}" for x in xs), *(f"l_{i}_{j}" for i in range(p) for j in range(i + 1)))
 
 
 def _moments(d: DataFrame, xs: list[str]) -> DataFrame:
     means = [F.avg(x).alias(f"m_{x}") for x in xs]
-    return d.groupBy("_k").agg(*means, *(F.covar_pop(xs[i], xs[j]).alias(f"c_{i}_{j}") for i in range(len(xs)) for j in range(i + 1)))
+    return d.groupBy(*KEY).agg(*means, *(F.covar_pop(xs[i], xs[j]).alias(f"c_{i}_{j}") for i in range(len(xs)) for j in range(i + 1)))
 
 
 def group_keys(stats: DataFrame, min_rows: int) -> DataFrame:
@@ -122,36 +138,73 @@ def group_keys(stats: DataFrame, min_rows: int) -> DataFrame:
     return d.join(sized(keys), d["_a"] == keys["_a2"], "left").drop("_a", "_b", "_a2")
 
 
-def judge(stats: DataFrame, min_rows: int = 100, share: float = 0.75, steps: int = 4, tail: float = 1e-4) -> DataFrame:
+def _starts(fit: DataFrame, xs: list[str], subsets: int, subset_rows: int) -> DataFrame:
+    """Means m_<x> and covariances c_<i>_<j> by group and start."""
+    p = len(xs)
+    pairs = [(i, j) for i in range(p) for j in range(i + 1)]
+    quart = fit.groupBy("_k").agg(F.count("*").alias("_rows"), *(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{x}") for x in xs))
+    quart = written(quart.select("_k", "_rows", *(F.col(f"q_{x}")[1].alias(f"m_{x}") for x in xs), *(((F.col(f"q_{x}")[2] - F.col(f"q_{x}")[0]) / 1.349).alias(f"r_{x}") for x in xs)), "quality-quartiles")
+    middle = quart.select("_k", F.lit(0).alias("_s"), *(f"m_{x}" for x in xs), *((F.pow(f"r_{xs[i]}", F.lit(2.0)) if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i, j in pairs))
+    own = fit.join(sized(quart), "_k")
+    wide = {x: F.col(f"r_{x}") + F.lit(DIMS[x]) for x in xs}
+    own = own.withColumns({f"u_{x}": (F.col(x) - F.col(f"m_{x}")) / wide[x] for x in xs})
+    norm = F.lit(0.0)
+    for x in xs:
+        norm = norm + F.col(f"u_{x}") * F.col(f"u_{x}")
+    signs = own.withColumn("_n", F.greatest(norm, F.lit(1e-12))).groupBy("_k").agg(
+        *(F.first(f"m_{x}").alias(f"m_{x}") for x in xs),
+        *((F.avg(F.col(f"u_{xs[i]}") * F.col(f"u_{xs[j]}") / F.col("_n")) * F.first(wide[xs[i]]) * F.first(wide[xs[j]]) * p).alias(f"c_{i}_{j}") for i, j in pairs),
+    )
+    drawn = own.select("_k", "_rows", *xs, F.explode(F.array(*(F.lit(2 + n) for n in range(subsets)))).alias("_s"))
+    drawn = drawn.where(F.pmod(F.xxhash64("_s", *xs), F.lit(1 << 20)) * F.col("_rows") < F.lit(subset_rows << 20))
+    return middle.unionByName(signs.withColumn("_s", F.lit(1))).unionByName(_moments(drawn, xs))
+
+
+def _log_distance(xs: list[str]) -> Column:
+    return F.round(F.log(F.greatest(_distance(xs), F.lit(1e-4))), 2)
+
+
+def estimate(fit: DataFrame, share: float, subsets: int, subset_rows: int, most_steps: int, settled: float) -> DataFrame:
+    """From fit(_k, dimensions), by group: logdet, means m_<x> and the inverse Cholesky factor's entries l_<i>_<j>."""
+    xs, p = list(DIMS), len(DIMS)
+    q_share = chi2_quantile(p, share)
+    factor = share / (NormalDist().cdf(((q_share / (p + 2)) ** (1 / 3) - (1 - 2 / (9 * (p + 2)))) / sqrt(2 / (9 * (p + 2)))))
+
+    def step(est: DataFrame) -> DataFrame:
+        near = fit.join(sized(est), "_k").select(*KEY, *xs, _log_distance(xs).alias("_d"))
+        cut = near.groupBy(*KEY).agg(F.percentile("_d", share).alias("_c"))
+        inside = near.join(sized(cut, starts), list(KEY)).where("_d <= _c")
+        return written(_whiten(_moments(inside, xs), xs, factor), "quality-step")
+
+    est = written(_whiten(_starts(fit, xs, subsets, subset_rows), xs, 1.0), "quality-start")
+    starts = est.count()
+    for _ in range(2):
+        est = step(est)
+    rank = est.groupBy("_k").agg(F.slice(F.array_sort(F.collect_list(F.struct("logdet", "_s"))), 1, 2).alias("_best"))  # of 2 + subsets starts
+    best = rank.select("_k", F.explode("_best._s").alias("_s"))
+    est = written(est.join(sized(best, starts), list(KEY)), "quality-step")
+    for _ in range(most_steps - 2):
+        before, est = est.select(*KEY, F.col("logdet").alias("_was")), step(est)
+        if (est.join(before, list(KEY)).agg(F.max(F.abs(F.col("logdet") - F.col("_was")))).first()[0] or 0.0) < settled:
+            break
+    least = est.groupBy("_k").agg(F.min(F.struct("logdet", "_s")).alias("_least")).select("_k", F.col("_least._s").alias("_s"))
+    return written(est.join(sized(least, starts), list(KEY)).drop("_s"), "quality-least")
+
+
+def judge(stats: DataFrame, min_rows: int = 100, share: float = 0.75, subsets: int = 3, subset_rows: int = 40, most_steps: int = 20, settled: float = 1e-3, tail: float = 1e-4) -> DataFrame:
     """Adds distance2 (squared, null without a verdict) and kept to text statistics that hold base_failed.
 
-    Start: medians and quartile ranges of each dimension; then `steps` concentration steps, each taking mean and
-    covariance of the `share` of a group's rows that lies nearest by the estimates before. Distances are scaled so that
-    their group's median is that of the chi-squared law, and rejected beyond its 1 - `tail` quantile.
+    Distances are scaled so that their group's median is that of the chi-squared law, and rejected beyond its 1 - `tail`
+    quantile. Steps end when no group's logarithm of the determinant changes by `settled`, or after `most_steps`.
     """
     xs, p = list(DIMS), len(DIMS)
     stats = written(_vector(stats), "quality-counts")  # a filter on top of the text's expressions would copy them into itself
     d = group_keys(stats, min_rows)
     d = written(d, "quality-stats")
-    fit = d.where("_k is not null and not base_failed")
-    log_d = F.round(F.log(F.greatest(_distance(xs), F.lit(1e-4))), 2)
-
-    quart = fit.groupBy("_k").agg(*(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{x}") for x in xs))
-    est = quart.select(
-        "_k",
-        *(F.col(f"q_{x}")[1].alias(f"m_{x}") for x in xs),
-        *((F.pow((F.col(f"q_{xs[i]}")[2] - F.col(f"q_{xs[i]}")[0]) / 1.349, F.lit(2.0)) if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)),
-    )
-    est = written(_whiten(est, xs, 1.0), "quality-start")
+    fit = d.where("_k is not null and not base_failed").select("_k", *xs)
+    est = estimate(fit, share, subsets, subset_rows, most_steps, settled)
     groups = est.count()
-    q_share = chi2_quantile(p, share)
-    factor = share / (NormalDist().cdf(((q_share / (p + 2)) ** (1 / 3) - (1 - 2 / (9 * (p + 2)))) / sqrt(2 / (9 * (p + 2)))))
-    for _ in range(steps):
-        near = fit.join(sized(est, groups), "_k").select("_k", *xs, log_d.alias("_d"))
-        cut = near.groupBy("_k").agg(F.percentile("_d", share).alias("_c"))
-        inside = near.join(sized(cut, groups), "_k").where("_d <= _c")
-        est = written(_whiten(_moments(inside, xs), xs, factor), "quality-step")
-    scale = fit.join(sized(est, groups), "_k").select("_k", log_d.alias("_d")).groupBy("_k").agg(F.exp(F.percentile("_d", 0.5)).alias("_med"))
+    scale = fit.join(sized(est, groups), "_k").select("_k", _log_distance(xs).alias("_d")).groupBy("_k").agg(F.exp(F.percentile("_d", 0.5)).alias("_med"))
     final = written(est.join(scale, "_k"), "quality-final")
     out = d.join(sized(final, groups), "_k", "left").withColumn("distance2", _distance(xs) * chi2_quantile(p, 0.5) / F.greatest(F.col("_med"), F.lit(chi2_quantile(p, 0.5))))
     cutoff = chi2_quantile(p, 1 - tail)

@@ -56,21 +56,33 @@ def test_1_estimates(spark):
     got = {r.doc_id: (r.distance2, r.kept) for r in quality.judge(d).collect()}
     x = np.array([[round(math.log(c / n), 3), round(math.sqrt(s / n), 3), round(math.sqrt(u / c), 3), round(math.sqrt(a / n), 3), round(math.sqrt(dl / nl), 3), round(math.sqrt(r / n), 3)] for _, n, c, s, u, dl, nl, r, a in rows])
     floor = np.array(list(quality.DIMS.values())) ** 2
-    q = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
-    center, cov = q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2) + np.diag(floor)
     p = x.shape[1]
     qs = quality.chi2_quantile(p, 0.75)
     from statistics import NormalDist
 
     factor = 0.75 / NormalDist().cdf(((qs / (p + 2)) ** (1 / 3) - (1 - 2 / (9 * (p + 2)))) / math.sqrt(2 / (9 * (p + 2))))
-    dist = lambda: np.einsum("ij,jk,ik->i", x - center, np.linalg.inv(cov), x - center)
-    for _ in range(4):
-        ld = np.round(np.log(np.maximum(dist(), 1e-4)), 2)
-        inside = x[ld <= np.quantile(ld, 0.75)]
-        center, cov = inside.mean(0), np.cov(inside.T, bias=True) * factor + np.diag(floor)
-    ld = np.round(np.log(np.maximum(dist(), 1e-4)), 2)
+    dist = lambda center, cov: np.einsum("ij,jk,ik->i", x - center, np.linalg.inv(cov), x - center)
+    q = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
+    ends = []
+    for start in range(30):
+        some = x[g.choice(len(x), 12, replace=False)]
+        center, cov = (q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2) + np.diag(floor)) if start == 0 else (some.mean(0), np.cov(some.T, bias=True) + np.diag(floor))
+        for _ in range(60):
+            ld = np.round(np.log(np.maximum(dist(center, cov), 1e-4)), 2)
+            inside = x[ld <= np.quantile(ld, 0.75)]
+            center, cov = inside.mean(0), np.cov(inside.T, bias=True) * factor + np.diag(floor)
+        ends.append((np.linalg.slogdet(cov)[1], center, cov))
+    fit = spark.createDataFrame([("k", *map(float, r)) for r in x], "_k string, " + ", ".join(f"{c} double" for c in quality.DIMS))
+    e = quality.estimate(fit, 0.75, 3, 40, 20, 1e-3).first()
+    center = np.array([e[f"m_{c}"] for c in quality.DIMS])
+    inverse = np.array([[e[f"l_{i}_{j}"] if j <= i else 0.0 for j in range(p)] for i in range(p)])
+    cov = np.linalg.inv(inverse.T @ inverse)
+    assert e.logdet == pytest.approx(np.linalg.slogdet(cov)[1], abs=1e-6) and e.logdet < min(v for v, _, _ in ends) + 0.05
+    inside = x[(near := np.round(np.log(np.maximum(dist(center, cov), 1e-4)), 2)) <= np.quantile(near, 0.75)]
+    assert np.allclose(inside.mean(0), center, atol=0.01) and np.allclose(np.cov(inside.T, bias=True) * factor + np.diag(floor), cov, atol=1e-3)
+    ld = np.round(np.log(np.maximum(dist(center, cov), 1e-4)), 2)
     half = quality.chi2_quantile(p, 0.5)
-    want = dist() * half / max(math.exp(np.median(ld)), half)
+    want = dist(center, cov) * half / max(math.exp(np.median(ld)), half)
     assert np.allclose([got[r[0]][0] for r in rows], want, rtol=0.03)
     assert all(got[r[0]][1] == (r[0] < 1000) for r in rows)
 
