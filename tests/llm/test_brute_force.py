@@ -184,14 +184,65 @@ def test_5_packing(docs, texts):
     assert out.sequence_id.nunique() <= 1.02 * out.length.sum() / 2048 + 2
 
 
+def plain_fit(lengths, capacities, weights, score):
+    """Vector best fit, one piece and one bin at a time."""
+    size = [(n / capacities[0], 1 / capacities[1], n * n / capacities[2]) for n in lengths]
+    bins, where, offsets = [], [None] * len(lengths), [None] * len(lengths)
+    for i in sorted(range(len(lengths)), key=lambda i: (-sum(w * x for w, x in zip(weights, size[i], strict=True)), i)):
+        best = None
+        for b, (left, _) in enumerate(bins):
+            if all(x <= y + 1e-12 for x, y in zip(size[i], left, strict=True)):
+                if score == "norm":
+                    value = -sum(w * (y - x) ** 2 for w, x, y in zip(weights, size[i], left, strict=True))
+                else:
+                    value = sum(w * y * x for w, x, y in zip(weights, size[i], left, strict=True))
+                if best is None or value > best[0] + 1e-15:
+                    best = (value, b)
+        if best is None:
+            bins.append(([1.0, 1.0, 1.0], 0))
+            best = (0, len(bins) - 1)
+        left, used = bins[best[1]]
+        where[i], offsets[i] = best[1], used
+        bins[best[1]] = ([y - x for x, y in zip(size[i], left, strict=True)], used + lengths[i])
+    return where, offsets
+
+
+@pytest.mark.parametrize("score", ["norm", "dot"])
+def test_5_best_fit_against_a_plain_one(score):
+    g = np.random.default_rng(5)
+    for capacities, weights in (((200.0, 5, 12000.0), (1.0, 0.5, 0.5)), ((64.0, 8, 4096.0), (1.0, 0.25, 0.1))):
+        lengths = np.sort(g.integers(1, 60, 300))[::-1]
+        bins, offsets = packing.fit(lengths, np.array(capacities), np.array(weights), score)
+        where, places = plain_fit(lengths.tolist(), capacities, weights, score)
+        assert bins.tolist() == where and offsets.tolist() == places
+
+
+def test_5_pieces_and_places_against_plain_ones(docs, texts):
+    from tokenizers import Tokenizer
+
+    plain, rows = Tokenizer.from_file(queries.tokenizer_path()), {}
+    for r in packing.pack(docs, queries.tokenizer_path(), with_ids=False).collect():
+        rows.setdefault(r.doc_id, []).append(r)
+    assert set(rows) == set(texts)
+    for i, t in texts.items():
+        ids = np.array(plain.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
+        first = len(ids) % 2048 or 2048
+        cuts = [0, *range(min(first, len(ids)), len(ids) + 1, 2048)]
+        want = [(k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(itertools.pairwise(cuts))]
+        assert [(r.piece, r.start, r.length, r.ids_crc32) for r in sorted(rows[i], key=lambda r: r.piece)] == want
+    short = sorted((r for x in rows.values() for r in x if r.length < 2048), key=lambda r: -r.length)
+    caps = (2048, packing.MAX_DOCS, 2048.0**2)
+    assert len({r.sequence_id for r in short}) == len(set(plain_fit([r.length for r in short], caps, packing.WEIGHTS, "norm")[0]))
+
+
 def test_5_both_encoders_agree():
     import random
 
     from tokenizers import Tokenizer
 
     own, plain, g = packing.Encoder(queries.tokenizer_path()), Tokenizer.from_file(queries.tokenizer_path()), random.Random(1)
-    texts = [f"a{chr(c)}b 1{chr(c)}2 {chr(c)} .{chr(c)}!" for a, b in packing.KNOWN for c in range(a, b + 1) if b - a < 1000 or c % 29 == 0]
-    texts += ["".join(chr(g.randint(*g.choice(packing.KNOWN))) if g.random() < 0.7 else g.choice(" \n\t'abc12") for _ in range(60)) for _ in range(500)]
+    texts = [f"a{chr(c)}b 1{chr(c)}2 {chr(c)} .{chr(c)}!" for a, b in packing.KNOWN for c in range(a, b + 1)]
+    texts += ["".join(chr(g.randint(*g.choice(packing.KNOWN))) if g.random() < 0.7 else g.choice(" \n\t'abc12") for _ in range(60)) for _ in range(5000)]
     for t in texts:
         assert packing.UNKNOWN.search(t) is None and own(t) == plain.encode(t, add_special_tokens=False).ids
     for t in ("\U0001f600 \u0e01", "x <|endoftext|> y"):
@@ -273,6 +324,37 @@ def test_7_tree(spark):
     assert again.set_index("doc_id").shard.sort_index().equals(out.set_index("doc_id").shard.sort_index())
 
 
+def test_7_against_a_plain_tree(spark):
+    rows = [(k, "x" * (10 + k * 7919 % 500), ["en", "de", None][k % 3], f"s{k % 5}") for k in range(700)] + [(9000 + k, "copy", "en", "s0") for k in range(400)]
+    meta = sharding.written(sharding.metadata(frame(spark, rows)), "test-meta")
+    data = {r._row: r for r in meta.collect()}
+    tie, dims = 1 << sharding.TIE_BITS, range(len(sharding.DIMS))
+    extent = [max(1, (max(r[f"d{k}"] for r in data.values()) - min(r[f"d{k}"] for r in data.values())) // tie) for k in dims]
+    want = {}
+
+    def split(some, shards, first):
+        if shards == 1:
+            want.update(dict.fromkeys((r._row for r in some), first))
+            return
+        widest = max(dims, key=lambda k: ((max(r[f"d{k}"] for r in some) - min(r[f"d{k}"] for r in some)) // tie) / extent[k])
+        weight = collections.Counter()
+        for r in some:
+            weight[r[f"d{widest}"]] += r["size"]
+        goal, below = sum(weight.values()) * (shards // 2) / shards, 0
+        for cut in sorted(weight):
+            if below + weight[cut] > goal or cut == max(weight):
+                break
+            below += weight[cut]
+        cut += below < goal
+        split([r for r in some if r[f"d{widest}"] < cut], shards // 2, first)
+        split([r for r in some if r[f"d{widest}"] >= cut], shards - shards // 2, first + shards // 2)
+
+    for shards in (24, 5):
+        want.clear()
+        split(list(data.values()), shards, 0)
+        assert {r._row: r["shard"] for r in sharding.tree(meta, shards).collect()} == want
+
+
 def test_8_lines(spark):
     own = [prose(30, k) for k in range(40)]
     rows = [(k, f"Share this page\n{own[k]}\n Cookie notice \nmine {k}", "en", f"s{k % 20}") for k in range(40)]
@@ -442,3 +524,37 @@ def test_2_one_word_over_and_over():
     assert set(out) == {1} and out[1] == (2000, [(0, 0, 2000)])
     assert index.matches("a a " * 1000 + "b", 0.5)[0][2] == 2000 and [x[0] for x in index.matches("A.", 0.5)] == [3]
     assert time.time() - began < 20
+
+
+def test_10_candidates_against_all_pairs_of_a_list():
+    g = np.random.default_rng(12)
+    for most in (50, 10**6):
+        rows = [(k, int(n), int(g.integers(0, n // 5 + 1)), i, int(g.integers(0, 4))) for i, (k, n) in enumerate(zip(g.integers(0, 12, 400), g.integers(1, 60, 400), strict=True))]
+        p = np.array(sorted([(k, -1, n, pos, i, c) for k, n, pos, i, c in rows], key=lambda r: (r[0], r[2], r[3])), setjoin.POSTING)
+        got = {(a, b) for batch in setjoin._candidates(p, p["key"].astype(np.int64), most) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)}
+        want = set()
+        for x, y in itertools.combinations(rows, 2):
+            if x[0] == y[0] and x[4] != y[4] and 100 * min(x[1], y[1]) >= 80 * max(x[1], y[1]) and 180 * min(x[1] - x[2], y[1] - y[2]) >= 80 * (x[1] + y[1]):
+                want.add((max(x[3], y[3]), min(x[3], y[3])))
+        assert got == want and len(want) > 100
+
+
+def test_10_derived_overlaps(spark):
+    """Overlaps from the leaders' and the differences, also where a member of one group shares more than the leaders do."""
+    g = np.random.default_rng(2)
+    first, second = prose(200, 31).split(), prose(120, 31).split() + prose(80, 32).split()
+    rows = [(0, " ".join(first)), (1, " ".join(second))]
+    for k in range(12):
+        w = list((first, second)[k % 2])
+        for i in g.choice(200, 4, replace=False):
+            w[i] = (second, first)[k % 2][i] if g.random() < 0.5 else f"new{i}"
+        rows.append((10 + k, " ".join(w)))
+    docs = frame(spark, rows)
+    sets = {i: set(setjoin.shingle_set(t).tolist()) for i, t in rows}
+    star = setjoin.verify(docs, spark.createDataFrame([(10 + k, k % 2) for k in range(12)], "a long, b long"), True)
+    assert star.where(setjoin.LINKED).count() == 12
+    lead = star.selectExpr("a as id", "plus", "minus")
+    common = len(sets[0] & sets[1])
+    pairs = spark.createDataFrame([(a, b, 0, 1, common) for a in [0, *range(10, 22, 2)] for b in [1, *range(11, 22, 2)]], "a long, b long, la long, lb long, common long")
+    got = setjoin.derived(docs, pairs, lead).collect()
+    assert len(got) == 49 and all((r.common, r.na, r.nb) == (len(sets[r.a] & sets[r.b]), len(sets[r.a]), len(sets[r.b])) for r in got)
