@@ -1,14 +1,19 @@
 """Best-fit packing of token sequences under several capacities at once.
 
-Texts are cut into pieces of at most `capacity` tokens, or of as many as the attention cost of a bin allows. A bin (a sequence) has capacities of tokens, documents and
-attention cost (the sum of squared piece lengths). Pieces come in decreasing order of size; each goes to the open bin
-that keeps every constraint and scores best, by the weighted dot product of its size with the bin's residuals or by the
-weighted norm of the residuals that it would leave; if none can take it, a bin is opened. Pieces that fill a bin are a
-bin of their own. The others are dealt by row into groups of `group_rows` on average, each packed by a task, so that
-memory is bounded and a group's few part-filled bins are the only loss.
-
-A null text is empty: its one piece is the end id. Repeated rows are packed as often as they are there. An empty table
-gives an empty result.
+Texts are cut into pieces of at most `capacity` tokens, or of as many as the attention cost of a bin allows. A bin (a
+sequence) has capacities of tokens, documents and attention cost (the sum of squared piece lengths). Pieces come in
+decreasing order of size; each goes to the open bin that keeps every constraint and scores best, by the weighted dot
+product of its size with the bin's residuals or by the weighted norm of the residuals that it would leave; if none can take
+it, a bin is opened. Pieces that fill a bin are a bin of their own. The others are dealt by row into groups of `group_rows`
+on average, each packed by a task, so that memory is bounded and a group's few part-filled bins are the only loss.
+
+With pieces of up to `capacity` tokens the attention cost can't be less than the square of it, which the tokens imply; a
+lower `max_attention` cuts shorter pieces.
+
+A null text is empty: its one piece is the end id. Very long texts are cut whole. Repeated rows are packed as often as they
+are there. Of pieces of one size the earlier row comes first, of equally good bins the one opened first is taken; rows are
+numbered in the written table, so that no later read changes the result. Other columns, whatever their names, are neither
+read nor returned. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +34,9 @@ from pyspark.sql import functions as F
 from .common import tidy, written
 
 END = 0
+#: Documents that a sequence holds at most, and the weights of tokens, documents and attention cost.
+MAX_DOCS = 64
+WEIGHTS = (1.0, 0.01, 0.01)
 #: Characters of which the tests hold both libraries' splitting against each other, one by one: Latin, Greek, Cyrillic,
 #: Hebrew and Arabic letters, punctuation, currencies, Kana, Han and Hangul.
 KNOWN = ((0x0, 0x24F), (0x370, 0x373), (0x386, 0x38A), (0x391, 0x3A1), (0x3A3, 0x3CE), (0x400, 0x52F), (0x5D0, 0x5EA), (0x621, 0x64A), (0x2010, 0x2027), (0x2030, 0x205E), (0x20A0, 0x20BF), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
@@ -125,7 +133,7 @@ def fit(lengths: np.ndarray, capacities: np.ndarray, weights: np.ndarray, score:
     return bins, offsets
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, max_docs: int = 1024, max_attention: float | None = None, weights: tuple[float, float, float] = (1.0, 0.01, 0.01), score: str = "norm", group_rows: int = 4096, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, max_docs: int = MAX_DOCS, max_attention: float | None = None, weights: tuple[float, float, float] = WEIGHTS, score: str = "norm", group_rows: int = 4096, with_ids: bool = True) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset."""
     caps, w = np.array([capacity, max_docs, max_attention or float(capacity) ** 2], float), np.array(weights, float)
     longest = min(capacity, math.isqrt(int(caps[2])))

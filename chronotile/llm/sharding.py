@@ -6,8 +6,10 @@ of its bytes lie, until each leaf is one shard; so leaves reach the same target
 nodes of a level at once by three histograms of 4096 bins each, every one a grouped sum; the driver sees bins alone.
 Values are refined by 20 random bits of the row, so that equal values, a third of all rows among them, can be split.
 
-Null texts count as empty; null languages and sources are values of their own; repeated rows are rows of their own. The
-law is `bytes`. An empty table gives an empty result.
+Null texts count as empty; null languages and sources are values of their own; repeated rows are rows of their own, and
+ties go by the random bits. Of equally wide dimensions the first is split. A very long text is one row, whatever its share of
+the bytes. The law is `bytes`. Other columns, whatever their names, are neither read nor returned. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
