@@ -61,9 +61,9 @@ def t_mse(x):
     return F.sum(_c(x) * _c(x))
 
 
-def quantile5(values: Column, p: float) -> Column:
+def quantile5(values: Column, p: float, is_sorted: bool = False) -> Column:
     """The quantile of type 5 (piecewise linear, midway) of an array without nulls."""
-    v = F.array_sort(values)
+    v = values if is_sorted else F.array_sort(values)
     n = F.size(v)
     h = n * F.lit(p) + 0.5
     lo = F.greatest(F.least(F.floor(h), n), F.lit(1)).cast("int")
@@ -89,6 +89,18 @@ def t_iqr(x):
     return t_tqr(x) - t_fqr(x)
 
 
+def _median(v: Column) -> Column:
+    n = F.size(v)
+    return F.when(n > 0, (F.element_at(v, F.floor((n + 1) / 2).cast("int")) + F.element_at(v, F.floor(n / 2).cast("int") + 1)) / 2)
+
+
+#: Those that one sorted array without nulls gives, as expressions over it.
+OF_SORTED: dict[str, Callable[[Column], Column]] = {
+    "t_median": _median,
+    "t_fqr": lambda v: quantile5(v, 0.25, True),
+    "t_tqr": lambda v: quantile5(v, 0.75, True),
+    "t_iqr": lambda v: quantile5(v, 0.75, True) - quantile5(v, 0.25, True),
+}
 #: Aggregates by name. t_fslope needs the order of time: see `slopes`.
 REDUCTIONS: dict[str, Callable[[str | Column], Column]] = {f.__name__: f for f in (t_max, t_min, t_mean, t_sum, t_median, t_std, t_skewness, t_kurtosis, t_amplitude, t_mse, t_fqr, t_tqr, t_iqr)}
 

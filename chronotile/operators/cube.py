@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import dates as D
+from .quantiles import quantiles
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
 
@@ -79,7 +80,7 @@ def bbox(df: DataFrame) -> DataFrame:
 def crop(pixels: DataFrame, tiles: DataFrame, roi: tuple[float, float, float, float]) -> DataFrame:
     """Pixels whose centres lie in the region."""
     x0, y0, x1, y1 = map(float, roi)
-    d = pixels.join(F.broadcast(filter_spatial(tiles, roi).select("tile", *BOX, "xres", "yres")), "tile")  # the region's tiles
+    d = pixels.join(filter_spatial(tiles, roi).select("tile", *BOX, "xres", "yres"), "tile")
     x, y = F.col("xmin") + (F.col("col") + 0.5) * F.col("xres"), F.col("ymax") - (F.col("row") + 0.5) * F.col("yres")
     return d.where(x.between(x0, x1) & y.between(y0, y1)).select(*pixels.columns)
 
@@ -222,9 +223,45 @@ def mosaic(pixels: DataFrame, tiles: DataFrame) -> DataFrame:
 
 
 def retile(tiles: DataFrame, grid: DataFrame) -> DataFrame:
-    """Pairs of a cube's tiles and those of another grid (tile, xmin ..) whose boxes meet with some area."""
-    g = grid.select(F.col("tile").alias("to_tile"), *(F.col(b).alias(f"r_{b}") for b in BOX))
-    return tiles.join(F.broadcast(g), (F.col("xmin") < F.col("r_xmax")) & (F.col("r_xmin") < F.col("xmax")) & (F.col("ymin") < F.col("r_ymax")) & (F.col("r_ymin") < F.col("ymax"))).select("tile", "to_tile")  # a grid's tiles
+    """Pairs of a cube's tiles and those of another grid (tile, xmin ..) whose boxes meet with some area.
+
+    Boxes meet on a plan of cells as large as the largest of them, so each is in four at most; a pair counts in the cell
+    that holds its common corner.
+    """
+    both = tiles.select(*BOX).unionByName(grid.select(*BOX))
+    w, h = both.agg(F.max(F.col("xmax") - F.col("xmin")), F.max(F.col("ymax") - F.col("ymin"))).first()
+    w, h = float(w or 1), float(h or 1)
+
+    def dealt(t: DataFrame, at: str) -> DataFrame:
+        span = lambda a, b, s: F.sequence(F.floor(F.col(a) / s), F.floor(F.col(b) / s))
+        d = t.select(F.col("tile").alias(f"{at}tile"), *(F.col(b).alias(f"{at}{b}") for b in BOX), F.explode(span("xmin", "xmax", w)).alias("_cx"), span("ymin", "ymax", h).alias("_s"))
+        return d.withColumn("_cy", F.explode("_s")).drop("_s")
+
+    j = dealt(tiles, "").join(dealt(grid, "r_"), ["_cx", "_cy"]).where((F.col("xmin") < F.col("r_xmax")) & (F.col("r_xmin") < F.col("xmax")) & (F.col("ymin") < F.col("r_ymax")) & (F.col("r_ymin") < F.col("ymax")))
+    once = (F.floor(F.greatest("xmin", "r_xmin") / w) == F.col("_cx")) & (F.floor(F.greatest("ymin", "r_ymin") / h) == F.col("_cy"))
+    return j.where(once).select("tile", F.col("r_tile").alias("to_tile"))
+
+
+def retile_pixels(pixels: DataFrame, tiles: DataFrame, grid: DataFrame) -> DataFrame:
+    """Pixels on another grid's tiles (tile, xmin .., xres, yres): each target cell takes the nearest source cell.
+
+    A target cell's centre decides which source cell that is. Where source tiles overlap, that of the least name is taken;
+    target cells without a source aren't there.
+    """
+    box = lambda t, at: t.select(*(F.col(c).alias(f"{at}{c}") for c in ("tile", *BOX, "xres", "yres")))
+    pairs = retile(tiles, grid).join(box(tiles, "s_"), F.col("tile") == F.col("s_tile")).join(box(grid, "t_"), F.col("to_tile") == F.col("t_tile"))
+    d = pixels.join(pairs.drop("tile"), pixels["tile"] == F.col("s_tile"))
+    # A source cell's edges say which target cells have their centres in it.
+    left, top = F.col("s_xmin") + F.col("col") * F.col("s_xres"), F.col("s_ymax") - F.col("row") * F.col("s_yres")
+    c0, c1 = F.ceil((left - F.col("t_xmin")) / F.col("t_xres") - 0.5), F.ceil((left + F.col("s_xres") - F.col("t_xmin")) / F.col("t_xres") - 0.5) - 1
+    r0, r1 = F.ceil((F.col("t_ymax") - top) / F.col("t_yres") - 0.5), F.ceil((F.col("t_ymax") - top + F.col("s_yres")) / F.col("t_yres") - 0.5) - 1
+    ncol, nrow = F.round((F.col("t_xmax") - F.col("t_xmin")) / F.col("t_xres")), F.round((F.col("t_ymax") - F.col("t_ymin")) / F.col("t_yres"))
+    c0, c1, r0, r1 = F.greatest(c0, F.lit(0)), F.least(c1, ncol - 1).cast("long"), F.greatest(r0, F.lit(0)), F.least(r1, nrow - 1).cast("long")
+    span = lambda a, b: F.when(a <= b, F.sequence(a.cast("long"), b)).otherwise(F.array().cast("array<bigint>"))
+    d = d.select(F.col("t_tile").alias("to"), "band", "date", F.col("s_tile").alias("from"), "value", span(r0, r1).alias("rs"), span(c0, c1).alias("cs"))
+    d = d.select("to", "band", "date", "from", "value", F.explode("rs").cast("int").alias("row"), "cs").select("to", "band", "date", "from", "value", "row", F.explode("cs").cast("int").alias("col"))
+    best = d.groupBy("to", "band", "date", "row", "col").agg(F.min(F.struct("from", "value")).alias("_m"))
+    return best.select(F.col("to").alias("tile"), "band", "date", "row", "col", F.col("_m.value").alias("value"))
 
 
 def chunks(tiles: DataFrame, size: int, overlap: int = 0) -> DataFrame:
@@ -313,8 +350,8 @@ def merge(a: DataFrame, b: DataFrame, days: tuple[int, int] = (16, 16)) -> DataF
 
 def deseasoned(df: DataFrame, band: str, quantile: float = 0.95, date: str = "date", tile: str = "tile") -> DataFrame:
     """A band less its quantile over all of a tile's pixels at the date."""
-    q = df.groupBy(tile, date).agg(F.percentile(band, quantile).alias("_q"))
-    return df.join(q, [tile, date]).withColumn(band, F.col(band) - F.col("_q")).drop("_q")
+    q = quantiles(df, band, [quantile], [tile, date], "_q")
+    return df.join(q, [tile, date]).withColumn(band, F.col(band) - F.col("_q")[0]).drop("_q")
 
 
 def validate(points: DataFrame, tiles: DataFrame, classes: DataFrame, label: str = "label") -> DataFrame:

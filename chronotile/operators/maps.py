@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from .quantiles import quantiles
 
 
 def label(df: DataFrame, probs: list[str], names: list[str] | None = None) -> DataFrame:
@@ -90,7 +91,9 @@ def segment_probabilities(pixels: DataFrame, probs: list[str], segment: str = "p
 def summary_quantiles(df: DataFrame, columns: list[str], every: float = 0.05) -> DataFrame:
     """Quantiles of type 7 of each column, in long form."""
     ps = [round(k * every, 10) for k in range(round(1 / every) + 1)]
-    d = df.agg(*(F.percentile(c, F.array(*(F.lit(p) for p in ps))).alias(c) for c in columns))
+    d = quantiles(df, columns[0], ps, out=columns[0])
+    for c in columns[1:]:
+        d = d.crossJoin(quantiles(df, c, ps, out=c))  # one row each
     return d.select(F.posexplode(F.arrays_zip(*columns)).alias("_k", "_v")).select(F.round(F.col("_k") * every, 10).alias("quantile"), *(F.col(f"_v.{c}").alias(c) for c in columns))
 
 
@@ -98,7 +101,9 @@ def six_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
     """Minimum, quartiles, mean and maximum of each column, a row for each."""
     parts = None
     for c in columns:
-        p = df.agg(F.lit(c).alias("band"), F.min(c).alias("min"), F.percentile(c, 0.25).alias("q1"), F.percentile(c, 0.5).alias("median"), F.avg(c).alias("mean"), F.percentile(c, 0.75).alias("q3"), F.max(c).alias("max"))
+        q = quantiles(df, c, [0.25, 0.5, 0.75])
+        p = df.agg(F.lit(c).alias("band"), F.min(c).alias("min"), F.avg(c).alias("mean"), F.max(c).alias("max")).crossJoin(q)  # one row each
+        p = p.select("band", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), "mean", F.col("q")[2].alias("q3"), "max")
         parts = p if parts is None else parts.unionByName(p)
     return parts
 

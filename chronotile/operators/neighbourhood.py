@@ -68,6 +68,10 @@ def w_modal(x):
     return np.where(np.isnan(x).any(-1), np.nan, best)
 
 
+#: Tiles whose extents are broadcast.
+BROADCAST_TILES = 100_000
+
+
 def _views(a: np.ndarray, window: int) -> np.ndarray:
     v = np.lib.stride_tricks.sliding_window_view(a, (window, window))
     return v.reshape(*v.shape[:2], -1)
@@ -85,6 +89,7 @@ def windows(df: DataFrame, values: list[str], out: list[str], window: int, fn: C
         raise ValueError("a chunk must hold half a window")
     extent = df.groupBy(*keys).agg((F.max("row") + 1).alias("_nr"), (F.max("col") + 1).alias("_nc"))
     part = lambda c: F.sequence(F.floor((F.col(c) - r) / chunk), F.floor((F.col(c) + r) / chunk))
+    extent = F.broadcast(extent) if extent.count() <= BROADCAST_TILES else extent  # else every pixel would shuffle by tile first
     d = df.select(*keys, "row", "col", *values).join(extent, list(keys))
     d = d.withColumn("_br", F.explode(part("row"))).withColumn("_bc", F.explode(part("col")))
     d = d.where((F.col("_br") >= 0) & (F.col("_bc") >= 0) & (F.col("_br") * chunk < F.col("_nr")) & (F.col("_bc") * chunk < F.col("_nc")))

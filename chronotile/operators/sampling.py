@@ -80,10 +80,9 @@ def confidence(df: DataFrame, probs: list[str], n: int = 20, min_margin: float =
     """For each label the best cell of each block, of those the n best with the margin."""
     from .neighbourhood import block_max
 
-    d = None
-    for p in probs:
-        x = block_max(df, p, window).select("tile", "row", "col", F.lit(p).alias("label"), F.col(p).alias("confidence"))
-        d = x if d is None else d.unionByName(x)
+    each = F.explode(F.array(*(F.struct(F.lit(p).alias("label"), F.col(p).alias("confidence")) for p in probs)))
+    long = df.select("tile", "row", "col", each.alias("_e")).select("tile", "row", "col", "_e.*")
+    d = block_max(long, "confidence", window, ("tile", "label"))  # one scan for all labels
     s = F.sort_array(F.array(*probs), asc=False)
     d = d.join(df.select("tile", "row", "col", (s[0] - s[1]).alias("_lead"), s[0].alias("_top")), ["tile", "row", "col"]).where((F.col("_lead") >= min_margin) & (F.col("_top") == F.col("confidence")))
     w = Window.partitionBy("label").orderBy(F.desc("confidence"), "tile", "row", "col")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import temporal
+from .quantiles import quantiles
 
 KEYS = ["sample_id"]
 
@@ -63,7 +64,12 @@ def reduce(df: DataFrame, band: str, by: list[str], keys: list[str] = KEYS, inde
     slope = "t_fslope" in by
     if slope:
         df = df.withColumn("_slope", temporal.slopes(band, keys, index))
-    return df.groupBy(*keys).agg(*(F.max("_slope").alias(f) if f == "t_fslope" else temporal.REDUCTIONS[f](band).alias(f) for f in by))
+    held = [f for f in by if f in temporal.OF_SORTED]  # one sorted array serves them all
+    made = [F.max("_slope").alias(f) if f == "t_fslope" else temporal.REDUCTIONS[f](band).alias(f) for f in by if f not in held]
+    if held:
+        made.append(F.sort_array(F.collect_list(band)).alias("_sorted"))
+    d = df.groupBy(*keys).agg(*made)
+    return d.select(*keys, *(temporal.OF_SORTED[f](F.col("_sorted")).alias(f) if f in held else F.col(f) for f in by))
 
 
 def impute_linear(df: DataFrame, band: str, keys: list[str] = KEYS, index: str = "index") -> DataFrame:
@@ -103,21 +109,20 @@ def sgolay_matrix(n: int, order: int = 3, length: int = 5) -> np.ndarray:
 
 def _linear_filter(df: DataFrame, band: str, matrix, keys: list[str], index: str) -> DataFrame:
     """A linear filter of each series, vectorised over the series of a batch that have equal lengths."""
-    nested = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(band).cast("double").alias("v")))).alias("_s"))
+    nested = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(band).cast("double").alias("v")))).alias("_s")).select(*keys, F.col("_s.v").alias("_x"), F.col("_s.i").alias("_i"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[int, np.ndarray] = {}
         for part in batches:
-            lengths = part["_s"].map(len)
+            lengths = part["_x"].map(len)
             out = []
             for n, rows in part.groupby(lengths, sort=False):
                 if n not in cache:
                     cache[n] = matrix(n)
-                x = np.array([[p["v"] for p in s] for s in rows["_s"]], float)
-                y = x @ cache[n].T
-                out.append(rows[keys].assign(_v=list(y), _i=[[p["i"] for p in s] for s in rows["_s"]]))
-            yield pd.concat(out) if out else part[keys].assign(_v=None, _i=None)
+                x = np.concatenate(list(rows["_x"])).astype(float).reshape(len(rows), n)
+                out.append(rows[[*keys, "_i"]].assign(_v=list(x @ cache[n].T)))
+            yield pd.concat(out)[[*keys, "_v", "_i"]] if out else part[keys].assign(_v=None, _i=None)
 
     date = df.schema[index].dataType.simpleString()
     d = nested.mapInPandas(run, f"{fields}, _v array<double>, _i array<{date}>")
@@ -154,7 +159,12 @@ def stats(df: DataFrame, bands: list[str], keys: list[str] = KEYS, scope: str =
     if scope == "first":
         first = df.agg(F.min(F.struct(*keys)).alias("k")).select("k.*")
         df = df.join(F.broadcast(first), keys, "left_semi")  # one row
-    return df.agg(*(temporal.quantile7(b, p).alias(f"{b}_q{q}") for b in bands for p, q in ((0.02, "02"), (0.98, "98"))))
+        return df.agg(*(temporal.quantile7(b, p).alias(f"{b}_q{q}") for b in bands for p, q in ((0.02, "02"), (0.98, "98"))))  # one series
+    d = None
+    for b in bands:
+        q = quantiles(df, b, [0.02, 0.98]).select(F.col("q")[0].alias(f"{b}_q02"), F.col("q")[1].alias(f"{b}_q98"))
+        d = q if d is None else d.crossJoin(q)  # one row each
+    return d
 
 
 def normalize(df: DataFrame, stats_row: DataFrame, bands: list[str]) -> DataFrame:
@@ -198,7 +208,11 @@ def merge(a: DataFrame, b: DataFrame, keys: list[str] = KEYS, index: str = "inde
 
 def patterns(df: DataFrame, bands: list[str], index: str = "index", label: str = "label") -> DataFrame:
     """Median of each label's series at each date."""
-    return df.groupBy(label, index).agg(*(F.median(b).alias(b) for b in bands))
+    d = None
+    for b in bands:
+        q = quantiles(df, b, [0.5], [label, index]).select(label, index, F.col("q")[0].alias(b))
+        d = q if d is None else d.join(q, [label, index], "full_outer")
+    return d
 
 
 def summary(df: DataFrame, keys: list[str] = KEYS, label: str = "label") -> DataFrame:

@@ -22,7 +22,13 @@ def samples_to_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> Non
 def numbered(df: DataFrame) -> DataFrame:
     """Sample metadata with an id from 1 in the order of place and time."""
     c = ["longitude", "latitude", "start_date", "end_date", "label"]
-    return df.select(F.row_number().over(Window.orderBy(*c)).alias("id"), *c)  # metadata of labelled samples
+    # Rows are dealt by ranges of longitude, numbered within each, and moved by the counts of those before.
+    edges = sorted(set(df.approxQuantile("longitude", [k / 256 for k in range(1, 256)], 0.001)))
+    part = F.coalesce(F.size(F.filter(F.array(*(F.lit(e) for e in edges)), lambda e: e <= F.col("longitude"))), F.lit(0)) if edges else F.lit(0)
+    d = df.select(*c, F.when(F.col("longitude").isNull(), F.lit(-1)).otherwise(part).alias("_part"))
+    n = d.groupBy("_part").agg(F.count("*").alias("_c")).withColumn("_before", F.sum("_c").over(Window.orderBy("_part")) - F.col("_c"))  # 256 rows
+    d = d.join(F.broadcast(n.drop("_c")), "_part")
+    return d.select((F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(*c))).alias("id"), *c)
 
 
 def series_to_csv(df: DataFrame, path: str, bands: list[str], dates: int, mode: str = "errorifexists") -> None:

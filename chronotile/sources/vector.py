@@ -79,13 +79,13 @@ def points_within(points: DataFrame, polygons: DataFrame, geometry: str = "geome
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[str, list[np.ndarray]] = {}
         for part in batches:
-            keep = []
-            for x, y, g in zip(part["longitude"], part["latitude"], part[geometry], strict=True):
+            x, y, keep = part["longitude"].to_numpy(float), part["latitude"].to_numpy(float), np.zeros(len(part), bool)
+            for g, at in part.groupby(geometry, sort=False).indices.items():
                 if len(cache) > 1000:
                     cache.clear()
                 if g not in cache:
                     cache[g] = rings(g)
-                keep.append(bool(inside(np.array([x]), np.array([y]), cache[g])[0]))
+                keep[at] = inside(x[at], y[at], cache[g])
             yield part[keep]
 
     return j.mapInPandas(run, fields)
