@@ -13,40 +13,56 @@ from pyspark.sql.window import Window
 from ..functions import scalars
 
 
-def dtw(a: np.ndarray, b: np.ndarray, p: float = 2.0, band: int | None = None) -> float:
-    """Distance of two series (points in rows): a diagonal step counts its cell twice, the others once.
+def dtw_many(x: np.ndarray, y: np.ndarray, p: float = 2.0, band: int | None = None) -> np.ndarray:
+    """Distances of series (series, dates, bands) from one pattern (dates, bands): a diagonal step counts its cell twice,
+    the others once. `band`: cells further than this from the diagonal are closed.
 
-    `band`: cells further than this from the diagonal are closed.
+    The cells of one anti-diagonal depend on those of the two before alone, so each is one operation over all series.
     """
-    a, b = np.atleast_2d(a.T).T.astype(float), np.atleast_2d(b.T).T.astype(float)
-    d = (np.abs(a[:, None] - b[None]) ** p).sum(-1) ** (1 / p)
-    n, m = d.shape
+    d = (np.abs(x[:, :, None] - y[None, None]) ** p).sum(-1) ** (1 / p)
+    n, m = d.shape[1:]
     if band is not None:
         d = np.where(np.abs(np.arange(n)[:, None] * m / n - np.arange(m)) <= max(band, abs(n - m)), d, np.inf)
-    g = np.empty((n, m))
-    g[0, 0] = d[0, 0]
-    g[1:, 0] = d[0, 0] + np.cumsum(d[1:, 0])
-    g[0, 1:] = d[0, 0] + np.cumsum(d[0, 1:])
-    for i in range(1, n):
-        for j in range(1, m):
-            g[i, j] = min(g[i - 1, j - 1] + 2 * d[i, j], g[i - 1, j] + d[i, j], g[i, j - 1] + d[i, j])
-    return float(g[-1, -1])
+    g = np.full((len(x), n + 1, m + 1), np.inf)  # with a border that no path takes
+    for s in range(n + m - 1):
+        i = np.arange(max(0, s - m + 1), min(n, s + 1))
+        j = s - i
+        cell = d[:, i, j]
+        best = np.minimum(np.minimum(g[:, i, j] + 2 * cell, g[:, i, j + 1] + cell), g[:, i + 1, j] + cell)
+        g[:, i + 1, j + 1] = cell if s == 0 else best
+    return g[:, n, m]
+
+
+def dtw(a: np.ndarray, b: np.ndarray, p: float = 2.0, band: int | None = None) -> float:
+    """Distance of two series (points in rows, or numbers)."""
+    a, b = np.atleast_2d(a.T).T.astype(float), np.atleast_2d(b.T).T.astype(float)
+    return float(dtw_many(a[None], b, p, band)[0])
 
 
 def dtw_distances(series: DataFrame, patterns: dict[str, np.ndarray], bands: list[str], key: str = "sample_id", window: int | None = None, step: int = 1, band: int | None = None) -> DataFrame:
-    """key, label, window (its place), distance: each series (an array of structs of the bands), or each window of it, against each pattern."""
+    """key, label, window (its place), distance: each series (an array of structs of the bands), or each window of it, against each pattern.
+
+    A batch's windows of one length are compared at once.
+    """
+    flat = series.select(key, F.flatten(F.transform("time_series", lambda r: F.array(*(r[b].cast("double") for b in bands)))).alias("_x"))
+    made = {k: np.asarray(v, float).reshape(len(v), -1) for k, v in patterns.items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            out = []
-            for k, s in zip(part[key], part["time_series"], strict=True):
-                x = np.array([[r[b] for b in bands] for r in s], float)
-                n = window or len(x)
-                for at in range(0, max(len(x) - n, 0) + 1, step):
-                    out += [(k, label, at // step, dtw(x[at : at + n], y, band=band)) for label, y in patterns.items()]
-            yield pd.DataFrame(out, columns=[key, "label", "window", "distance"])
-
-    return series.select(key, "time_series").mapInPandas(run, f"{key} {series.schema[key].dataType.simpleString()}, label string, window int, distance double")
+            dates = part["_x"].map(len) // len(bands)
+            for n, rows in part.groupby(dates, sort=False):
+                if not n:
+                    continue
+                x = np.concatenate(list(rows["_x"])).astype(float).reshape(len(rows), n, len(bands))
+                size = min(window or n, n)
+                starts = range(0, n - size + 1, step)
+                for a in range(0, len(rows), 2048):
+                    keys = rows[key].iloc[a : a + 2048]
+                    for w, at in enumerate(starts):
+                        for name, y in made.items():
+                            yield pd.DataFrame({key: keys, "label": name, "window": w, "distance": dtw_many(x[a : a + 2048, at : at + size], y, band=band)})
+
+    return flat.mapInPandas(run, f"{key} {series.schema[key].dataType.simpleString()}, label string, window int, distance double")
 
 
 def dtw_detect(distances: DataFrame, threshold: float, key: str = "sample_id") -> DataFrame:
@@ -111,20 +127,24 @@ class ChangeState:
 
 
 def detect_changes(df: DataFrame, probability: str, key: str | list[str] = "sample_id", index: str = "index", threshold: float = 0.5, chi: float = 0.9) -> DataFrame:
-    """The keys (a sample's, or a pixel's tile, row and col) and the date at which a change is confirmed, null if none."""
-    keys = [key] if isinstance(key, str) else list(key)
-    nested = df.where(F.col(probability).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(probability).alias("p")))).alias("s"))
+    """The keys (a sample's, or a pixel's tile, row and col) and the date at which a change is confirmed, null if none.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            out = []
-            for s in part["s"]:
-                state = ChangeState(threshold, chi)
-                out.append(next((at for r in s if (at := state.update(r["p"], r["i"])) is not None), None))
-            yield part[keys].assign(change=pd.Series(out, index=part.index, dtype=object))
-
-    fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return nested.mapInPandas(run, f"{fields}, change {df.schema[index].dataType.simpleString()}")
+    A date above the threshold begins a run, whose prior is the date before it. A run joins its dates' probabilities by
+    Bayes' rule until the change is confirmed, or refused, which leads to the next date as a beginning; the first run
+    that isn't refused decides. Runs are folds over a series' sorted array, in the JVM.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    kind = df.schema[index].dataType.simpleString()
+    s = df.where(F.col(probability).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(probability).cast("double").alias("p")))).alias("_s"))
+    refused = "(a.k > 1 and a.change < 0.5D)"
+    confirmed = f"(a.k > 0 and a.change >= {chi}D and a.p >= 0.5D)"
+    joined = "a.change * x.p / greatest(a.change * x.p + (1 - a.change) * (1 - x.p), 1e-15D)"
+    begin = f"named_struct('change', if(b.n > 1, _s[b.n - 2].p, 0.5D), 'k', 0, 'p', 0D, 'i', cast(null as {kind}))"
+    run = f"aggregate(slice(_s, b.n, size(_s)), {begin}, (a, x) -> if({refused} or {confirmed}, a, named_struct('change', {joined}, 'k', a.k + 1, 'p', x.p, 'i', x.i)))"
+    verdict = f"transform(array({run}), a -> named_struct('n', b.n + 1, 'done', not {refused}, 'at', if({confirmed}, a.i, cast(null as {kind}))))[0]"
+    skipped = "named_struct('n', b.n + 1, 'done', b.done, 'at', b.at)"
+    start = f"named_struct('n', 1, 'done', false, 'at', cast(null as {kind}))"
+    return s.select(*keys, F.expr(f"aggregate(_s, {start}, (b, y) -> if(b.done or y.p <= {threshold}D, {skipped}, {verdict})).at").alias("change"))
 
 
 def change_polygons(changes: DataFrame, gap: int = 1) -> DataFrame:

@@ -13,7 +13,7 @@ MIX, PRIME = 2654435761, 2147483647
 def draw(key: Column | str, seed: int = 0) -> Column:
     """A number below 2^31 - 1 for a whole-number key."""
     k = F.col(key) if isinstance(key, str) else key
-    return F.pmod((k.cast("long") + seed) * F.lit(MIX), F.lit(PRIME))
+    return F.pmod(F.pmod(k.cast("long") + seed, F.lit(PRIME)) * F.lit(MIX % PRIME), F.lit(PRIME))  # (k + seed) MIX, without overflow
 
 
 def ranked(df: DataFrame, key: str, label: str, seed: int = 0, bits: int = 12) -> DataFrame:

@@ -188,6 +188,19 @@ def split(df: DataFrame, dates: int, keys: list[str] = KEYS, index: str = "index
     return d.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "chunk"))).where(F.col("_n") == dates).drop("_n")
 
 
+def overlapping(df: DataFrame, keys: list[str], id: str, start: str = "start_date", end: str = "end_date", days: int = 64) -> DataFrame:
+    """keys, id1, id2: the pairs (id1 < id2) of a key's intervals that share a date.
+
+    Intervals meet by key and stretch of `days` days, so a hot key is dealt over its stretches; a pair counts in the
+    stretch that holds the later of both starts.
+    """
+    stretch = lambda c: F.floor(F.unix_date(F.col(c)) / days)
+    d = df.where(F.col(start) <= F.col(end)).select(*keys, F.col(id).alias("id1"), F.col(start).alias("a1"), F.col(end).alias("b1"), F.explode(F.sequence(stretch(start), stretch(end))).alias("_w"))
+    e = d.select(*keys, F.col("id1").alias("id2"), F.col("a1").alias("a2"), F.col("b1").alias("b2"), "_w")
+    j = d.join(e, [*keys, "_w"]).where((F.col("id1") < F.col("id2")) & (F.col("a1") <= F.col("b2")) & (F.col("a2") <= F.col("b1")))
+    return j.where(F.floor(F.unix_date(F.greatest("a1", "a2")) / days) == F.col("_w")).select(*keys, "id1", "id2")
+
+
 def align(df: DataFrame, reference: DataFrame, keys: list[str] = KEYS, index: str = "index") -> DataFrame:
     """Dates anew by place from a reference timeline of one column."""
     r = reference.select(F.col(index).alias("_to"), F.row_number().over(Window.orderBy(index)).alias("_i"))  # one timeline

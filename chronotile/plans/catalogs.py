@@ -242,7 +242,7 @@ def polygon_boxes(spark, d):
 def polygon_points(spark, d):
     from ..sources import sinks, vector
 
-    t = sinks.as_boxes(T.tiles(spark, d)).select(F.monotonically_increasing_id().alias("polygon_id"), "tile", "geometry")
+    t = sinks.as_boxes(T.tiles(spark, d)).select(F.substring("tile", 2, 9).cast("long").alias("polygon_id"), "tile", "geometry")
     return vector.sample_points(t, 10)
 
 

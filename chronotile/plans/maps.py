@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import learn, maps, sampling
 from ..operators import neighbourhood as N
 from . import tables as T
 from .registry import query
-from .samples import r6
+from .samples import change_sql, r6
 from .tables import PROBS, sql
 
 CHUNK = 16
@@ -97,10 +98,10 @@ def block_max(spark, d):
     return N.block_max(T.grid(spark, d), "value", 5).select("tile", "row", "col", "value")
 
 
-@query("window_neighbours", sql("grid") + " select g.tile, g.row, g.col, count(*) as n, sum(h.value) as total from grid g join grid h on g.tile = h.tile and abs(g.row - h.row) <= 1 and abs(g.col - h.col) <= 1 where g.pixel % 50 = 0 group by 1, 2, 3")
+@query("window_neighbours", sql("grid") + " select g.tile, g.row, g.col, count(*) as n, round(sum(h.value), 4) as total from grid g join grid h on g.tile = h.tile and abs(g.row - h.row) <= 1 and abs(g.col - h.col) <= 1 group by 1, 2, 3")
 def window_neighbours(spark, d):
     g = T.grid(spark, d)
-    x = N.neighbours(g.where("pixel % 50 = 0").select("tile", "row", "col"), g, 3, ["value"])
+    x = N.neighbours(g.select("tile", "row", "col"), g, 3, ["value"])
     return x.select("tile", "row", "col", F.size("neighbors").cast("long").alias("n"), F.aggregate("neighbors", F.lit(0.0), lambda a, v: a + v["value"]).alias("total")).withColumn("total", F.round("total", 4))
 
 
@@ -200,10 +201,29 @@ def segment_samples(spark, d):
     return learn.sample_segments(segments(spark, d), 15)
 
 
-@query("mixture")
+MEMBERS = {"soil": [0.8, 0.1, 0.2], "water": [0.1, 0.05, 0.9], "green": [0.4, 0.9, 0.3]}
+
+
+def _mixture_sql() -> str:
+    """The best of the least-squares fits on every subset of the members that has no negative fraction."""
+    m, names, fits = np.array(list(MEMBERS.values())), list(MEMBERS), []
+    for k in range(1, 1 << len(m)):
+        on = [i for i in range(len(m)) if k >> i & 1]
+        solve = np.zeros((len(m), m.shape[1]))
+        solve[on] = np.linalg.solve(m[on] @ m[on].T, m[on])
+        y = [" + ".join(f"({v!r}) * b{j + 1}" for j, v in enumerate(r.tolist())) for r in solve]
+        fits.append(f"select tile, row, col, b1, b2, b3, {', '.join(f'{e} as {n}' for e, n in zip(y, names, strict=True))} from g")
+    fits.append(f"select tile, row, col, b1, b2, b3, {', '.join(f'0.0 as {n}' for n in names)} from g")
+    error = " + ".join(f"pow({' + '.join(f'{n} * {MEMBERS[n][j]!r}' for n in names)} - b{j + 1}, 2)" for j in range(m.shape[1]))
+    total = " + ".join(names)
+    return f"""{sql("grid")}, g as (select tile, row, col, value / 2000 as b1, size / 50 as b2, class / 5 as b3 from grid), f as ({" union all ".join(fits)}), r as (select *, sqrt(({error}) / {m.shape[1]}) as rmse from f where {" and ".join(f"{n} >= 0" for n in names)}),
+ z as (select *, row_number() over (partition by tile, row, col order by rmse) as k from r) select tile, row, col, b1, b2, b3, {", ".join(f"round({n} / ({total}), 4) as {n}" for n in names)}, round(rmse, 4) as rmse from z where k = 1"""
+
+
+@query("mixture", _mixture_sql())
 def mixture(spark, d):
     g = T.grid(spark, d).select("tile", "row", "col", (F.col("value") / 2000).alias("b1"), (F.col("size") / 50).alias("b2"), (F.col("class") / 5).alias("b3"))
-    return r6(learn.mixture(g, ["b1", "b2", "b3"], {"soil": [0.8, 0.1, 0.2], "water": [0.1, 0.05, 0.9], "green": [0.4, 0.9, 0.3]}), "soil", "water", "green", "rmse")
+    return r6(learn.mixture(g, ["b1", "b2", "b3"], MEMBERS), *MEMBERS, "rmse", digits=4)
 
 
 @query("top_values", sql("grid") + windowed("s.value", 3) + ", k as (select tile, row, col, median(value) as value from n group by 1, 2, 3), m as (select *, row_number() over (partition by tile, row // 5, col // 5 order by value desc, row, col) as r from k), z as (select *, row_number() over (partition by tile order by value desc, row, col) as rank from m where r = 1) select tile, row, col, round(value, 4) as value, cast(rank as int) as rank from z where rank <= 4")
@@ -211,7 +231,7 @@ def top_values(spark, d):
     return r6(sampling.top_values(T.grid(spark, d), "value", 4), "value", digits=4)
 
 
-@query("change_map")
+@query("change_map", sql("grid").replace("with ", "with recursive ", 1) + ", p as (select tile, row, col, k as idx, cast(case when k > 2 + size % 5 then 0.9 else 0.2 end as double) as p from grid, range(1, 7) r(k)), " + change_sql("p", "tile, row, col"))
 def change_map(spark, d):
     """Each pixel's probability over six dates, by its value; the date at which a change is confirmed."""
     from ..operators import change

@@ -10,12 +10,12 @@ from .registry import query
 from .samples import r6
 from .tables import sql
 
-FEATURES = [f"x{i}" for i in range(8)]
+FEATURES = [f"x{i}" for i in range(64)]
 
 
 def features(spark, d):
-    """Vectors' first entries, with a class that they decide: the greatest of the first three."""
-    v = T.vectors(spark, d).select("sample_id", *(F.col("x")[i].alias(f"x{i}") for i in range(8)))
+    """Vectors' entries, with a class that they decide: the greatest of the first three."""
+    v = T.vectors(spark, d).select("sample_id", *(F.col("x")[i].alias(f) for i, f in enumerate(FEATURES)))
     top = F.greatest("x0", "x1", "x2")
     return v.withColumn("label", F.when(F.col("x0") == top, "A").when(F.col("x1") == top, "B").otherwise("C"))
 
@@ -106,7 +106,16 @@ def som_undersample(spark, d):
     return learn.som_undersample(som.map(x, FEATURES)).select("sample_id", "label", "neuron")
 
 
-@query("sample_distances")
+def _drawn(key: str, n: int, order: str, where: str) -> str:
+    return f"(select sample_id, x, y from p where {where} order by (({key}) * 2654435761 % 2147483647 + 2147483647) % 2147483647, {order} limit {n})"
+
+
+HAVERSINE = "2 * 6371.0088 * asin(sqrt(least(sin(radians(b.y - a.y) / 2) ** 2 + cos(radians(a.y)) * cos(radians(b.y)) * sin(radians(b.x - a.x) / 2) ** 2, 1.0)))"
+PLACE = "cast(cast(round(x * 10000) as bigint) * 1000003 + cast(round(y * 10000) as bigint) as hugeint)"
+DISTANCES = sql("points") + ", p as (select sample_id, round(longitude % 30, 6) as x, latitude as y from points), s as " + _drawn("sample_id", 200, "sample_id", "sample_id % 2 = 0") + ", q as " + _drawn(PLACE, 200, "x, y", "sample_id % 2 = 1") + ", h as (" + " union all ".join(f"select '{kind}' as type, a.sample_id, min({HAVERSINE}) as d from s a join {other} b on a.x <> b.x or a.y <> b.y group by 2" for kind, other in (("sample-to-sample", "s"), ("sample-to-prediction", "q"))) + ") select type, sample_id, round(d, 4) as distance from h"
+
+
+@query("sample_distances", DISTANCES)
 def sample_distances(spark, d):
     p = T.points(spark, d).select("sample_id", F.round(F.col("longitude") % 30, 6).alias("longitude"), "latitude")
     return r6(learn.sample_distances(p.where("sample_id % 2 = 0"), p.where("sample_id % 2 = 1"), 200), "distance", digits=4)
@@ -117,7 +126,7 @@ def _neural(name, make):
     def run(spark, d):
         from ..operators import neural
 
-        x = sampling.split(features(spark, d), 0.2).select("sample_id", "label", "train", F.array(*(F.array(F.col(f) * 5) for f in FEATURES)).alias("x"))
+        x = sampling.split(features(spark, d), 0.2).select("sample_id", "label", "train", F.array(*(F.array(*(F.col(f) * 5 for f in FEATURES[k : k + 8])) for k in range(0, 64, 8))).alias("x"))
         net = neural.train(x.where("train"), make(neural), epochs=40, rate=5e-3)
         p = neural.classify(net, x.where("not train").drop("train"))
         return p.select("sample_id", "label", "predicted", F.round(F.array_max("probs"), 3).alias("confidence"))

@@ -83,7 +83,18 @@ def filter_sgolay(spark, d):
     return r6(x.select("sample_id", "index", "QTY"), "QTY")
 
 
-@query("filter_whittaker")
+#: The smoother's system is symmetric with five diagonals: factors d, c, e and the forward solution z by date, then back.
+WHITTAKER = sql("series").replace("with ", "with recursive ", 1) + """, y as (select sample_id, idx, qty as y, row_number() over (partition by sample_id order by idx) as i, count(*) over (partition by sample_id) as n from series),
+ m as (select *, 1 + 0.5 * ((i <= n - 2)::int + 4 * (i between 2 and n - 1)::int + (i >= 3)::int) as a, -((i <= n - 2)::int + (i between 2 and n - 1)::int) * 1.0 as b, 0.5 * (i <= n - 2)::int as f from y),
+ fw as (select sample_id, idx, i, n, a::double as d, (b / a)::double as c, (f / a)::double as e, y::double as z, 0.0::double as d0, 0.0::double as c0, 0.0::double as e0, 0.0::double as z0 from m where i = 1
+  union all select m.sample_id, m.idx, m.i, m.n, dd, (m.b - p.d * p.c * p.e) / dd, m.f / dd, m.y - p.c * p.z - p.e0 * p.z0, p.d, p.c, p.e, p.z
+   from fw p join (select m.*, 0 as _ from m) m on m.sample_id = p.sample_id and m.i = p.i + 1, lateral (select m.a - p.d * p.c * p.c - p.d0 * p.e0 * p.e0 as dd) l),
+ bw as (select sample_id, idx, i, z / d as x, 0.0::double as x1 from fw where i = n
+  union all select f.sample_id, f.idx, f.i, f.z / f.d - f.c * q.x - f.e * q.x1, q.x from bw q join fw f on f.sample_id = q.sample_id and f.i = q.i - 1)
+ select sample_id, idx as index, round(x, 6) as QTY from bw"""
+
+
+@query("filter_whittaker", WHITTAKER)
 def filter_whittaker(spark, d):
     return r6(S.whittaker(T.series(spark, d), "QTY", 0.5), "QTY")
 
@@ -307,11 +318,13 @@ def valid_timeline(spark, d):
     return b.select("label", F.explode(D.valid_timeline(F.col("a"), F.col("z"), "P1Y")).alias("date"))
 
 
-@query("interval_overlap", """with s as (select l_orderkey as k, min(cast(l_shipdate as date)) as a, max(cast(l_shipdate as date)) as b from lineitem where l_orderkey < 400 group by 1) select x.k as k1, y.k as k2 from s x join s y on x.k < y.k and x.a <= y.b and y.a <= x.b""")
+@query("interval_overlap", """with s as (select o_custkey as c, l_orderkey as k, min(cast(l_shipdate as date)) as a, max(cast(l_shipdate as date)) as b from lineitem join orders on l_orderkey = o_orderkey group by 1, 2)
+ select x.c as c_custkey, x.k as id1, y.k as id2 from s x join s y on x.c = y.c and x.k < y.k and x.a <= y.b and y.a <= x.b""")
 def interval_overlap(spark, d):
-    s = T.read(spark, d, "lineitem").where("l_orderkey < 400").groupBy("l_orderkey").agg(F.min(F.to_date("l_shipdate")).alias("a"), F.max(F.to_date("l_shipdate")).alias("b"))
-    x, y = s.select(F.col("l_orderkey").alias("k1"), F.col("a").alias("a1"), F.col("b").alias("b1")), s.select(F.col("l_orderkey").alias("k2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-    return x.join(y, (F.col("k1") < F.col("k2")) & D.overlaps(F.col("a1"), F.col("b1"), F.col("a2"), F.col("b2"))).select("k1", "k2")
+    """Orders of a customer whose shipping overlaps."""
+    s = T.read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min(F.to_date("l_shipdate")).alias("a"), F.max(F.to_date("l_shipdate")).alias("b"))
+    s = s.join(T.read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return S.overlapping(s, ["c_custkey"], "l_orderkey", "a", "b")
 
 
 # ---- scalars over vectors -----------------------------------------------------------------------------------------
@@ -361,7 +374,32 @@ def non_forest(spark, d):
     return r6(T.series(spark, d).select("sample_id", "index", change.non_forest({"QTY": (200.0, 60.0, 140.0, 70.0)}).alias("p")), "p")
 
 
-@query("detect_changes")
+def change_sql(rows: str, keys: str) -> str:
+    """Runs of every start at once, date by date; rows: a relation of the keys, idx and p."""
+    join = " and ".join(f"st.{k} = a.{k}" for k in keys.split(", "))
+    last = " and ".join(f"b.{k} = a.{k}" for k in keys.split(", "))
+    own = lambda t: ", ".join(f"{t}.{k}" for k in keys.split(", "))
+    on = " and ".join(f"e.{k} = f.{k}" for k in keys.split(", "))
+    step = lambda c: f"{c} * a.p / greatest({c} * a.p + (1 - {c}) * (1 - a.p), 1e-15)"
+    return f"""a as (select {keys}, idx, p, row_number() over (partition by {keys} order by idx) as i from {rows} where p is not null),
+ st as (select {own("a")}, a.i as s, a.i as k, {step("coalesce(b.p, cast(0.5 as double))")} as change, a.p, a.idx from a left join a b on {last} and b.i = a.i - 1 where a.p > 0.5
+  union all select {own("st")}, st.s, a.i, {step("st.change")}, a.p, a.idx from st join a on {join} and a.i = st.k + 1 where not (st.k > st.s and st.change < 0.5) and not (st.change >= 0.9 and st.p >= 0.5)),
+ e as (select {keys}, s, arg_max(change, k) as change, arg_max(p, k) as p, arg_max(idx, k) as idx, max(k) as k from st group by {keys}, s),
+ f as (select {keys}, min(s) as s from e where not (k > s and change < 0.5) group by {keys}),
+ g as (select {own("e")}, case when e.change >= 0.9 and e.p >= 0.5 then e.idx end as change from e join f on {on} and e.s = f.s)
+ select {own("u")}, g.change from (select distinct {keys} from a) u left join g using ({keys})"""
+
+
+def _density(x: str, mean: float, sd: float) -> str:
+    return f"(exp(-0.5 * (({x} - {mean}) / {sd}) * (({x} - {mean}) / {sd})) / ({sd} * sqrt(2 * pi())))"
+
+
+def _held(x: str, fm: float, fs: float, nm: float, ns: float) -> str:
+    n, f = _density(x, nm, ns), _density(x, fm, fs)
+    return f"greatest(least(case when {n} < 0.00001 then 0.0 else {n} / ({n} + {f}) end, 0.9), 0.1)"
+
+
+@query("detect_changes", sql("series").replace("with ", "with recursive ", 1) + f", h as (select sample_id, idx, {_held('qty', 200.0, 60.0, 140.0, 70.0)} as q, {_held('price', 500000.0, 150000.0, 350000.0, 150000.0)} as r from series), p as (select sample_id, idx, r * q / (r * q + (1 - r) * (1 - q)) as p from h), " + change_sql("p", "sample_id"))
 def detect_changes(spark, d):
     p = T.series(spark, d).withColumn("p", change.non_forest({"QTY": (200.0, 60.0, 140.0, 70.0), "PRICE": (500000.0, 150000.0, 350000.0, 150000.0)}))
     return change.detect_changes(p, "p")
@@ -369,16 +407,37 @@ def detect_changes(spark, d):
 
 def _dtw(spark, d):
     nested = S.nest(S.select(T.series(spark, d), start="1996-01-01", end="1996-12-31"), ["QTY"])
-    shapes = {"rise": np.linspace(50, 250, 6)[:, None], "fall": np.linspace(250, 50, 6)[:, None]}
-    return change.dtw_distances(nested, shapes, ["QTY"], window=6)
+    return change.dtw_distances(nested, SHAPES, ["QTY"], window=6)
+
+
+def _warped(y: list[float]) -> str:
+    """Columns g_i_j of the cells of six dates w1 .. w6 against a pattern, row after row."""
+    cells = []
+    for i in range(6):
+        for j in range(6):
+            d = f"abs(w{i + 1} - {y[j]!r})"
+            if i == j == 0:
+                e = d
+            elif j == 0:
+                e = f"g_{i - 1}_0 + {d}"
+            elif i == 0:
+                e = f"g_0_{j - 1} + {d}"
+            else:
+                e = f"least(g_{i - 1}_{j - 1} + 2 * {d}, g_{i - 1}_{j} + {d}, g_{i}_{j - 1} + {d})"
+            cells.append(f"{e} as g_{i}_{j}")
+    return ", ".join(cells)
+
+
+SHAPES = {"rise": np.linspace(50, 250, 6), "fall": np.linspace(250, 50, 6)}
+DTW = sql("series") + ", y as (select sample_id, qty, row_number() over (partition by sample_id order by idx) as i from series where idx between date '1996-01-01' and date '1996-12-31'), w as (select " + "w1.sample_id, cast(w1.i - 1 as int) as win, " + ", ".join(f"w{k}.qty as w{k}" for k in range(1, 7)) + " from y w1 " + " ".join(f"join y w{k} on w{k}.sample_id = w1.sample_id and w{k}.i = w1.i + {k - 1}" for k in range(2, 7)) + "), z as (" + " union all ".join(f"select sample_id, '{name}' as label, win as \"window\", {_warped(y.tolist())} from w" for name, y in SHAPES.items()) + "), dist as (select sample_id, label, \"window\", g_5_5 as distance from z)"
 
 
-@query("dtw_distances")
+@query("dtw_distances", DTW + " select sample_id, label, \"window\", round(distance, 6) as distance from dist")
 def dtw_distances(spark, d):
     return r6(_dtw(spark, d), "distance")
 
 
-@query("dtw_detect")
+@query("dtw_detect", DTW + ", m as (select *, row_number() over (partition by sample_id, label order by distance desc, \"window\") as r from dist where distance >= 500), u as (select distinct sample_id, label from dist) select u.sample_id, u.label, m.\"window\", round(m.distance, 6) as distance from u left join m on m.sample_id = u.sample_id and m.label = u.label and m.r = 1")
 def dtw_detect(spark, d):
     return r6(change.dtw_detect(_dtw(spark, d), 500.0), "distance")
 
