@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,6 +26,57 @@ def overall(table: DataFrame) -> DataFrame:
     return d.select("accuracy", F.try_divide(F.col("accuracy") - F.col("pe"), 1 - F.col("pe")).alias("kappa"))
 
 
+def _beta_cdf(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_cdf(1 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    # Numerators alternate; the fraction 1 + d1 / (1 + d2 / (1 + ...)) is worked out from its end.
+    terms = 200 + int(5 * math.sqrt(max(a, b)))
+    value = 1.0
+    for k in range(terms, 0, -1):
+        m = k // 2
+        d = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if k % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        value = 1 + d / value
+    return front / value
+
+
+def binomial_interval(hits: int, n: int, level: float = 0.95) -> tuple[float, float]:
+    """The exact interval of a share, from the beta law's quantiles."""
+    tail = (1 - level) / 2
+
+    def quantile(q: float, a: float, b: float) -> float:
+        low, high = 0.0, 1.0
+        for _ in range(60):
+            middle = (low + high) / 2
+            low, high = (middle, high) if _beta_cdf(middle, a, b) < q else (low, middle)
+        return (low + high) / 2
+
+    return (quantile(tail, hits, n - hits + 1) if hits else 0.0), (quantile(1 - tail, hits + 1, n - hits) if hits < n else 1.0)
+
+
+def overall_interval(table: DataFrame, level: float = 0.95) -> DataFrame:
+    """overall's row with lower and upper bound of the accuracy, and no_information, the greatest reference label's share."""
+    n = table.agg(F.sum("n").cast("long").alias("_n"), F.sum(F.when(F.col("predicted") == F.col("reference"), F.col("n")).otherwise(0)).cast("long").alias("_hit"))
+    most = table.groupBy("reference").agg(F.sum("n").alias("_m")).agg(F.max("_m").alias("_m"))
+    d = overall(table).crossJoin(n).crossJoin(most)  # one row each
+
+    @F.udf("struct<lower: double, upper: double>")
+    def interval(hits, total):
+        return binomial_interval(hits, total, level) if total else None
+
+    d = d.withColumn("_i", interval("_hit", "_n"))  # of one row
+    return d.select("accuracy", "kappa", F.col("_i.lower").alias("lower"), F.col("_i.upper").alias("upper"), (F.col("_m") / F.col("_n")).alias("no_information"))
+
+
+def segment_confusion(segments: DataFrame, points: DataFrame, segment: str = "pol_id", label: str = "label", reference: str = "reference") -> DataFrame:
+    """Confusion of labelled segments: each segment counts once for each reference label that points within it have."""
+    seen = points.where(F.col(reference).isNotNull()).select("tile", segment, reference).distinct()
+    return confusion(segments.select("tile", segment, F.col(label).alias("predicted")).join(seen, ["tile", segment]), "predicted", reference)
+
+
 def by_class(table: DataFrame) -> DataFrame:
     """Sensitivity, specificity, predictive values and F1 of each label."""
     rows = table.groupBy(F.col("predicted").alias("label")).agg(F.sum("n").alias("pred"), F.sum(F.when(F.col("predicted") == F.col("reference"), F.col("n")).otherwise(0)).alias("hit"))

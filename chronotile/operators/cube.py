@@ -259,7 +259,7 @@ def retile_pixels(pixels: DataFrame, tiles: DataFrame, grid: DataFrame) -> DataF
     c0, c1, r0, r1 = F.greatest(c0, F.lit(0)), F.least(c1, ncol - 1).cast("long"), F.greatest(r0, F.lit(0)), F.least(r1, nrow - 1).cast("long")
     span = lambda a, b: F.when(a <= b, F.sequence(a.cast("long"), b)).otherwise(F.array().cast("array<bigint>"))
     d = d.select(F.col("t_tile").alias("to"), "band", "date", F.col("s_tile").alias("from"), "value", span(r0, r1).alias("rs"), span(c0, c1).alias("cs"))
-    d = d.select("to", "band", "date", "from", "value", F.explode("rs").cast("int").alias("row"), "cs").select("to", "band", "date", "from", "value", "row", F.explode("cs").cast("int").alias("col"))
+    d = d.withColumn("row", F.explode("rs")).withColumn("col", F.explode("cs")).withColumns({"row": F.col("row").cast("int"), "col": F.col("col").cast("int")})
     best = d.groupBy("to", "band", "date", "row", "col").agg(F.min(F.struct("from", "value")).alias("_m"))
     return best.select(F.col("to").alias("tile"), "band", "date", "row", "col", F.col("_m.value").alias("value"))
 

@@ -159,6 +159,22 @@ class Network:
         return softmax(self.forward(x)).data
 
 
+class Perceptron(Network):
+    """Dense layers, each rectified and with its own dropout, over all dates and bands at once."""
+
+    def __init__(self, labels: list[str], layers: tuple[int, ...] = (512, 512, 512), dropout: tuple[float, ...] = (0.2, 0.3, 0.4), seed: int = 1):
+        if len(layers) != len(dropout):
+            raise ValueError("each layer needs its dropout")
+        super().__init__(seed)
+        self.labels, self.layers, self.rates = labels, layers, dropout
+
+    def forward(self, x: np.ndarray) -> Value:
+        v = Value(x.reshape(len(x), -1))
+        for k, (units, rate) in enumerate(zip(self.layers, self.rates, strict=True)):
+            v = self.drop(relu(self.dense(v, f"d{k}", units)), rate)
+        return self.dense(v, "out", len(self.labels))
+
+
 class TempCNN(Network):
     """Three convolutions over time, each with normalisation and dropout, then a dense layer."""
 

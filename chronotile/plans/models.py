@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import accuracy, learn, sampling
+from ..operators import accuracy, boosting, learn, machines, sampling
 from . import tables as T
 from .registry import query
 from .samples import r6
@@ -35,12 +35,37 @@ def _register(name, method):
 
 _register("random_forest", lambda: learn.random_forest(FEATURES, trees=20, depth=6))
 _register("svm", lambda: learn.svm(FEATURES, iterations=20))
-_register("radial_svm", lambda: learn.svm(FEATURES, iterations=10, radial=True, components=32))
-_register("boosted", lambda: learn.boosted(FEATURES, rounds=3, depth=3))
+_register("one_against_rest", lambda: learn.boosted(FEATURES, rounds=3, depth=3))
 _register("perceptron", lambda: learn.perceptron(FEATURES, 3, layers=(16,), iterations=40))
 _register("logistic", lambda: learn.logistic(FEATURES, iterations=40))
 
 
+def _own(name, train, classify):
+    @query(f"classify_{name}")
+    def run(spark, d):
+        x = sampling.split(features(spark, d), 0.2)
+        p = classify(train(x.where("train").drop("train")), x.where("not train").drop("train"))
+        return p.select("sample_id", "label", "predicted", F.round(F.array_max("probs"), 4).alias("confidence"))
+
+
+_own("radial_svm", lambda x: machines.train(x, FEATURES), machines.classify)
+_own("boosted", lambda x: boosting.train(x, FEATURES, rounds=6, depth=3, rate=0.3), boosting.classify)
+
+
+@query("classify_map")
+def classify_map(spark, d):
+    """From pixels of two bands and three dates, over predictors, to probabilities and labels by tile."""
+    g = T.grid(spark, d)
+    dates = ["2020-01-01", "2020-02-01", "2020-03-01"]
+    each = F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.lit(x).cast("date").alias("date"), v.alias("value")) for k, x in enumerate(dates) for b, v in (("B1", F.col("value") / 1000 + F.col("class") * k), ("B2", F.col("size") - 2 * k)))))
+    pixels = g.select("tile", "row", "col", each.alias("_e")).select("tile", "row", "col", "_e.*")
+    wide, names = learn.pixel_features(pixels, ["B1", "B2"], dates)
+    samples = wide.join(g.where("pixel % 3 = 0").select("tile", "row", "col", F.concat(F.lit("C"), F.col("class").cast("string")).alias("label")), ["tile", "row", "col"])
+    model = learn.train(samples, learn.random_forest(names, trees=10, depth=5))
+    out = learn.classify_pixels(pixels, ["B1", "B2"], dates, lambda x: learn.classify(model, x), learn.labels_of(model))
+    return out.select("tile", "row", "col", "class", "label", F.round("C1", 4).alias("C1"))
+
+
 @query("validate")
 def validate(spark, d):
     return r6(accuracy.overall(learn.validate(features(spark, d), learn.logistic(FEATURES, iterations=30))), "accuracy", "kappa")
@@ -132,6 +157,7 @@ def _neural(name, make):
         return p.select("sample_id", "label", "predicted", F.round(F.array_max("probs"), 3).alias("confidence"))
 
 
+_neural("rectified_perceptron", lambda n: lambda labels: n.Perceptron(labels, (64, 64), (0.2, 0.3)))
 _neural("temporal_convolution", lambda n: lambda labels: n.TempCNN(labels, filters=16, kernel=3, dense=32))
 _neural("residual_network", lambda n: lambda labels: n.ResNet(labels, blocks=(16, 16)))
 _neural("temporal_attention", lambda n: lambda labels: n.Attention(labels, range(0, 128, 16), width=32, heads=4, keys=8))

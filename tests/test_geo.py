@@ -116,14 +116,6 @@ def test_workbook(spark, tmp_path):
         sinks.accuracy_to_workbook({"t": t}, str(tmp_path / "y.xlsx"), max_rows=1)
 
 
-def test_radial_machines_see_rings(spark):
-    g = np.random.default_rng(2)
-    xy = g.normal(0, 1, (300, 2))
-    d = spark.createDataFrame([(k, float(a), float(b), "in" if a * a + b * b < 1 else "out") for k, (a, b) in enumerate(xy)], "sample_id long, a double, b double, label string")
-    hit = lambda m: learn.classify(learn.train(d, m), d).where("label = predicted").count() / 300
-    assert hit(learn.svm(["a", "b"], iterations=15, radial=True, components=48, gamma=1.0)) > 0.9 > hit(learn.svm(["a", "b"], iterations=15))
-
-
 def test_online_map(spark):
     d = spark.createDataFrame([(k, float(k % 2 * 10 + k / 100)) for k in range(60)], "sample_id long, v double")
     m = learn.Som.online(d, ["v"], 2, 2, 20).map(d, ["v"])
