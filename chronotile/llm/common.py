@@ -107,6 +107,12 @@ def sized(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -
     return F.broadcast(df) if n <= limit else df
 
 
+def in_few(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
+    """A table of about so many rows, in as many tasks as that takes: what follows a shuffle is short without a task for each
+    of its partitions."""
+    return df.coalesce(1 + rows // each)
+
+
 def looked_up(big: DataFrame, small: DataFrame, left: str, right: str, rows: int | None = None, salts: int = 32) -> DataFrame:
     """Inner join of big.left with the distinct keys small.right, some of which may be hot.
 

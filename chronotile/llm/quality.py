@@ -24,7 +24,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, text_or_empty, words_of, written
+from .common import in_few, sized, text_or_empty, words_of, written
 
 #: Dimensions of the vector: mean word length, symbols a word, upper-case share, exclamation and bar marks a word,
 #: repeated lines' share, repeated words' share; and the least standard deviation that each is given. The floors keep
@@ -171,10 +171,10 @@ def estimate(fit: DataFrame, share: float, subsets: int, subset_rows: int, most_
     factor = share / (NormalDist().cdf(((q_share / (p + 2)) ** (1 / 3) - (1 - 2 / (9 * (p + 2)))) / sqrt(2 / (9 * (p + 2)))))
 
     def step(est: DataFrame) -> DataFrame:
-        near = fit.join(sized(est), "_k").select(*KEY, *xs, _log_distance(xs).alias("_d"))
-        cut = near.groupBy(*KEY).agg(F.percentile("_d", share).alias("_c"))
+        near = fit.join(sized(est, starts), "_k").select(*KEY, *xs, _log_distance(xs).alias("_d"))
+        cut = in_few(near.groupBy(*KEY).agg(F.percentile("_d", share).alias("_c")), starts, 2000)
         inside = near.join(sized(cut, starts), list(KEY)).where("_d <= _c")
-        return written(_whiten(_moments(inside, xs), xs, factor), "quality-step")
+        return written(in_few(_whiten(_moments(inside, xs), xs, factor), starts, 2000), "quality-step")
 
     est = written(_whiten(_starts(fit, xs, subsets, subset_rows), xs, 1.0), "quality-start")
     starts = est.count()
@@ -182,13 +182,13 @@ def estimate(fit: DataFrame, share: float, subsets: int, subset_rows: int, most_
         est = step(est)
     rank = est.groupBy("_k").agg(F.slice(F.array_sort(F.collect_list(F.struct("logdet", "_s"))), 1, 2).alias("_best"))  # of 2 + subsets starts
     best = rank.select("_k", F.explode("_best._s").alias("_s"))
-    est = written(est.join(sized(best, starts), list(KEY)), "quality-step")
+    est = written(in_few(est.join(sized(best, starts), list(KEY)), starts, 2000), "quality-step")
     for _ in range(most_steps - 2):
         before, est = est.select(*KEY, F.col("logdet").alias("_was")), step(est)
         if (est.join(before, list(KEY)).agg(F.max(F.abs(F.col("logdet") - F.col("_was")))).first()[0] or 0.0) < settled:
             break
     least = est.groupBy("_k").agg(F.min(F.struct("logdet", "_s")).alias("_least")).select("_k", F.col("_least._s").alias("_s"))
-    return written(est.join(sized(least, starts), list(KEY)).drop("_s"), "quality-least")
+    return written(in_few(est.join(sized(least, starts), list(KEY)).drop("_s"), starts, 2000), "quality-least")
 
 
 def judge(stats: DataFrame, min_rows: int = 100, share: float = 0.75, subsets: int = 3, subset_rows: int = 40, most_steps: int = 20, settled: float = 1e-3, tail: float = 1e-4) -> DataFrame:
@@ -205,7 +205,7 @@ def judge(stats: DataFrame, min_rows: int = 100, share: float = 0.75, subsets: i
     est = estimate(fit, share, subsets, subset_rows, most_steps, settled)
     groups = est.count()
     scale = fit.join(sized(est, groups), "_k").select("_k", _log_distance(xs).alias("_d")).groupBy("_k").agg(F.exp(F.percentile("_d", 0.5)).alias("_med"))
-    final = written(est.join(scale, "_k"), "quality-final")
+    final = written(in_few(est.join(sized(scale, groups), "_k"), groups, 2000), "quality-final")
     out = d.join(sized(final, groups), "_k", "left").withColumn("distance2", _distance(xs) * chi2_quantile(p, 0.5) / F.greatest(F.col("_med"), F.lit(chi2_quantile(p, 0.5))))
     cutoff = chi2_quantile(p, 1 - tail)
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= cutoff, F.lit(True)))
