@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, partitions, sized, tidy, written
+from .common import discard, in_few, partitions, sized, tidy, written
 
 WORDS = 5
 #: Least similarity as a whole percentage.
@@ -212,18 +212,21 @@ def components(edges: DataFrame) -> DataFrame:
     left; the number of rounds grows with the logarithm of the longest chain.
     """
     e = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "component-edges")
-    labels = written(e.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("root", F.col("id")), "component-labels")
-    while (left := e.count()) > 0:
+    left = rows = e.count()
+    labels = written(in_few(e.select(F.explode(F.array("a", "b")).alias("id")).distinct(), 2 * rows).withColumn("root", F.col("id")), "component-labels")
+    while left > 0:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("x"), F.least("a", "b").alias("y")), "component-pointers")
+        to = written(in_few(both.groupBy("a").agg(F.min("b").alias("b")), 2 * left).select(F.col("a").alias("x"), F.least("a", "b").alias("y")), "component-pointers")
+        n = to.count()
         for _ in range(3 if left > 1 else 0):
             nxt = to.select(F.col("x").alias("_x"), F.col("y").alias("_y"))
-            to = written(to.join(sized(nxt), F.col("y") == F.col("_x"), "left").select("x", F.coalesce("_y", "y").alias("y")), "component-pointers")
-        p = sized(to)
-        labels = written(labels.join(p, F.col("root") == F.col("x"), "left").select("id", F.coalesce("y", "root").alias("root")), "component-labels")
+            to = written(in_few(to.join(sized(nxt, n), F.col("y") == F.col("_x"), "left").select("x", F.coalesce("_y", "y").alias("y")), n), "component-pointers")
+        p = sized(to, n)
+        labels = written(in_few(labels.join(p, F.col("root") == F.col("x"), "left").select("id", F.coalesce("y", "root").alias("root")), 2 * rows), "component-labels")
         e = e.join(p, F.col("a") == F.col("x")).select(F.col("y").alias("a"), "b")
         e = e.join(p, F.col("b") == F.col("x")).select("a", F.col("y").alias("b"))
-        e = written(e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "component-edges")
+        e = written(in_few(e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), left), "component-edges")
+        left = e.count()
     return labels
 
 
