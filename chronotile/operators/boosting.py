@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import discard, written
 from . import sampling
 
 
@@ -86,7 +87,7 @@ def train(
             y = [labels.index(v) for v in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(y, pa.int32()), b.column(2), pa.array([r.tobytes() for r in model.binned(x)], pa.binary())], names=["k", "y", "train", "bins"])
 
-    rows = d.select("_key", "_label", "train", *features).mapInArrow(prepare, "k long, y int, train boolean, bins binary").persist()
+    rows = written(d.select("_key", "_label", "train", *features).mapInArrow(prepare, "k long, y int, train boolean, bins binary"), "boosting-rows")
     best, waited, keep = np.inf, 0, 0
     try:
         for t in range(rounds):
@@ -108,7 +109,7 @@ def train(
         if waited >= patience:
             model.rounds = model.rounds[:keep]
     finally:
-        rows.unpersist()
+        discard(rows)
     model.depth = depth
     return model
 

@@ -121,3 +121,22 @@ def test_online_map(spark):
     m = learn.Som.online(d, ["v"], 2, 2, 20).map(d, ["v"])
     assert m.groupBy(F.col("sample_id") % 2).agg(F.collect_set("neuron").alias("n")).select(F.size("n")).count() == 2
     assert m.agg(F.max("distance")).first()[0] < 2
+
+
+def test_conic_and_azimuthal_projections(spark):
+    """Worked examples of the literature, and the way back."""
+    clarke = {"radius": 6378206.4, "flattening": 1 - (1 - 0.00676866) ** 0.5}
+    cases = [
+        (geo.Albers(23, -96, 29.5, 45.5, **clarke), -75.0, 35.0, 1885472.7, 1535925.0),
+        (geo.Conformal(23, -96, 33, 45, **clarke), -75.0, 35.0, 1894410.9, 1564649.5),
+        (geo.Azimuthal(52, 10, 4321000, 3210000, 6378137.0, 1 / 298.257222101), 5.0, 50.0, 3962799.45, 2999718.85),
+        (geo.Azimuthal(52, 10, 4321000, 3210000), 10.0, 52.0, 4321000, 3210000),
+        (geo.Albers(-12, -54, -2, -22, 5e6, 1e7), -60.0, -5.0, None, None),
+    ]
+    d = spark.range(1)
+    for p, lon, lat, x, y in cases:
+        got = d.select(*(c.alias(n) for c, n in zip(p.to(F.lit(lon), F.lit(lat)), "xy", strict=True)))
+        back = got.select("*", *(c.alias(n) for c, n in zip(p.back(F.col("x"), F.col("y")), ("lon", "lat"), strict=True))).first()
+        if x is not None:
+            assert (back.x, back.y) == pytest.approx((x, y), abs=0.1)
+        assert (back.lon, back.lat) == pytest.approx((lon, lat), abs=1e-6)

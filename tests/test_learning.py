@@ -182,3 +182,15 @@ def test_segments_count_once(spark):
     segments = spark.createDataFrame([("t", 1, "a"), ("t", 2, "b"), ("t", 3, "b")], "tile string, pol_id long, label string")
     points = spark.createDataFrame([("t", 1, "a"), ("t", 1, "a"), ("t", 2, "a"), ("t", 2, "b"), ("t", 9, "b")], "tile string, pol_id long, reference string")
     assert {tuple(r) for r in accuracy.segment_confusion(segments, points).collect()} == {("a", "a", 1), ("b", "a", 1), ("b", "b", 1)}
+
+
+def test_splines_follow_a_season(spark):
+    """Cross-validation smooths noise away, and keeps a season; a straight line stays one."""
+    g = np.random.default_rng(4)
+    days = [date(2020, 1, 1) + timedelta(days=8 * i) for i in range(46)]
+    season = [float(np.sin(2 * np.pi * i / 46)) for i in range(46)]
+    rows = [("wave", d, s + float(g.normal(0, 0.3))) for _ in range(30) for d, s in zip(days, season, strict=True)]
+    rows += [("line", d, 2.0 + 0.1 * i) for i, d in enumerate(days)]
+    out = learn.smooth_patterns(spark.createDataFrame(rows, "label string, index date, v double"), ["v"], 8).toPandas()
+    wave, line = (out[out.label == x].sort_values("index").v.to_numpy() for x in ("wave", "line"))
+    assert np.abs(wave - season).max() < 0.12 and np.allclose(line, 2 + 0.1 * np.arange(46), atol=1e-6)
