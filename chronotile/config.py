@@ -56,3 +56,17 @@ def colors_set(colors: dict[str, str]) -> None:
 
 def colors_reset() -> None:
     (_settings or load())["colors"] = {}
+
+
+def _flag(name: str) -> bool:
+    return os.environ.get(name, "").strip().lower() in ("1", "yes", "true", "on")
+
+
+def run_tests() -> bool:
+    """Whether the environment asks for tests that need a network or much time."""
+    return _flag("CHRONOTILE_RUN_TESTS")
+
+
+def run_examples() -> bool:
+    """Whether the environment asks for examples that need a network or much time."""
+    return _flag("CHRONOTILE_RUN_EXAMPLES")

@@ -264,6 +264,13 @@ def retile_pixels(pixels: DataFrame, tiles: DataFrame, grid: DataFrame) -> DataF
     return best.select(F.col("to").alias("tile"), "band", "date", "row", "col", F.col("_m.value").alias("value"))
 
 
+def regularize_to_grid(pixels: DataFrame, tiles: DataFrame, grid: DataFrame, period: str | None = None, origin=None) -> DataFrame:
+    """Regular pixels on another grid's tiles: radar, rainfall and other gridded series by period, the last image of each;
+    without a period, as for elevation, the pixels as they are, on the grid alone."""
+    moved = retile_pixels(pixels, tiles, grid)
+    return moved if period is None else regularize_last(moved, period, origin, ["tile", "band", "row", "col"])
+
+
 def chunks(tiles: DataFrame, size: int, overlap: int = 0) -> DataFrame:
     """Blocks of each tile (nrows, ncols) with their halo: row, col, nrows, ncols of what is read and of what is owned."""
     d = tiles.withColumn("_r", F.explode(F.sequence(F.lit(0), F.col("nrows") - 1, F.lit(size)))).withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("ncols") - 1, F.lit(size))))

@@ -147,6 +147,17 @@ def pixels(spark, d):
     return T.grid(spark, d).select("tile", F.lit("B1").alias("band"), F.lit("2020-01-01").cast("date").alias("date"), "row", "col", "value")
 
 
+@query("regularize_grid", sql("grid") + """, k as (select cast(max(p_partkey) // 400 * 20 + 20 as double) as x from part), g as (select 'G' || cast(k as varchar) as tile, k * 30.0 as x0 from range(0, 400) r(k), k as e where k * 30.0 < e.x),
+ c as (select g.tile, r.r as row, q.q as col, x0 + (q.q + 0.5) * 2 as x, 20 - (r.r + 0.5) * 2 as y from g, range(0, 10) r(r), range(0, 15) q(q))
+ select c.tile, 'B1' as band, cast(c.row as int) as row, cast(c.col as int) as col, date '2020-01-01' as period, value from c join grid s on s.tile = 'T' || cast(cast(floor(x / 20) as int) as varchar) and s.col = floor(x - floor(x / 20) * 20) and s.row = floor(20 - y)""")
+def regularize_grid(spark, d):
+    """Pixels of tiles 20 wide on tiles 30 wide, of cells twice as large."""
+    t = T.grid_tiles(spark, d)
+    most = t.agg(F.max("xmax")).first()[0] or 0
+    g = spark.range(int(-(-most // 30))).select(F.concat(F.lit("G"), F.col("id").cast("string")).alias("tile"), (F.col("id") * 30.0).alias("xmin"), F.lit(0.0).alias("ymin"), (F.col("id") * 30.0 + 30).alias("xmax"), F.lit(20.0).alias("ymax"), F.lit(2.0).alias("xres"), F.lit(2.0).alias("yres"))
+    return C.regularize_to_grid(pixels(spark, d), t, g, "P1M", "2020-01-01")
+
+
 @query("mosaic", sql("grid", "grid_tiles") + " select 'MOSAIC' as tile, 'B1' as band, date '2020-01-01' as date, row, cast(col + xmin as int) as col, value from grid join grid_tiles using (tile)")
 def mosaic(spark, d):
     return C.mosaic(pixels(spark, d), T.grid_tiles(spark, d)).withColumns({"row": F.col("row").cast("int"), "col": F.col("col").cast("int")})

@@ -123,3 +123,58 @@ def style(labels: dict[int, str], chosen: dict[str, str] | None = None) -> str:
 def write_style(path: str, labels: dict[int, str], chosen: dict[str, str] | None = None) -> None:
     with open(path, "w", encoding="utf-8") as f:
         f.write(style(labels, chosen))
+
+
+def plot_series(df: DataFrame, path: str, bands: list[str], label: str = "label", index: str = "index", max_points: int = 20_000) -> None:
+    """A picture (SVG) with a panel for each label and band: the median of the series by date, and its quartiles.
+
+    Dates times labels are drawn, whatever the number of samples; more than max_points are an error.
+    """
+    from ..operators.quantiles import quantiles
+
+    panels = []
+    for b in bands:
+        rows = quantiles(df, b, [0.25, 0.5, 0.75], [label, index]).limit(max_points + 1).collect()
+        if len(rows) > max_points:
+            raise ValueError(f"a picture takes at most {max_points} points")
+        by: dict[str, list] = {}
+        for r in sorted(rows, key=lambda r: (str(r[label]), r[index])):
+            by.setdefault(str(r[label]), []).append((r[index].toordinal(), r["q"]))
+        panels += [(f"{name}: {b}", points) for name, points in by.items()]
+    out = []
+    for k, (title, points) in enumerate(panels):
+        x0, y0 = k % 3 * 260 + 10, k // 3 * 170 + 24
+        days, values = [p[0] for p in points], [v for p in points for v in p[1]]
+        dx, low, dy = max(days[-1] - days[0], 1), min(values), max(max(values) - min(values), 1e-12)
+        line = lambda i: " ".join(f"{x0 + 240 * (d - days[0]) / dx:.1f},{y0 + 130 - 130 * (q[i] - low) / dy:.1f}" for d, q in points)  # noqa: E731,B023
+        out.append(f'<text x="{x0}" y="{y0 - 6}">{escape(title)}</text><rect x="{x0}" y="{y0}" width="240" height="130" class="frame"/>')
+        out += [f'<polyline points="{line(i)}" class="{c}"/>' for i, c in ((0, "quartile"), (2, "quartile"), (1, "median"))]
+    look = "text{font:11px sans-serif}.frame{fill:none;stroke:#999}.quartile{fill:none;stroke:#1b9e77;stroke-dasharray:4 3}.median{fill:none;stroke:#d95f02}"
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(f'<svg xmlns="http://www.w3.org/2000/svg" width="790" height="{(len(panels) + 2) // 3 * 170 + 20}"><style>{look}</style>{"".join(out)}</svg>\n')
+
+
+def view(path: str, tiles: DataFrame | None = None, points: DataFrame | None = None, chosen: dict[str, str] | None = None, max_shapes: int = 50_000) -> None:
+    """A page with a map of tiles (tile, xmin ..) and of points (longitude, latitude, label), and a legend.
+
+    What is shown is bounded; more than max_shapes are an error.
+    """
+    boxes = tiles.select("tile", "xmin", "ymin", "xmax", "ymax").limit(max_shapes + 1).collect() if tiles is not None else []
+    places = points.select("longitude", "latitude", "label").limit(max_shapes + 1).collect() if points is not None else []
+    if len(boxes) + len(places) > max_shapes:
+        raise ValueError(f"a map takes at most {max_shapes} shapes")
+    xs = [v for b in boxes for v in (b["xmin"], b["xmax"])] + [p["longitude"] for p in places] or [0.0]
+    ys = [v for b in boxes for v in (b["ymin"], b["ymax"])] + [p["latitude"] for p in places] or [0.0]
+    scale = 760 / max(max(xs) - min(xs), max(ys) - min(ys), 1e-9)
+    at = lambda x, y: (20 + (x - min(xs)) * scale, 20 + (max(ys) - y) * scale)
+    c = colors(sorted({str(p["label"]) for p in places}), chosen)
+    out = []
+    for b in boxes:
+        (x, y), (x1, y1) = at(b["xmin"], b["ymax"]), at(b["xmax"], b["ymin"])
+        out.append(f'<rect x="{x:.2f}" y="{y:.2f}" width="{x1 - x:.2f}" height="{y1 - y:.2f}" class="tile"><title>{escape(str(b["tile"]))}</title></rect>')
+    for p in places:
+        x, y = at(p["longitude"], p["latitude"])
+        out.append(f'<circle cx="{x:.2f}" cy="{y:.2f}" r="3" fill={quoteattr(c[str(p["label"])])}><title>{escape(str(p["label"]))}</title></circle>')
+    legend = "".join(f"<li><span style={quoteattr(f'color:{v}')}>&#9679;</span> {escape(n)}</li>" for n, v in c.items())
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(f'<!DOCTYPE html><meta charset="utf-8"><style>.tile{{fill:none;stroke:#333}}li{{list-style:none;font:13px sans-serif}}</style><svg width="800" height="{(max(ys) - min(ys)) * scale + 40:.0f}">{"".join(out)}</svg><ul>{legend}</ul>\n')

@@ -91,3 +91,32 @@ def test_queries_equal_their_sql(spark, small, name):
     assert sorted(got.columns) == columns
     got = sorted(str([x if not isinstance(x, float) else round(x, 6) for x in r]) for r in got.select(*columns).collect())
     assert got == want
+
+
+def test_pictures(spark, tmp_path):
+    from datetime import date
+    from xml.etree import ElementTree
+
+    rows = [(label, date(2020, m, 1), float(m * k)) for label in ("a<b", "c") for m in range(1, 7) for k in range(5)]
+    d = spark.createDataFrame(rows, "label string, index date, v double")
+    sinks.plot_series(d, str(tmp_path / "x.svg"), ["v"])
+    tree = ElementTree.parse(tmp_path / "x.svg").getroot()
+    lines = [e for e in tree.iter() if e.tag.endswith("polyline")]
+    assert len(lines) == 6 and all(len(e.attrib["points"].split()) == 6 for e in lines)
+    with pytest.raises(ValueError):
+        sinks.plot_series(d, str(tmp_path / "y.svg"), ["v"], max_points=3)
+    tiles = spark.createDataFrame([("t&1", 0.0, 0.0, 1.0, 2.0)], "tile string, xmin double, ymin double, xmax double, ymax double")
+    points = spark.createDataFrame([(0.5, 1.0, "wood"), (0.2, 1.5, None)], "longitude double, latitude double, label string")
+    sinks.view(str(tmp_path / "map.html"), tiles, points)
+    page = (tmp_path / "map.html").read_text()
+    assert page.count("<circle") == 2 and page.count("<rect") == 1 and "t&amp;1" in page and "wood" in page
+
+
+def test_flags(monkeypatch):
+    from chronotile import config
+
+    monkeypatch.delenv("CHRONOTILE_RUN_TESTS", raising=False)
+    assert not config.run_tests()
+    monkeypatch.setenv("CHRONOTILE_RUN_TESTS", "YES")
+    monkeypatch.setenv("CHRONOTILE_RUN_EXAMPLES", "0")
+    assert config.run_tests() and not config.run_examples()
