@@ -5,7 +5,8 @@ learns a short vector for each, whose inner products weigh pairs of terms that m
 of a group counts for more, or for less, than both alone. It is fitted by proximal AdaGrad on a bounded sample of labelled
 rows: the `sample_rows` rows of the least hash of their doc_id. Terms of fewer than `min_docs` of them have no weight. No
 term is screened by its own association with the label, as a term may count in pairs alone; instead weights and vectors
-shrink at each step (`shrink_weight`, `shrink_vector`), and those that the labels don't keep up become zero.
+shrink at each step (`shrink_weight`, `shrink_vector`), and those that the labels don't keep up become zero; the terms that
+are left are fitted on with a tenth of it.
 
 Every whole text is scored. Null and empty texts have the score of the bias alone, or 0 where nothing could be learnt (no
 labelled row, an empty table). Repeated rows are scored alike; of rows that share a doc_id the least text is learnt from, and
@@ -32,6 +33,8 @@ HASH_BITS = 20
 
 #: Of the vector of a document's values.
 LENGTH = 4.0
+#: Epochs after which the terms that count are found, and shrinking goes down to a tenth.
+SETTLED = 12
 #: Beside a term itself its beginnings of these lengths are terms, so that inflected forms share weights.
 BEGINNINGS = (4, 5)
 
@@ -114,6 +117,7 @@ class Machine:
                 live = (self.w != 0) | (self.v != 0).any(1)
                 bags = [(a[keep], x[keep]) for a, x in bags for keep in (live[a],)]
                 self.v[~live] = 0
+            pull = 1.0 if epoch < SETTLED else 0.1
             order = g.permutation(len(bags))
             for k in range(0, len(order), 128):
                 rows = order[k : k + 128]
@@ -125,10 +129,10 @@ class Machine:
                 gv[own] += (dv**2).mean(1)
                 pace, slow = rate / np.sqrt(gw[own]), 0.3 * rate / np.sqrt(gv[own])
                 w = self.w[own] - pace * dw
-                self.w[own] = np.sign(w) * np.maximum(np.abs(w) - shrink[0] * pace, 0)
+                self.w[own] = np.sign(w) * np.maximum(np.abs(w) - pull * shrink[0] * pace, 0)
                 v = self.v[own] - slow[:, None] * dv
                 size = np.sqrt((v**2).sum(1))
-                self.v[own] = v * np.maximum(1 - shrink[1] * slow / np.maximum(size, 1e-9), 0)[:, None]
+                self.v[own] = v * np.maximum(1 - pull * shrink[1] * slow / np.maximum(size, 1e-9), 0)[:, None]
 
 
 def joined(bags: list[tuple[np.ndarray, np.ndarray]], sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -194,7 +198,7 @@ def train(chosen: DataFrame, min_docs: int, rank: int, epochs: int, rate: float,
     return m
 
 
-def score(docs: DataFrame, labels: DataFrame, held_out: Column, sample_rows: int = 20_000, min_docs: int = 8, rank: int = 8, epochs: int = 20, rate: float = 0.2, shrink_weight: float = 1e-3, shrink_vector: float = 5e-4, seed: int = 7) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, held_out: Column, sample_rows: int = 20_000, min_docs: int = 8, rank: int = 8, epochs: int = 24, rate: float = 0.2, shrink_weight: float = 3e-3, shrink_vector: float = 1e-3, seed: int = 7) -> DataFrame:
     """doc_id, held_out, score, predicted; learnt from labelled rows that aren't held out."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"))
     marks = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).distinct()
