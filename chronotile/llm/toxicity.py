@@ -175,7 +175,7 @@ def train(chosen: DataFrame, min_docs: int, rank: int, epochs: int, rate: float,
     if bags.isEmpty():
         return None
     found = bags.mapInArrow(_count_terms, "term int, held long").groupBy("term").agg(F.sum("held").alias("held"))
-    kept = sorted(r["term"] for r in found.where(F.col("held") >= min_docs).select("term").collect())  # of 2^20 terms
+    kept = np.sort(found.where(F.col("held") >= min_docs).select("term").toArrow()["term"].to_numpy())  # of 2^20 terms
     columns = np.full(1 << HASH_BITS, -1, np.int32)
     columns[kept] = np.arange(len(kept))
     shared = chosen.sparkSession.sparkContext.broadcast(columns)
@@ -190,11 +190,13 @@ def train(chosen: DataFrame, min_docs: int, rank: int, epochs: int, rate: float,
                 n.append(np.frombuffer(c.as_py(), np.int32)[own >= 0].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.binary()), pa.array(n, pa.binary())], schema=_BAGS)
 
-    made = bags.mapInArrow(select, "id long, toxic int, at binary, n binary").collect()  # the sample's rows, of the kept terms alone
-    made.sort(key=lambda r: (r["id"], r["toxic"]))  # a model doesn't depend on the order of tasks
+    made = bags.mapInArrow(select, "id long, toxic int, at binary, n binary").toArrow()  # the sample's rows, of the kept terms alone
+    y = made["toxic"].to_numpy().astype(np.float32)
+    order = np.lexsort((y, made["id"].to_numpy()))  # a model doesn't depend on the order of tasks
+    pairs = [(np.frombuffer(a.as_buffer(), np.int32), _value(np.frombuffer(n.as_buffer(), np.int32))) for a, n in zip(made["at"], made["n"], strict=True)]
+    del made
     m = Machine(columns, rank, seed)
-    pairs = [(np.frombuffer(bytes(r["at"]), np.int32), _value(np.frombuffer(bytes(r["n"]), np.int32))) for r in made]
-    m.fit(pairs, np.array([r["toxic"] for r in made], np.float32), epochs, rate, shrink, seed)
+    m.fit([pairs[k] for k in order], y[order], epochs, rate, shrink, seed)
     return m
 
 
