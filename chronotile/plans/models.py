@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import accuracy, boosting, learn, machines, sampling
@@ -55,14 +56,11 @@ _own("boosted", lambda x: boosting.train(x, FEATURES, rounds=6, depth=3, rate=0.
 @query("classify_map")
 def classify_map(spark, d):
     """From pixels of two bands and three dates, over predictors, to probabilities and labels by tile."""
-    g = T.grid(spark, d)
-    dates = ["2020-01-01", "2020-02-01", "2020-03-01"]
-    each = F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.lit(x).cast("date").alias("date"), v.alias("value")) for k, x in enumerate(dates) for b, v in (("B1", F.col("value") / 1000 + F.col("class") * k), ("B2", F.col("size") - 2 * k)))))
-    pixels = g.select("tile", "row", "col", each.alias("_e")).select("tile", "row", "col", "_e.*")
-    wide, names = learn.pixel_features(pixels, ["B1", "B2"], dates)
+    g, pixels = T.grid(spark, d), _cube(spark, d)
+    wide, names = learn.pixel_features(pixels, ["B1", "B2"], DATES)
     samples = wide.join(g.where("pixel % 3 = 0").select("tile", "row", "col", F.concat(F.lit("C"), F.col("class").cast("string")).alias("label")), ["tile", "row", "col"])
     model = learn.train(samples, learn.random_forest(names, trees=10, depth=5))
-    out = learn.classify_pixels(pixels, ["B1", "B2"], dates, lambda x: learn.classify(model, x), learn.labels_of(model))
+    out = learn.classify_pixels(pixels, ["B1", "B2"], DATES, lambda x: learn.classify(model, x), learn.labels_of(model))
     return out.select("tile", "row", "col", "class", "label", F.round("C1", 4).alias("C1"))
 
 
@@ -111,6 +109,80 @@ def som_evaluate(spark, d):
     return r6(accuracy.purity(som.map(x, FEATURES), "neuron", "label"), "percent")
 
 
+#: A map of four neurons over the first two features, to hold the mapping itself against SQL.
+CODES = [[-0.1, -0.1], [0.1, -0.1], [-0.1, 0.1], [0.1, 0.1]]
+LABELLED = sql("vectors") + ", f as (select sample_id, case when x[1] = greatest(x[1], x[2], x[3]) then 'A' when x[2] = greatest(x[1], x[2], x[3]) then 'B' else 'C' end as label, x from vectors)"
+
+
+@query("som_assign", LABELLED + ", d as (select sample_id, label, [" + ", ".join(f"sqrt(pow({c[0]!r} - x[1], 2) + pow({c[1]!r} - x[2], 2))" for c in CODES) + "] as d from f) select sample_id, label, cast(list_position(d, list_min(d)) as int) as neuron, round(list_min(d), 6) as distance from d")
+def som_assign(spark, d):
+    som = learn.Som(np.array(CODES), 2, 2)
+    return r6(som.map(features(spark, d).select("sample_id", "label", "x0", "x1"), ["x0", "x1"]).select("sample_id", "label", "neuron", "distance"), "distance")
+
+
+def _dealt(spark, d):
+    """Samples dealt over the nine neurons of a square map, the label a neuron is likely to have depending on its place."""
+    x = features(spark, d).select("sample_id", "label")
+    return x.withColumn("neuron", (F.when(F.col("label") == "A", F.col("sample_id") % 4).when(F.col("label") == "B", F.col("sample_id") % 7).otherwise(F.col("sample_id") % 9) + 1).cast("int"))
+
+
+DEALT = LABELLED + ", m as (select sample_id, label, cast(case label when 'A' then sample_id % 4 when 'B' then sample_id % 7 else sample_id % 9 end + 1 as int) as neuron from f)"
+POSTERIOR = DEALT + """, n as (select neuron, label, count(*) as count from m group by 1, 2), g as (select cast(k as int) as neuron from range(1, 10) r(k)),
+ p as (select g.neuron, coalesce(label, 'No_Samples') as label, coalesce(count, 0) as count, coalesce(count / sum(count) over (partition by n.neuron), 0.0) as prior_prob from g left join n on n.neuron = g.neuron),
+ near as (select a.neuron, b.neuron as other from g a join g b on greatest(abs((a.neuron - 1) // 3 - (b.neuron - 1) // 3), abs((a.neuron - 1) % 3 - (b.neuron - 1) % 3)) = 1),
+ s as (select near.neuron, l.label, avg(coalesce(p.prior_prob, 0)) as mean, coalesce(var_samp(coalesce(p.prior_prob, 0)), 0) as var from near cross join (select distinct label from p) l left join p on p.neuron = near.other and p.label = l.label group by 1, 2),
+ t as (select p.*, s.mean, s.var / (abs(0.9999999 - max(p.prior_prob) over (partition by p.neuron)) + s.var) as w from p left join s on s.neuron = p.neuron and s.label = p.label),
+ post as (select neuron, label, count, prior_prob, coalesce(w * prior_prob + (1 - w) * mean, prior_prob) as post_prob from t)"""
+
+
+def _posterior(spark, d):
+    return learn.som_posterior(learn.som_labels(_dealt(spark, d), 9), 3, 3)
+
+
+@query("som_posterior", POSTERIOR + " select neuron, label, count, round(prior_prob, 6) as prior_prob, round(post_prob, 6) as post_prob from post")
+def som_posterior(spark, d):
+    return r6(_posterior(spark, d).select("neuron", "label", "count", "prior_prob", "post_prob"), "prior_prob", "post_prob")
+
+
+@query("som_verdicts", POSTERIOR + " select sample_id, m.label, m.neuron, case when prior_prob >= 0.34 and post_prob >= 0.36 then 'clean' when prior_prob >= 0.34 then 'analyze' else 'remove' end as eval from m join post on post.neuron = m.neuron and post.label = m.label")
+def som_verdicts(spark, d):
+    return learn.som_clean(_dealt(spark, d), _posterior(spark, d), 0.34, 0.36).select("sample_id", "label", "neuron", "eval")
+
+
+@query("som_thinned", DEALT + ", r as (select *, row_number() over (partition by label, neuron order by cast(sample_id as hugeint) * 2654435761 % 2147483647, sample_id) as k from m) select sample_id, label, neuron from r where k <= 4")
+def som_thinned(spark, d):
+    return learn.som_undersample(_dealt(spark, d), 4).select("sample_id", "label", "neuron")
+
+
+DATES = ["2020-01-01", "2020-02-01", "2020-03-01"]
+
+
+def _cube(spark, d):
+    """Pixels of two bands and three dates."""
+    each = F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.lit(x).cast("date").alias("date"), v.alias("value")) for k, x in enumerate(DATES) for b, v in (("B1", F.col("value") / 1000 + F.col("class") * k), ("B2", F.col("size") - 2 * k)))))
+    return T.grid(spark, d).select("tile", "row", "col", each.alias("_e")).select("tile", "row", "col", "_e.*")
+
+
+@query("pixel_features", sql("grid") + " select tile, row, col, " + ", ".join(f"round(value / 1000 + class * {k}, 6) as B1{k + 1}, size - {2 * k} as B2{k + 1}" for k in range(3)) + " from grid")
+def pixel_features(spark, d):
+    wide, _ = learn.pixel_features(_cube(spark, d), ["B1", "B2"], DATES)
+    return r6(wide, "B11", "B12", "B13")
+
+
+@query("segment_accuracy", sql("grid") + ", s as (select tile, row // 5 * 10 + col // 5 as pol_id, case when avg(size) > 25 then 'large' else 'small' end as predicted from grid group by 1, 2), p as (select distinct tile, row // 5 * 10 + col // 5 as pol_id, case when size > 25 then 'large' else 'small' end as reference from grid where pixel % 3 = 0) select predicted, reference, count(*) as n from s join p using (tile, pol_id) group by 1, 2")
+def segment_accuracy(spark, d):
+    """Blocks as segments, labelled by their mean; every third pixel is a point with a reference."""
+    g = T.grid(spark, d).withColumn("pol_id", F.floor(F.col("row") / 5) * 10 + F.floor(F.col("col") / 5))
+    size = lambda c: F.when(c > 25, "large").otherwise("small")
+    s = g.groupBy("tile", "pol_id").agg(size(F.avg("size")).alias("label"))
+    return accuracy.segment_confusion(s, g.where("pixel % 3 = 0").select("tile", "pol_id", size(F.col("size")).alias("reference")))
+
+
+@query("accuracy_interval")
+def accuracy_interval(spark, d):
+    return r6(accuracy.overall_interval(accuracy.confusion(T.pairs(spark, d))), "accuracy", "kappa", "lower", "upper", "no_information")
+
+
 @query("cluster_dendro")
 def cluster_dendro(spark, d):
     return learn.cluster_dendro(features(spark, d), FEATURES).select("sample_id", "label", "cluster")
