@@ -249,12 +249,17 @@ def polygon_boxes(spark, d):
     return vector.boxes(sinks.as_boxes(T.tiles(spark, d)).select("tile", "geometry")).drop("geometry")
 
 
-@query("polygon_points")
+def _place(axis: int, low: str, high: str, step: float) -> str:
+    u = f"(cast((polygon_id * 2 + {axis + 1}) * 2654435761 % 2147483647 as double) / 2147483647 + k * cast({step!r} as double))"
+    return f"round({low} + ({u} - floor({u})) * ({high} - {low}), 6)"
+
+
+@query("polygon_points", sql("tiles") + f", p as (select *, cast(substring(tile, 2) as bigint) as polygon_id from tiles) select polygon_id, tile, {_place(0, 'xmin', 'xmax', 0.7548776662466927)} as longitude, {_place(1, 'ymin', 'ymax', 0.5698402909980532)} as latitude from p, range(1, 11) r(k)")
 def polygon_points(spark, d):
     from ..sources import sinks, vector
 
     t = sinks.as_boxes(T.tiles(spark, d)).select(F.substring("tile", 2, 9).cast("long").alias("polygon_id"), "tile", "geometry")
-    return vector.sample_points(t, 10)
+    return r6(vector.sample_points(t, 10), "longitude", "latitude")
 
 
 @query("points_within", sql("tiles", "points") + " select p.sample_id, t.tile from points p join tiles t on longitude > xmin and longitude < xmax and latitude > ymin and latitude < ymax and longitude <> floor(longitude) and latitude <> floor(latitude)")

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.sampling import MIX, PRIME
+
 RING = re.compile(r"\(([^()]+)\)")
 
 
@@ -38,8 +40,16 @@ def boxes(df: DataFrame, geometry: str = "geometry") -> DataFrame:
     return d.withColumns({"xmin": F.array_min("_p.x"), "ymin": F.array_min("_p.y"), "xmax": F.array_max("_p.x"), "ymax": F.array_max("_p.y")}).drop("_p")
 
 
+#: Powers of the inverse of the plastic number, whose multiples fill the unit square evenly.
+STEPS = (0.7548776662466927, 0.5698402909980532)
+
+
 def sample_points(polygons: DataFrame, n: int = 30, key: str = "polygon_id", geometry: str = "geometry", seed: int = 1) -> DataFrame:
-    """polygon_id, longitude, latitude and the other columns: n points inside each polygon, a point's own place for points."""
+    """polygon_id, longitude, latitude and the other columns: n points inside each polygon, a point's own place for points.
+
+    Candidates fill a polygon's box evenly, by a sequence that begins at a place of the polygon's own; the first n inside it
+    are taken.
+    """
     fields = [f for f in polygons.schema if f.name != geometry]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -53,11 +63,12 @@ def sample_points(polygons: DataFrame, n: int = 30, key: str = "polygon_id", geo
                 if len(parts[0]) == 1:
                     out.append(pd.DataFrame([{**r, "longitude": parts[0][0, 0], "latitude": parts[0][0, 1]}]))
                     continue
-                g = np.random.default_rng([seed, int(r[key])])
+                begin = [(int(r[key]) * 2 + axis + seed) * MIX % PRIME / PRIME for axis in (0, 1)]
                 low, high = np.min([p.min(0) for p in parts], 0), np.max([p.max(0) for p in parts], 0)
                 got = np.zeros((0, 2))
-                for _ in range(200):
-                    c = g.uniform(low, high, (4 * n, 2))
+                for t in range(200):
+                    k = np.arange(1 + t * 4 * n, 1 + (t + 1) * 4 * n)[:, None]
+                    c = low + (np.array(begin) + k * STEPS) % 1 * (high - low)
                     got = np.concatenate([got, c[inside(c[:, 0], c[:, 1], parts)]])[:n]
                     if len(got) == n:
                         break
