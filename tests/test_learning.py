@@ -194,3 +194,13 @@ def test_splines_follow_a_season(spark):
     out = learn.smooth_patterns(spark.createDataFrame(rows, "label string, index date, v double"), ["v"], 8).toPandas()
     wave, line = (out[out.label == x].sort_values("index").v.to_numpy() for x in ("wave", "line"))
     assert np.abs(wave - season).max() < 0.12 and np.allclose(line, 2 + 0.1 * np.arange(46), atol=1e-6)
+
+
+def test_clusters_of_many_samples(spark):
+    """Beyond max_rows the tree is over neurons, and every sample has its neuron's cluster."""
+    g = np.random.default_rng(11)
+    rows = [(k, float(8 * (k % 3) + g.normal(0, 0.5)), float(g.normal(0, 0.5)), "abc"[k % 3]) for k in range(700)]
+    d = spark.createDataFrame(rows, "sample_id long, x double, y double, label string")
+    for most in (50, 1000):
+        out = learn.cluster_dendro(d, ["x", "y"], max_rows=most).toPandas()
+        assert len(out) == 700 and out.groupby("label").cluster.nunique().max() == 1 and out.cluster.nunique() == 3
