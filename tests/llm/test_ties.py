@@ -115,3 +115,14 @@ def test_whole_texts_count(spark):
     assert out[5001] > out[5000]
     found = {r.doc_id: r.labels for r in licenses.scan(frame(spark, [(1, f"{long} mit license"), (2, long)])).collect()}
     assert found == {1: "mit", 2: ""}
+
+
+def test_8_hot_hashes_beyond_the_broadcast_bound(spark, monkeypatch):
+    """Lines that are looked up by a salted join give what a broadcast gives."""
+    from chronotile.llm import common
+
+    rows = [(k, f"menu\nfooter {k % 3}\n{prose(9, k)}", "en", f"s{k % 14}") for k in range(60)]
+    want = {r.doc_id: (r.text, r.lines_removed) for r in lines.clean_lines(frame(spark, rows)).collect()}
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    got = {r.doc_id: (r.text, r.lines_removed) for r in lines.clean_lines(frame(spark, rows)).collect()}
+    assert got == want and all(n == 2 for _, n in want.values())
