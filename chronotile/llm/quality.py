@@ -94,26 +94,25 @@ def _whiten(est: DataFrame, xs: list[str], factor: float) -> DataFrame:
     """From columns c_<i>_<j> (i >= j), covariances: the entries l_<i>_<j> of the inverse Cholesky factor,
     and the logarithm of the determinant.
 
-    The factor corrects for the share of rows that the covariance was taken over; floors are added on the diagonal.
+    The factor corrects for the share of rows that the covariance was taken over; floors are added on the diagonal. Both
+    triangles are folds over their entries row after row, each of which needs earlier entries alone.
     """
     p, floors = len(xs), list(DIMS.values())
-    d = est
-    for i in range(p):  # Cholesky: g_i_j, row by row
-        for j in range(i + 1):
-            s = F.coalesce(F.col(f"c_{i}_{j}"), F.lit(0.0)) * factor + (floors[i] ** 2 if i == j else 0.0)
-            for k in range(j):
-                s = s - F.col(f"g_{i}_{k}") * F.col(f"g_{j}_{k}")
-            d = d.withColumn(f"g_{i}_{j}", F.sqrt(F.greatest(s, F.lit(floors[i] ** 2 / 4))) if i == j else s / F.col(f"g_{j}_{j}"))
-    for j in range(p):  # its inverse
-        for i in range(j, p):
-            s = F.lit(1.0) if i == j else F.lit(0.0)
-            for k in range(j, i):
-                s = s - F.col(f"g_{i}_{k}") * F.col(f"l_{k}_{j}")
-            d = d.withColumn(f"l_{i}_{j}", s / F.col(f"g_{i}_{i}"))
-    half = F.lit(0.0)
-    for i in range(p):
-        half = half + F.log(f"g_{i}_{i}")
-    return d.select(*KEY, (2 * half).alias("logdet"), *(f"m_{x}" for x in xs), *(f"l_{i}_{j}" for i in range(p) for j in range(i + 1)))
+    places = [(i, j) for i in range(p) for j in range(i + 1)]
+    row = {i: i * (i + 1) // 2 for i in range(p)}
+    numbers = lambda values: f"array({', '.join(map(str, values))})"
+    i, j = f"{numbers(i for i, _ in places)}[t]", f"{numbers(j for _, j in places)}[t]"
+    at = lambda r, c: f"{numbers(row.values())}[{r}] + {c}"
+    fold = f"aggregate(sequence(0, {len(places) - 1}), cast(array() as array<double>), (o, t) -> concat(o, array(%s)))"
+    left = f"_c[t] - aggregate(filter({numbers(range(p))}, k -> k < {j}), 0D, (a, k) -> a + o[{at(i, 'k')}] * o[{at(j, 'k')}])"
+    least = f"array({', '.join(f'{f**2 / 4!r}D' for f in floors)})[{i}]"
+    factor_ = fold % f"transform(array({left}), s -> if({i} = {j}, sqrt(greatest(s, {least})), s / o[{at(j, j)}]))[0]"
+    inverse = fold % f"(if({i} = {j}, 1D, 0D) - aggregate(filter({numbers(range(p))}, k -> k >= {j} and k < {i}), 0D, (a, k) -> a + _g[{at(i, 'k')}] * o[{at('k', j)}])) / _g[{at(i, i)}]"
+    covariances = F.array(*(F.coalesce(F.col(f"c_{i}_{j}"), F.lit(0.0)) * factor + (floors[i] ** 2 if i == j else 0.0) for i, j in places))
+    d = est.select(*KEY, *(f"m_{x}" for x in xs), covariances.alias("_c"))
+    d = d.withColumn("_g", F.expr(factor_)).withColumn("_l", F.expr(inverse))
+    logdet = F.expr(f"2 * aggregate({numbers(row[i] + i for i in range(p))}, 0D, (a, k) -> a + ln(_g[k]))")
+    return d.select(*KEY, logdet.alias("logdet"), *(f"m_{x}" for x in xs), *(F.col("_l")[k].alias(f"l_{i}_{j}") for k, (i, j) in enumerate(places)))
 
 
 def _moments(d: DataFrame, xs: list[str]) -> DataFrame:
