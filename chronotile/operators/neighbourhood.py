@@ -246,9 +246,12 @@ def block_max(df: DataFrame, value: str, size: int, keys: tuple[str, ...] = ("ti
 
 
 def neighbours(points: DataFrame, df: DataFrame, window: int, values: list[str]) -> DataFrame:
-    """For points (tile, row, col) the window's pixels as an array, cut at the edges, by an equi-join on each cell."""
+    """For points (tile, row, col) the window's pixels as an array, cut at the edges, by an equi-join on each cell.
+
+    Pixels grow with the map and pack well in files, so they aren't broadcast whatever their files' size.
+    """
     r = window // 2
     p = points.withColumn("_r", F.explode(F.sequence(F.col("row") - r, F.col("row") + r))).withColumn("_c", F.explode(F.sequence(F.col("col") - r, F.col("col") + r)))
     q = df.select(F.col("tile").alias("_t"), F.col("row").alias("_r2"), F.col("col").alias("_c2"), *values)
-    j = p.join(q, (F.col("tile") == F.col("_t")) & (F.col("_r") == F.col("_r2")) & (F.col("_c") == F.col("_c2")))
+    j = p.join(q.hint("merge"), (F.col("tile") == F.col("_t")) & (F.col("_r") == F.col("_r2")) & (F.col("_c") == F.col("_c2")))
     return j.groupBy(*points.columns).agg(F.array_sort(F.collect_list(F.struct("_r", "_c", *values))).alias("neighbors"))
