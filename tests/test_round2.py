@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from chronotile.operators import neighbourhood
+from chronotile.operators import learn, machines, neighbourhood
+from chronotile.plans import registry
 
 
 def test_pixels_are_not_broadcast(spark, tmp_path):
@@ -16,3 +19,24 @@ def test_pixels_are_not_broadcast(spark, tmp_path):
     assert "Broadcast" not in x._jdf.queryExecution().executedPlan().toString()
     got = {(r.row, r.col): [(n["_r"], n["_c"], n.v) for n in r.neighbors] for r in x.collect()}
     assert got == {(r, c): [(i, j, v) for _, i, j, v in cells if abs(i - r) <= 1 and abs(j - c) <= 1] for _, r, c, _ in cells}
+
+
+def blobs(spark, n=900):
+    g = np.random.default_rng(2)
+    rows = [(k, float(6 * (k % 3) + g.normal(0, 0.4)), float(g.normal(0, 0.4)), "abc"[k % 3]) for k in range(n)]
+    return spark.createDataFrame(rows, "sample_id long, x double, y double, label string")
+
+
+def with_empty_parts(df):
+    """As the splits of a file whose rows are in few groups."""
+    spark = df.sparkSession
+    return spark.createDataFrame(df.rdd.union(spark.sparkContext.parallelize([], 3)), df.schema)
+
+
+def test_a_map_of_parts_without_rows(spark):
+    d = with_empty_parts(blobs(spark))
+    som = learn.Som.fit(d, ["x", "y"], 3, 3, 4)
+    assert np.allclose(som.codes, learn.Som.fit(blobs(spark), ["x", "y"], 3, 3, 4).codes)
+    for r in som.map(d.withColumn("y", F.when(F.col("sample_id") != 5, F.col("y"))), ["x", "y"]).collect():
+        far = np.sqrt(((som.codes - [r.x, r.y if r.y is not None else np.nan]) ** 2).sum(1))
+        assert (r.neuron, r.distance) == (1, None) if r.sample_id == 5 else r.neuron == far.argmin() + 1 and r.distance == pytest.approx(far.min())
