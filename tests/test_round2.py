@@ -40,3 +40,8 @@ def test_a_map_of_parts_without_rows(spark):
     for r in som.map(d.withColumn("y", F.when(F.col("sample_id") != 5, F.col("y"))), ["x", "y"]).collect():
         far = np.sqrt(((som.codes - [r.x, r.y if r.y is not None else np.nan]) ** 2).sum(1))
         assert (r.neuron, r.distance) == (1, None) if r.sample_id == 5 else r.neuron == far.argmin() + 1 and r.distance == pytest.approx(far.min())
+
+
+def test_clusters_of_parts_without_rows(spark):
+    out = learn.cluster_dendro(with_empty_parts(blobs(spark)), ["x", "y"], max_rows=50).toPandas()
+    assert len(out) == 900 and out.groupby("label").cluster.nunique().max() == 1 and out.cluster.nunique() == 3
