@@ -45,3 +45,8 @@ def test_a_map_of_parts_without_rows(spark):
 def test_clusters_of_parts_without_rows(spark):
     out = learn.cluster_dendro(with_empty_parts(blobs(spark)), ["x", "y"], max_rows=50).toPandas()
     assert len(out) == 900 and out.groupby("label").cluster.nunique().max() == 1 and out.cluster.nunique() == 3
+
+
+def test_balance_of_parts_without_rows(spark):
+    n = {r.label: r["count"] for r in learn.reduce_imbalance(with_empty_parts(blobs(spark)), ["x", "y"], 40, 64, rounds=3).groupBy("label").count().collect()}
+    assert set(n) == set("abc") and all(16 <= v <= 64 for v in n.values())
