@@ -50,3 +50,13 @@ def test_clusters_of_parts_without_rows(spark):
 def test_balance_of_parts_without_rows(spark):
     n = {r.label: r["count"] for r in learn.reduce_imbalance(with_empty_parts(blobs(spark)), ["x", "y"], 40, 64, rounds=3).groupBy("label").count().collect()}
     assert set(n) == set("abc") and all(16 <= v <= 64 for v in n.values())
+
+
+def test_places_that_differ_in_the_last_bits(spark, tmp_path):
+    """Longitudes of 31.3 and 1.3 degrees, by the rest of 30, at one latitude."""
+    at = lambda k: (k * 37 % 997, k * 53 % 199)
+    keys = {at(k): k for k in range(997 * 199)}
+    pair = [keys[13, 50], keys[313, 50], keys[100, 50]]
+    spark.createDataFrame([(k, "m") for k in pair], "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r.sample_id: r.distance for r in registry.QUERIES["geo_distances"](spark, str(tmp_path)).collect()}
+    assert 313 / 10 % 30 != 13 / 10 and got[pair[0]] == got[pair[1]] == 0.0 and got[pair[2]] > 900
