@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronotile.operators import learn, machines, neighbourhood
+from chronotile.operators import learn, machines, neighbourhood, neural
 from chronotile.plans import registry
 
 
@@ -52,6 +52,20 @@ def test_balance_of_parts_without_rows(spark):
     assert set(n) == set("abc") and all(16 <= v <= 64 for v in n.values())
 
 
+def test_machines_of_any_number_of_samples(spark):
+    """Rings, which one line can't part; one label has a single sample."""
+    g = np.random.default_rng(2)
+    x = g.normal(0, 1, (1500, 2))
+    rows = [(k, float(a), float(b), "in" if a * a + b * b < 1 else "out") for k, (a, b) in enumerate(x)] + [(9000, 40.0, 40.0, "far")]
+    d = spark.createDataFrame(rows, "sample_id long, x double, y double, label string")
+    m = machines.train(d, ["x", "y"], block=400)
+    out = machines.classify(m, d).collect()
+    assert len(m.machines) == 4 and m.labels == ["far", "in", "out"] and np.mean([r.predicted == r.label for r in out]) > 0.93
+    assert all(abs(sum(r.probs) - 1) < 1e-9 for r in out) and len(out) == 1501
+    one = machines.train(d, ["x", "y"])
+    assert np.mean([a.predicted == b.predicted for a, b in zip(out, machines.classify(one, d).collect(), strict=True)]) > 0.95
+
+
 def test_places_that_differ_in_the_last_bits(spark, tmp_path):
     """Longitudes of 31.3 and 1.3 degrees, by the rest of 30, at one latitude."""
     at = lambda k: (k * 37 % 997, k * 53 % 199)
@@ -60,3 +74,21 @@ def test_places_that_differ_in_the_last_bits(spark, tmp_path):
     spark.createDataFrame([(k, "m") for k in pair], "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
     got = {r.sample_id: r.distance for r in registry.QUERIES["geo_distances"](spark, str(tmp_path)).collect()}
     assert 313 / 10 % 30 != 13 / 10 and got[pair[0]] == got[pair[1]] == 0.0 and got[pair[2]] > 900
+
+
+@pytest.mark.parametrize("name", ["rectified", "convolution", "residual", "attention", "light"])
+def test_networks_over_parts(spark, name):
+    """Of more samples than the driver holds, all train, in parts."""
+    make = {
+        "rectified": lambda labels: neural.Perceptron(labels, (16,), (0.1,)),
+        "convolution": lambda labels: neural.TempCNN(labels, filters=8, kernel=3, dense=16),
+        "residual": lambda labels: neural.ResNet(labels, blocks=(8,)),
+        "attention": lambda labels: neural.Attention(labels, np.arange(12) * 16, width=16, heads=2, keys=4),
+        "light": lambda labels: neural.Attention(labels, np.arange(12) * 16, width=16, heads=2, keys=4, light=True),
+    }[name]
+    g = np.random.default_rng(0)
+    y, t = g.integers(0, 3, 600), np.linspace(0, 1, 12)
+    rows = [(k, [[float(v)] for v in np.sin(2 * np.pi * t * (c + 1)) + g.normal(0, 0.2, 12)], "abc"[c]) for k, c in enumerate(y)]
+    d = spark.createDataFrame(rows, "sample_id long, x array<array<double>>, label string")
+    net = neural.train(d, make, resident=100, part=200, epochs=12, rate=1e-2)
+    assert neural.classify(net, d).where("label = predicted").count() > 540
