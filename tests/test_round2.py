@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronotile.operators import learn, machines, neighbourhood, neural
+from chronotile.operators import accuracy, learn, machines, neighbourhood, neural
 from chronotile.plans import registry
 
 
@@ -47,6 +47,12 @@ def test_clusters_of_parts_without_rows(spark):
     assert len(out) == 900 and out.groupby("label").cluster.nunique().max() == 1 and out.cluster.nunique() == 3
 
 
+def test_purity_of_parts_without_rows(spark):
+    d = with_empty_parts(blobs(spark))
+    out = accuracy.purity(learn.Som.fit(d, ["x", "y"], 2, 3, 4).map(d, ["x", "y"]), "neuron", "label").collect()
+    assert {r.label for r in out} == set("abc")
+
+
 def test_balance_of_parts_without_rows(spark):
     n = {r.label: r["count"] for r in learn.reduce_imbalance(with_empty_parts(blobs(spark)), ["x", "y"], 40, 64, rounds=3).groupBy("label").count().collect()}
     assert set(n) == set("abc") and all(16 <= v <= 64 for v in n.values())
