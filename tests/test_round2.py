@@ -53,6 +53,12 @@ def test_purity_of_parts_without_rows(spark):
     assert {r.label for r in out} == set("abc")
 
 
+def test_undersampling_of_parts_without_rows(spark):
+    d = with_empty_parts(blobs(spark))
+    out = learn.som_undersample(learn.Som.fit(d, ["x", "y"], 2, 3, 4).map(d, ["x", "y"]), 4).toPandas()
+    assert set(out.label) == set("abc") and out.groupby(["label", "neuron"]).size().max() == 4
+
+
 def test_balance_of_parts_without_rows(spark):
     n = {r.label: r["count"] for r in learn.reduce_imbalance(with_empty_parts(blobs(spark)), ["x", "y"], 40, 64, rounds=3).groupBy("label").count().collect()}
     assert set(n) == set("abc") and all(16 <= v <= 64 for v in n.values())
