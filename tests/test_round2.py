@@ -78,6 +78,14 @@ def test_machines_of_any_number_of_samples(spark):
     assert np.mean([a.predicted == b.predicted for a, b in zip(out, machines.classify(one, d).collect(), strict=True)]) > 0.95
 
 
+def test_samples_stream_by_an_online_map(spark):
+    d = with_empty_parts(blobs(spark))
+    som = learn.Som.online(d, ["x", "y"], 2, 3, 6, resident=100)
+    assert som.codes.shape == (6, 2) and np.array_equal(som.codes, learn.Som.online(blobs(spark).repartition(3), ["x", "y"], 2, 3, 6, resident=100).codes)
+    out = som.map(d, ["x", "y"]).toPandas()
+    assert len(out) == 900 and out.groupby("neuron").label.nunique().max() == 1 and out.distance.mean() < 1.0
+
+
 def test_places_that_differ_in_the_last_bits(spark, tmp_path):
     """Longitudes of 31.3 and 1.3 degrees, by the rest of 30, at one latitude."""
     at = lambda k: (k * 37 % 997, k * 53 % 199)
