@@ -112,3 +112,34 @@ def test_networks_over_parts(spark, name):
     d = spark.createDataFrame(rows, "sample_id long, x array<array<double>>, label string")
     net = neural.train(d, make, resident=100, part=200, epochs=12, rate=1e-2)
     assert neural.classify(net, d).where("label = predicted").count() > 540
+
+
+def _networks(name):
+    return {
+        "residual": neural.ResNet(["a", "b"], blocks=(8, 8)),
+        "attention": neural.Attention(["a", "b"], np.arange(12) * 16, width=16, heads=2, keys=4),
+    }[name]
+
+
+@pytest.mark.parametrize("name", ["attention"])
+def test_networks_predict_in_blocks(name):
+    """A computation holds all its arrays, so a batch of any number of series goes through in blocks."""
+    net, seen, x = _networks(name), [], np.random.default_rng(3).normal(0, 1, (2500, 12, 1))
+    net.training = True
+    net.forward(x[:64])
+    forward, net.values = net.forward, {}
+    net.training = False
+    whole = neural.softmax(forward(x)).data
+    net.forward = lambda v: seen.append(len(v)) or forward(v)
+    assert np.allclose(net.probabilities(x), whole, atol=1e-12) and sum(seen) == 2500 and max(seen) <= 1000
+    assert net.probabilities(x[:0]).shape == (0, 2)
+
+
+def test_parts_of_samples_are_a_file_each(spark, monkeypatch):
+    """Else the tasks of an epoch would get several parts or none."""
+    seen = []
+    monkeypatch.setattr(neural, "fit_parts", lambda parts, network, **p: seen.append((parts.count(), [len(r.folds) for r in parts.groupBy(F.input_file_name().alias("f")).agg(F.collect_set("fold").alias("folds")).collect()])) or network)
+    rows = [(k, [[float(k % 7)]] * 3, "ab"[k % 2]) for k in range(900)]
+    d = spark.createDataFrame(rows, "sample_id long, x array<array<double>>, label string")
+    neural.train(d, lambda labels: neural.Perceptron(labels, (4,), (0.1,)), resident=10, part=60)
+    assert seen == [(15, [1] * 15)]
