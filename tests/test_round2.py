@@ -121,7 +121,7 @@ def _networks(name):
     }[name]
 
 
-@pytest.mark.parametrize("name", ["attention"])
+@pytest.mark.parametrize("name", ["attention", "residual"])
 def test_networks_predict_in_blocks(name):
     """A computation holds all its arrays, so a batch of any number of series goes through in blocks."""
     net, seen, x = _networks(name), [], np.random.default_rng(3).normal(0, 1, (2500, 12, 1))
