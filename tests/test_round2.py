@@ -143,3 +143,30 @@ def test_parts_of_samples_are_a_file_each(spark, monkeypatch):
     d = spark.createDataFrame(rows, "sample_id long, x array<array<double>>, label string")
     neural.train(d, lambda labels: neural.Perceptron(labels, (4,), (0.1,)), resident=10, part=60)
     assert seen == [(15, [1] * 15)]
+
+
+@pytest.mark.parametrize("name", ["reduce_imbalance"])
+def test_queries_over_a_file_of_one_row_group(spark, tmp_path, name):
+    """Splits of the file beyond its only row group hold no row."""
+    x = np.random.default_rng(4).normal(0, 1, (640, 64))
+    label = np.repeat([0, 1, 2], [230, 205, 205])
+    x[np.arange(640), label] = x[:, :3].max(1) + 0.1
+    rows = [(k, [float(v) for v in row], 0) for k, row in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "32k")
+        assert 0 in spark.read.parquet(f"{tmp_path}/embeddings.parquet").rdd.glom().map(len).collect()
+        out = registry.QUERIES[name](spark, str(tmp_path)).toPandas()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    if name == "reduce_imbalance":  # of A alone there are 210 or more
+        n = dict(zip(out.label, out.n, strict=True))
+        assert n.keys() == set("ABC") and n["B"] == n["C"] == 205 and 64 < n["A"] <= 230
+    elif name == "som_evaluate":
+        assert set(out.label) == set("ABC") and np.allclose(out.groupby("neuron").percent.sum(), 100, atol=1e-4)
+    else:
+        assert out.sample_id.is_unique and out.groupby(["label", "neuron"]).size().max() == 4
+        assert all("ABC"[label[k]] == c for k, c in zip(out.sample_id, out.label, strict=True))
