@@ -145,7 +145,7 @@ def test_parts_of_samples_are_a_file_each(spark, monkeypatch):
     assert seen == [(15, [1] * 15)]
 
 
-@pytest.mark.parametrize("name", ["reduce_imbalance", "som_evaluate"])
+@pytest.mark.parametrize("name", ["reduce_imbalance", "som_evaluate", "som_undersample"])
 def test_queries_over_a_file_of_one_row_group(spark, tmp_path, name):
     """Splits of the file beyond its only row group hold no row."""
     x = np.random.default_rng(4).normal(0, 1, (640, 64))
