@@ -170,3 +170,12 @@ def test_queries_over_a_file_of_one_row_group(spark, tmp_path, name):
     else:
         assert out.sample_id.is_unique and out.groupby(["label", "neuron"]).size().max() == 4
         assert all("ABC"[label[k]] == c for k, c in zip(out.sample_id, out.label, strict=True))
+
+
+def test_a_residual_network_of_more_samples_than_the_driver_holds(spark):
+    """By the parameters that the query leaves as they are."""
+    x = F.when(F.col("sample_id") % 2 == 0, 1.0).otherwise(-1.0) + F.col("sample_id") % 10 / 20
+    d = spark.range(100_500).withColumnRenamed("id", "sample_id").select("sample_id", F.array(F.array(x), F.array(-x)).alias("x"), F.when(F.col("sample_id") % 2 == 0, "a").otherwise("b").alias("label"))
+    net = neural.train(d, lambda labels: neural.ResNet(labels, blocks=(2,)), epochs=1, rate=1e-2)
+    out = neural.classify(net, d)
+    assert out.count() == 100_500 and out.where("label = predicted").count() > 98_000
